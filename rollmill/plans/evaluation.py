@@ -1,0 +1,58 @@
+"""Whole evaluation runs as one plan each."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rollmill.functions.text import (
+    math_correct,
+    numeric_correct,
+    strip,
+    think_format,
+    think_format_strict,
+    word_count,
+)
+from rollmill.operators.evals import eval_summary, length_by_outcome
+from rollmill.operators.joins import attach_questions
+
+
+def grade_numeric(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """Grade answers against numeric golds, with both format checks and the word count."""
+    text = attach_questions(answers, questions).withColumn("answer", strip("answer"))
+    return text.withColumns(
+        {
+            "correct": numeric_correct("answer", "gold"),
+            "format_ok": think_format("answer"),
+            "format_strict": think_format_strict("answer"),
+            "n_words": word_count("answer"),
+        }
+    )
+
+
+def grade_math(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """Grade answers against LaTeX golds; the format check is the strict one."""
+    text = attach_questions(answers, questions).withColumn("answer", strip("answer"))
+    return text.withColumns(
+        {"correct": math_correct("answer", "gold"), "format_ok": think_format_strict("answer")}
+    )
+
+
+def evaluate_numeric(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """Accuracy, format rates and answer lengths in one row."""
+    graded = grade_numeric(answers, questions)
+    n = F.count(F.lit(1))
+    flags = {"accuracy": "correct", "format_rate": "format_ok", "format_rate_strict": "format_strict"}
+    lengths = {
+        "avg_words": F.avg("n_words"),
+        "avg_corr_ans_words": F.avg(F.when(F.col("correct"), F.col("n_words"))),
+        "avg_err_ans_words": F.avg(F.when(~F.col("correct"), F.col("n_words"))),
+    }
+    return graded.agg(
+        n.alias("samples"),
+        *[F.coalesce(F.try_divide(F.sum(F.col(c).cast("int")), n), F.lit(0.0)).alias(k) for k, c in flags.items()],
+        *[c.alias(k) for k, c in lengths.items()],
+    )
+
+
+__all__ = ["eval_summary", "evaluate_numeric", "grade_math", "grade_numeric", "length_by_outcome"]
