@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "group_queries",
     "text_queries",
+    "reward_queries",
 )
 
 

@@ -132,6 +132,7 @@ def normalize_latex(c: ColumnOrName) -> Column:
 
 _NUMBER = r"(\d+\.?\d*|\.\d+)"
 _RATIONAL = rf"^([+-]?)\(?([+-]?){_NUMBER}\)?(?:/\(?([+-]?){_NUMBER}\)?)?$"
+_DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)$"
 _THOUSANDS = r"^[+-]?\d{1,3}(?:,\d{3})++(?:\.\d+)?$"
 _WHOLE = DecimalType(38, 0)
 _SHORT = DecimalType(38, 18)
@@ -144,26 +145,27 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _rational(c: Column) -> Column:
     """Numerator and denominator as whole decimals; NULLs when not a number or too long."""
-    names = ("outer", "sign", "number", "below_sign", "below")
-    found = F.struct(*[F.regexp_extract(c, _RATIONAL, i).alias(n) for i, n in enumerate(names, 1)])
+    fields = F.split(F.regexp_replace(c, _RATIONAL, "$1$2$4 $3 $5"), " ", -1)
 
     def scale(number: Column) -> Column:
         at = F.instr(number, ".")
         return F.when(at > 0, F.length(number) - at).otherwise(F.lit(0))
 
-    def parts(g: Column) -> Column:
-        below = F.when(g["below"] == "", F.lit("1")).otherwise(g["below"])
-        top = F.concat(F.replace(g["number"], F.lit("."), F.lit("")), F.repeat(F.lit("0"), scale(below)))
-        low = F.concat(F.replace(below, F.lit("."), F.lit("")), F.repeat(F.lit("0"), scale(g["number"])))
-        signs = F.concat(g["outer"], g["sign"], g["below_sign"])
+    def digits(number: Column, zeros: Column) -> Column:
+        return F.concat(F.replace(number, F.lit("."), F.lit("")), F.repeat(F.lit("0"), zeros)).try_cast(_WHOLE)
+
+    def parts(f: Column) -> Column:
+        signs, number = f[0], f[1]
+        below = F.when(f[2] == "", F.lit("1")).otherwise(f[2])
+        top = digits(number, scale(below))
         minus = F.length(F.replace(signs, F.lit("+"), F.lit(""))) % 2 == 1
-        size = top.try_cast(_WHOLE)
+        low = digits(below, scale(number))
         return F.struct(
-            F.when(minus, -size).otherwise(size).alias("top"),
-            F.nullif(low.try_cast(_WHOLE), F.lit(0).cast(_WHOLE)).alias("low"),
+            F.when(minus, -top).otherwise(top).alias("top"),
+            F.nullif(low, F.lit(0).cast(_WHOLE)).alias("low"),
         )
 
-    return _let(found, parts)
+    return F.when(c.rlike(_RATIONAL), _let(fields, parts))
 
 
 def _plain(c: Column) -> Column:
@@ -173,44 +175,56 @@ def _plain(c: Column) -> Column:
 def math_equal(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Equal as text or as exact rationals; NULL only if either side is NULL.
 
-    Short plain decimals compare directly; fractions and long numbers cross-multiply. A product
-    too long for 38 digits leaves text equality.
+    Equal texts and short plain decimals are settled first, in generated code when both sides are
+    plain columns. The rest cross-multiplies; a product beyond 38 digits leaves text equality.
     """
+    left, right = _col(a), _col(b)
+
     def direct(c: Column) -> Column:
-        return F.when(F.length(c) <= 18, c.try_cast(_SHORT))
+        return (F.length(c) <= 18) & c.rlike(_DECIMAL)
 
     def crossed(q: Column) -> Column:
         product = F.try_multiply(q["a"]["top"], q["b"]["low"])
         return F.coalesce(product == F.try_multiply(q["b"]["top"], q["a"]["low"]), F.lit(False))
 
-    def equal(s: Column) -> Column:
-        rationals = F.struct(_rational(_plain(s["a"])).alias("a"), _rational(_plain(s["b"])).alias("b"))
-        return (
-            F.when(s["a"].isNull() | s["b"].isNull(), F.lit(None).cast("boolean"))
-            .when(s["a"] == s["b"], F.lit(True))
-            .otherwise(F.coalesce(direct(s["a"]) == direct(s["b"]), _let(rationals, crossed)))
-        )
+    def by_value(s: Column) -> Column:
+        rationals = F.struct(_rational(s["a"]).alias("a"), _rational(s["b"]).alias("b"))
+        return (s["a"] == s["b"]) | _let(rationals, crossed)
 
-    return _let(F.struct(strip(a).alias("a"), strip(b).alias("b")), equal)
+    cleaned = F.struct(_plain(strip(left)).alias("a"), _plain(strip(right)).alias("b"))
+    return (
+        F.when(left.isNull() | right.isNull(), F.lit(None).cast("boolean"))
+        .when(left == right, F.lit(True))
+        .when(direct(left) & direct(right), left.try_cast(_SHORT) == right.try_cast(_SHORT))
+        .otherwise(_let(cleaned, by_value))
+    )
 
 
 def numeric_correct(answer: ColumnOrName, gold: ColumnOrName) -> Column:
     """The last number of the answer equals the gold number; no number is wrong."""
-    return F.coalesce(math_equal(last_number(answer), gold), F.lit(False))
+    return _let(last_number(answer), lambda n: F.coalesce(math_equal(n, gold), F.lit(False)))
 
 
 def math_correct(answer: ColumnOrName, gold: ColumnOrName) -> Column:
     """Cascade extraction, normalisation of both sides, then rational or text equality."""
-    predicted = normalize_latex(extract_math_answer(answer))
-    return F.coalesce(math_equal(predicted, normalize_latex(gold)), F.lit(False))
+    sides = F.struct(
+        normalize_latex(extract_math_answer(answer)).alias("a"), normalize_latex(gold).alias("b")
+    )
+    return _let(sides, lambda s: F.coalesce(math_equal(s["a"], s["b"]), F.lit(False)))
 
 
 def boxed_equal(answer: ColumnOrName, gold: ColumnOrName) -> Column:
     """Both sides need a box; equal to the whole gold text when rebuilt, or equal as math."""
-    mine, theirs = boxed_nested(answer), boxed_nested(gold)
-    rebuilt = F.concat(F.lit("\\boxed{"), mine, F.lit("}"))
-    same = (rebuilt == _col(gold)) | math_equal(normalize_latex(mine), normalize_latex(theirs))
-    return F.coalesce(same, F.lit(False))
+    boxes = F.struct(boxed_nested(answer).alias("a"), boxed_nested(gold).alias("b"))
+
+    def equal(s: Column) -> Column:
+        rebuilt = F.concat(F.lit("\\boxed{"), s["a"], F.lit("}"))
+        normal = F.struct(normalize_latex(s["a"]).alias("a"), normalize_latex(s["b"]).alias("b"))
+        same_math = _let(normal, lambda n: math_equal(n["a"], n["b"]))
+        both = s["a"].isNotNull() & s["b"].isNotNull()
+        return F.coalesce(both & ((rebuilt == _col(gold)) | same_math), F.lit(False))
+
+    return _let(boxes, equal)
 
 
 def python_block(c: ColumnOrName) -> Column:

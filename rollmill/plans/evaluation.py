@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollmill.functions.text import (
+    last_number,
     math_correct,
-    numeric_correct,
+    math_equal,
     strip,
     think_format,
     think_format_strict,
@@ -19,15 +20,16 @@ from rollmill.operators.joins import attach_questions
 
 def grade_numeric(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """Grade answers against numeric golds, with both format checks and the word count."""
-    text = attach_questions(answers, questions).withColumn("answer", strip("answer"))
-    return text.withColumns(
+    read = answers.withColumn("answer", strip("answer")).withColumns(
         {
-            "correct": numeric_correct("answer", "gold"),
+            "number": last_number("answer"),
             "format_ok": think_format("answer"),
             "format_strict": think_format_strict("answer"),
             "n_words": word_count("answer"),
         }
     )
+    right = F.coalesce(math_equal("number", "gold"), F.lit(False))
+    return attach_questions(read, questions).withColumn("correct", right).drop("number")
 
 
 def grade_math(answers: DataFrame, questions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollmill.functions.rewards import sum_reward
-from rollmill.functions.text import SEP_LOOSE, numeric_correct, think_format_strict
+from rollmill.functions.text import SEP_LOOSE, last_number, math_equal, think_format_strict
 from rollmill.operators.batching import micro_batches
 from rollmill.operators.groups import informative_advantage
 from rollmill.operators.joins import attach_questions
@@ -14,11 +14,17 @@ from rollmill.operators.skew import HOT_ROWS
 
 
 def score_rollouts(rollouts: DataFrame, questions: DataFrame, sep: str = SEP_LOOSE) -> DataFrame:
-    """Answers joined to their questions, graded for correctness and format."""
-    graded = attach_questions(rollouts, questions).withColumns(
-        {"correct": numeric_correct("answer", "gold"), "format_ok": think_format_strict("answer", sep)}
+    """Answers joined to their questions, graded for correctness and format.
+
+    Number and format are taken before the join, so whole answer texts need not travel to it.
+    """
+    extracted = rollouts.withColumns(
+        {"number": last_number("answer"), "format_ok": think_format_strict("answer", sep)}
+    )
+    graded = attach_questions(extracted, questions).withColumn(
+        "correct", F.coalesce(math_equal("number", "gold"), F.lit(False))
     )
-    return graded.withColumn("reward", sum_reward("correct", "format_ok"))
+    return graded.withColumn("reward", sum_reward("correct", "format_ok")).drop("number")
 
 
 def grpo_advantages(rollouts: DataFrame, questions: DataFrame, sep: str = SEP_LOOSE, hot_rows: int = HOT_ROWS) -> DataFrame:

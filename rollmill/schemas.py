@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 QUESTION = T.StructType().add("question", "string").add("answer", "string")
-MATH = T.StructType().add("problem", "string").add("answer", "string").add("level", "int")
+MATH = T.StructType().add("problem", "string").add("answer", "string").add("level", "integer")
 CODE_TASK = (
     T.StructType()
     .add("text", "string")
@@ -13,13 +13,13 @@ CODE_TASK = (
     .add("test_setup_code", "string")
 )
 QA_JSON = T.StructType().add("question", "string").add("answer_detail", "string")
-META = T.StructType().add("plen", "int").add("rmean", "double").add("rvar", "double")
+META = T.StructType().add("plen", "integer").add("rmean", "double").add("rvar", "double")
 _ROWS = T.ArrayType(T.ArrayType(T.DoubleType()))
 _ROW = T.ArrayType(T.DoubleType())
 BATCH = (
     T.StructType()
     .add("batch_id", "long")
-    .add("plen", "int")
+    .add("plen", "integer")
     .add("rmean", "double")
     .add("rvar", "double")
     .add("num_items_in_batch", "double")
