@@ -8,6 +8,8 @@ MODULES = (
     "group_queries",
     "text_queries",
     "reward_queries",
+    "eval_queries",
+    "batch_queries",
 )
 
 
