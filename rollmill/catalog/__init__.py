@@ -10,6 +10,10 @@ MODULES = (
     "reward_queries",
     "eval_queries",
     "batch_queries",
+    "token_queries",
+    "prompt_queries",
+    "source_queries",
+    "stream_queries",
 )
 
 

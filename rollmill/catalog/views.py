@@ -158,7 +158,10 @@ GRADED = """graded AS (
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     """One row per answer with aligned log-prob arrays."""
-    e = table(spark, sf, "embeddings")
+    return sequence_rows(table(spark, sf, "embeddings"))
+
+
+def sequence_rows(e: DataFrame) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     n = F.size("embedding")
     return e.select(

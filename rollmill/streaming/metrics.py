@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def running_training_stream(
@@ -18,3 +19,17 @@ def running_training_stream(
         F.try_divide(F.sum(F.col(acc).cast("bigint")), n).alias("acc_correct_ratio"),
         F.try_divide(F.sum(F.col(fmt).cast("bigint")), n).alias("format_correct_ratio"),
     )
+
+
+def write_metrics(metrics: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the latest metrics row below `path`."""
+    def save(row: DataFrame, batch_id: int) -> None:
+        row.write.mode("overwrite").parquet(path)
+
+    return (
+        metrics.writeStream.foreachBatch(save)
+        .outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
