@@ -20,7 +20,8 @@ def _md5(c: str):
     return F.md5(F.col(c).cast("binary"))
 
 
-_SPLIT = F.when(F.col("correct"), "train").otherwise("test")
+def _split():
+    return F.when(F.col("correct"), "train").otherwise("test").alias("split")
 
 
 def _both_splits(spark, path, read):
@@ -34,7 +35,7 @@ def read_questions(spark, sf):
     path = run_dir(spark, "questions")
     clean = F.concat(F.replace("answer", F.lit("#"), F.lit("")), F.lit("#### "), "doc_id", F.lit("\n"))
     rows = graded(spark, sf).select(
-        F.col("doc_id").alias("idx"), F.col("answer").alias("question"), clean.alias("answer"), _SPLIT.alias("split")
+        F.col("doc_id").alias("idx"), F.col("answer").alias("question"), clean.alias("answer"), _split()
     )
     datasets.write_dataset(rows, path)
     return _both_splits(spark, path, datasets.read_questions).select(
@@ -48,7 +49,7 @@ def read_math(spark, sf):
     path = run_dir(spark, "math")
     rows = graded(spark, sf).select(
         F.col("doc_id").alias("idx"), F.col("answer").alias("problem"),
-        F.concat(F.lit(" \n\tx = "), "doc_id", F.lit(" \n")).alias("answer"), "level", _SPLIT.alias("split"),
+        F.concat(F.lit(" \n\tx = "), "doc_id", F.lit(" \n")).alias("answer"), "level", _split(),
     )
     datasets.write_dataset(rows, path)
     return _both_splits(spark, path, datasets.read_math).select(

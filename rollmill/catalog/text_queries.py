@@ -151,13 +151,21 @@ def math_equal(spark, sf):
     )
 
 
-@query(with_views(MATH_ANSWERS) + f"""SELECT {_ID}, CASE line % 6
+_MATH_CORRECT = with_views(MATH_ANSWERS) + f"""SELECT {_ID}, CASE line % 6
   WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN partkey % 5 = partkey % 7 WHEN 3 THEN partkey % 5 = partkey % 7
-  WHEN 4 THEN suppkey % 7 = partkey % 7 ELSE true END AS correct FROM math_answers""")
+  WHEN 4 THEN suppkey % 7 = partkey % 7 ELSE true END AS correct FROM math_answers"""
+
+
+@query(_MATH_CORRECT)
 def math_correct(spark, sf):
     return math_answers(spark, sf).select("q_id", *ROLLOUT_ID, T.math_correct("answer", "gold").alias("correct"))
 
 
+@query(_MATH_CORRECT)
+def with_math_correct(spark, sf):
+    return T.with_math_correct(math_answers(spark, sf)).select("q_id", *ROLLOUT_ID, "correct")
+
+
 @query(with_views(ROLLOUTS) + f"SELECT {_ID}, correct FROM rollouts")
 def numeric_correct(spark, sf):
     return rollouts(spark, sf).select("q_id", *ROLLOUT_ID, T.numeric_correct("answer", "gold").alias("correct"))

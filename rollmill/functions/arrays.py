@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from rollmill.functions.text import ColumnOrName, _col
 
@@ -76,7 +77,7 @@ def completion_slice(per_token: ColumnOrName, plen: ColumnOrName) -> Column:
     return F.slice(_col(per_token), F.greatest(_col(plen), F.lit(1)), F.greatest(F.size(_col(per_token)), F.lit(1)))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def suffix_sums(values: pd.Series) -> pd.Series:
     """Sum from each position to the end of its own array, in linear time.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
@@ -17,8 +17,8 @@ ColumnOrName = Column | str
 
 # --- fixed values: markers and patterns that define the results -------------------------------
 GOLD_MARK = "####"
-UNSIGNED_NUMBER = r"\d+\.\d+|\d+/\d+|\d+"
-SIGNED_NUMBER = r"-?\d+\.\d+|-?\d+/\d+|-?\d+"
+UNSIGNED_NUMBER = r"\d+(?:\.\d+|/\d+)?"  # decimal, simple fraction or integer
+SIGNED_NUMBER = r"-?\d+(?:\.\d+|/\d+)?"
 SEP_LOOSE = r"[\n ]*"
 SEP_ONE = r"[\n ]"
 SEP_NONE = ""
@@ -90,56 +90,88 @@ def boxed_nested(c: ColumnOrName) -> Column:
 
     Innermost brace pairs are renamed first, so that the search itself needs no repeated group.
     """
-    leaves = F.regexp_replace(_col(c), r"\{([^{}]*)\}", f"{_OPEN}$1{_CLOSE}")
+    x = F.when(F.contains(_col(c), F.lit("\\boxed{")), _col(c))
+    leaves = F.regexp_replace(x, r"\{([^{}]*)\}", f"{_OPEN}$1{_CLOSE}")
     pattern = rf"\\boxed(?:{_OPEN}[^{{}}{_OPEN}{_CLOSE}]*{_CLOSE}|\{{[^{{}}]*\}})"
     hit = _last(F.regexp_extract_all(leaves, F.lit(pattern), F.lit(0)))
-    inside = hit.substr(F.lit(8), F.length(hit) - 8)
+    inside = F.regexp_replace(hit, r"(?s)^\\boxed.|.\z", "")
     return F.translate(inside, _OPEN + _CLOSE, "{}")
 
 
 def dollar_math(c: ColumnOrName) -> Column:
     """Last `$...$`, stripped."""
-    return strip(_last(F.regexp_extract_all(_col(c), F.lit(r"(?s)\$(.+?)\$"), F.lit(1))))
+    x = F.when(F.contains(_col(c), F.lit("$")), _col(c))
+    return strip(_last(F.regexp_extract_all(x, F.lit(r"(?s)\$(.+?)\$"), F.lit(1))))
 
 
 def boxed_or_dollar(c: ColumnOrName) -> Column:
     return F.coalesce(strip(boxed_nested(c)), dollar_math(c))
 
 
+def answer_body(c: ColumnOrName) -> Column:
+    """Text of the first answer block, stripped."""
+    x = F.when(F.contains(_col(c), F.lit("<answer>")), _col(c))
+    hits = F.regexp_extract_all(x, F.lit("(?s)<answer>(.*?)</answer>"), F.lit(1))
+    return strip(F.try_element_at(hits, F.lit(1)))
+
+
+def answer_in_body(body: ColumnOrName) -> Column:
+    """The boxed or `$` math of an answer block, else all of it."""
+    return F.coalesce(F.nullif(boxed_or_dollar(body), F.lit("")), _col(body))
+
+
 def answer_tag(c: ColumnOrName) -> Column:
     """First answer block, reduced to the boxed or `$` math in it when there is some."""
-    hits = F.regexp_extract_all(_col(c), F.lit("(?s)<answer>(.*?)</answer>"), F.lit(1))
-    body = strip(F.try_element_at(hits, F.lit(1)))
-    return _let(body, lambda b: F.coalesce(F.nullif(boxed_or_dollar(b), F.lit("")), b))
+    return _let(answer_body(c), answer_in_body)
+
+
+def answer_outside(c: ColumnOrName) -> Column:
+    """Boxed, else `$` math, else last signed number, else NULL."""
+    return F.coalesce(boxed_or_dollar(c), last_number_signed(c))
 
 
 def extract_math_answer(c: ColumnOrName) -> Column:
     """Answer block, else boxed, else `$` math, else last signed number, else NULL."""
-    return F.coalesce(answer_tag(c), boxed_or_dollar(c), last_number_signed(c))
+    return F.coalesce(answer_tag(c), answer_outside(c))
 
 
-def normalize_latex(c: ColumnOrName) -> Column:
+def _unmarked(c: ColumnOrName) -> Column:
     x = strip(c)
     for mark in ("$", "\\,", "\\!"):
         x = F.replace(x, F.lit(mark), F.lit(""))
-    x = F.regexp_replace(x, rf"(?U)\\left{_WS}*(?=[()])", "")
-    x = F.regexp_replace(x, rf"(?U)\\right{_WS}*(?=[()])", "")
-    x = F.regexp_replace(x, r"(?d)\\text\{(.+?)\}", "$1")
+    return x
+
+
+def _plain_latex(x: Column) -> Column:
+    y = F.regexp_replace(x, rf"(?U)\\left{_WS}*(?=[()])", "")
+    y = F.regexp_replace(y, rf"(?U)\\right{_WS}*(?=[()])", "")
+    y = F.regexp_replace(y, r"(?d)\\text\{(.+?)\}", "$1")
     part = rf"\{{{_WS}*([^{{}}]+?){_WS}*\}}"
-    x = F.regexp_replace(x, rf"(?U)\\frac{_WS}*{part}{_WS}*{part}", "($1)/($2)")
-    return F.replace(x, F.lit(" "), F.lit(""))
+    y = F.regexp_replace(y, rf"(?U)\\frac{_WS}*{part}{_WS}*{part}", "($1)/($2)")
+    # most answers hold no command and need none of the patterns
+    return F.replace(F.when(F.contains(x, F.lit("\\")), y).otherwise(x), F.lit(" "), F.lit(""))
+
+
+def normalize_latex(c: ColumnOrName) -> Column:
+    """Drop `$`, spacing commands and blanks, unwrap text, write fractions as (a)/(b)."""
+    return _let(_unmarked(c), _plain_latex)
 
 
 _NUMBER = r"(\d+\.?\d*|\.\d+)"
 _RATIONAL = rf"^([+-]?)\(?([+-]?){_NUMBER}\)?(?:/\(?([+-]?){_NUMBER}\)?)?$"
-_DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)$"
+# at most nine digits on each side of a point, so that products of two parts are exact
+_SHORT_RATIONAL = r"^[+-]?\(?\d{1,9}(?:\.\d{1,9})?\)?(?:/\(?\d{1,9}(?:\.\d{1,9})?\)?)?$"
+_NUMERIC = rf"(?U)^{_WS}*[+(-]*[\d.,]+[)/(+-]*[\d.]*\)?{_WS}*$"  # anything that could be a number
 _THOUSANDS = r"^[+-]?\d{1,3}(?:,\d{3})++(?:\.\d+)?$"
 _WHOLE = DecimalType(38, 0)
-_SHORT = DecimalType(38, 18)
+_PART = DecimalType(18, 9)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value that `body` uses many times, so that its expression occurs in the plan once."""
+    """Bind a value that `body` uses many times, so that its expression occurs in the plan once.
+
+    Plans over many rows bind by columns instead (see `with_math_correct`): lambdas are interpreted.
+    """
     return F.transform(F.array(value), body)[0]
 
 
@@ -168,6 +200,12 @@ def _rational(c: Column) -> Column:
     return F.when(c.rlike(_RATIONAL), _let(fields, parts))
 
 
+def _short_parts(c: Column) -> tuple[Column, Column]:
+    bare = F.translate(c, "()", "")
+    below = F.when(F.contains(bare, F.lit("/")), F.split_part(bare, F.lit("/"), F.lit(2))).otherwise("1")
+    return F.split_part(bare, F.lit("/"), F.lit(1)).try_cast(_PART), below.try_cast(_PART)
+
+
 def _plain(c: Column) -> Column:
     return F.when(c.rlike(_THOUSANDS), F.replace(c, F.lit(","), F.lit(""))).otherwise(c)
 
@@ -175,29 +213,32 @@ def _plain(c: Column) -> Column:
 def math_equal(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Equal as text or as exact rationals; NULL only if either side is NULL.
 
-    Equal texts and short plain decimals are settled first, in generated code when both sides are
-    plain columns. The rest cross-multiplies; a product beyond 38 digits leaves text equality.
+    Equal texts settle first, then short numbers, then texts that are no numbers. What is left
+    cross-multiplies whole digits; a product beyond 38 digits leaves text equality.
     """
-    left, right = _col(a), _col(b)
-
-    def direct(c: Column) -> Column:
-        return (F.length(c) <= 18) & c.rlike(_DECIMAL)
-
     def crossed(q: Column) -> Column:
         product = F.try_multiply(q["a"]["top"], q["b"]["low"])
         return F.coalesce(product == F.try_multiply(q["b"]["top"], q["a"]["low"]), F.lit(False))
 
-    def by_value(s: Column) -> Column:
+    def by_digits(s: Column) -> Column:
         rationals = F.struct(_rational(s["a"]).alias("a"), _rational(s["b"]).alias("b"))
         return (s["a"] == s["b"]) | _let(rationals, crossed)
 
-    cleaned = F.struct(_plain(strip(left)).alias("a"), _plain(strip(right)).alias("b"))
-    return (
-        F.when(left.isNull() | right.isNull(), F.lit(None).cast("boolean"))
-        .when(left == right, F.lit(True))
-        .when(direct(left) & direct(right), left.try_cast(_SHORT) == right.try_cast(_SHORT))
-        .otherwise(_let(cleaned, by_value))
-    )
+    def by_value(s: Column) -> Column:
+        left, right = s["a"], s["b"]
+        (top_l, low_l), (top_r, low_r) = _short_parts(left), _short_parts(right)
+        short_equal = (low_l != 0) & (low_r != 0) & (top_l * low_r == top_r * low_l)
+        cleaned = F.struct(_plain(strip(left)).alias("a"), _plain(strip(right)).alias("b"))
+        return (
+            F.when(left.isNull() | right.isNull(), F.lit(None).cast("boolean"))
+            .when(left.rlike(_SHORT_RATIONAL) & right.rlike(_SHORT_RATIONAL), short_equal)
+            .when(~(left.rlike(_NUMERIC) & right.rlike(_NUMERIC)), strip(left) == strip(right))
+            .otherwise(_let(cleaned, by_digits))
+        )
+
+    # One lambda keeps the generated method small enough for the JIT, which skips huge ones.
+    sides = F.struct(_col(a).alias("a"), _col(b).alias("b"))
+    return F.when(_col(a) == _col(b), F.lit(True)).otherwise(_let(sides, by_value))
 
 
 def numeric_correct(answer: ColumnOrName, gold: ColumnOrName) -> Column:
@@ -213,6 +254,22 @@ def math_correct(answer: ColumnOrName, gold: ColumnOrName) -> Column:
     return _let(sides, lambda s: F.coalesce(math_equal(s["a"], s["b"]), F.lit(False)))
 
 
+def with_math_correct(df: DataFrame, answer: str = "answer", gold: str = "gold", name: str = "correct") -> DataFrame:
+    """`math_correct` in steps: a column used several times is computed once, in generated code."""
+    steps = (
+        ("_body", answer_body(answer)),
+        ("_said", F.coalesce(answer_in_body("_body"), answer_outside(answer))),
+        ("_a", _unmarked("_said")),
+        ("_b", _unmarked(gold)),
+        ("_a", _plain_latex(F.col("_a"))),
+        ("_b", _plain_latex(F.col("_b"))),
+        (name, F.coalesce(math_equal("_a", "_b"), F.lit(False))),
+    )
+    for column, value in steps:
+        df = df.withColumn(column, value)
+    return df.drop("_body", "_said", "_a", "_b")
+
+
 def boxed_equal(answer: ColumnOrName, gold: ColumnOrName) -> Column:
     """Both sides need a box; equal to the whole gold text when rebuilt, or equal as math."""
     boxes = F.struct(boxed_nested(answer).alias("a"), boxed_nested(gold).alias("b"))

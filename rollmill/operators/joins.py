@@ -1,7 +1,8 @@
 """Joins between questions, answers, token sequences and reference log-probs.
 
-None of them carries a broadcast hint: the small side of each grows with the data, so the choice is
-left to Spark's own size check, and AQE splits a skewed question where the join is shuffled.
+None of them broadcasts a side that grows with the data: the choice is left to Spark's own size check.
+Joins by question go through `skew.join_lookup`, since one question may have very many answers; joins
+by answer or token have unique keys on both sides.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollmill.operators.prompts import expand_tests
+from rollmill.operators.skew import HOT_ROWS, join_lookup
 
 __all__ = [
     "attach_questions",
@@ -24,8 +26,11 @@ __all__ = [
 ]
 
 
-def attach_questions(rollouts: DataFrame, questions: DataFrame, on: Sequence[str] = ("q_id",)) -> DataFrame:
-    return rollouts.join(questions, list(on))
+def attach_questions(
+    rollouts: DataFrame, questions: DataFrame, on: Sequence[str] = ("q_id",), hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Every answer with the columns of its question."""
+    return join_lookup(rollouts, questions, on, hot_rows=hot_rows)
 
 
 def merge_sequences(
@@ -33,7 +38,7 @@ def merge_sequences(
     prompt_ids: str = "prompt_ids", completion_ids: str = "completion_ids",
 ) -> DataFrame:
     """Prompt ids in front of every completion of the question, with the prompt length."""
-    joined = completions.join(prompts, list(on))
+    joined = join_lookup(completions, prompts.select(*on, prompt_ids), on)
     return joined.withColumns(
         {"plen": F.size(prompt_ids), "input_ids": F.concat(prompt_ids, completion_ids)}
     ).drop(prompt_ids, completion_ids)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000  # groups beyond this many rows count as hot
 MAX_HOT_GROUPS = 10_000  # broadcast bound; a group beyond it holds under 1/10,000 of the rows
+MAX_HOT_LOOKUPS = 1_000  # the same where the broadcast rows hold texts
 LANES = 4096
 
 
@@ -28,13 +29,30 @@ def group_stats(df: DataFrame, by: Sequence[str], **stats: Column) -> DataFrame:
     )
 
 
-def hot_groups(stats: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest groups beyond `hot_rows`, never more than MAX_HOT_GROUPS of them."""
-    return (
-        stats.where(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), *by)
-        .limit(MAX_HOT_GROUPS)
+def hot_groups(
+    stats: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS, at_most: int = MAX_HOT_GROUPS
+) -> DataFrame:
+    """The largest groups beyond `hot_rows`, never more than `at_most` of them."""
+    return stats.where(F.col("_rows") > hot_rows).orderBy(F.desc("_rows"), *by).limit(at_most)
+
+
+def _join_two_ways(
+    df: DataFrame, hot: DataFrame, cold: DataFrame, by: list[str], spread: Sequence[str], values: list[str]
+) -> DataFrame:
+    """Left join with the hot keys' values broadcast and all others shuffled.
+
+    Hot rows go to random lanes of the shuffled join, where they match nothing and need nothing. The
+    lane of the other side is computed from its key: as a constant, Catalyst would drop it from the
+    join key, and hot rows would meet in one task after all.
+    """
+    hot_side = hot.select(*by, F.struct(*values).alias("_hot"))
+    lane_zero = F.pmod(F.xxhash64(*by), F.lit(1)).cast("int")
+    cold_side = cold.select(*by, lane_zero.alias("_lane"), F.struct(*values).alias("_cold"))
+    hot_lane = 1 + F.pmod(F.xxhash64(*spread), F.lit(LANES)).cast("int")
+    tagged = df.join(F.broadcast(hot_side), by, "left").withColumn(
+        "_lane", F.when(F.col("_hot").isNull(), 0).otherwise(hot_lane)
     )
+    return tagged.join(cold_side, [*by, "_lane"], "left").withColumn("_picked", F.coalesce("_hot", "_cold"))
 
 
 def attach(
@@ -44,25 +62,37 @@ def attach(
     spread: Sequence[str],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add the columns of `stats` (from `group_stats`) to every row of `df`.
+    """Add the columns of `stats` (from `group_stats` of the same rows) to every row of `df`.
 
     `spread` names columns that differ between the rows of a group; they pick the lane of hot rows.
     Rows without a statistics row get NULLs.
     """
     by = list(by)
     values = [c for c in stats.columns if c not in by and c != "_rows"]
-    hot = hot_groups(stats, by, hot_rows).select(*by, F.struct(*values).alias("_hot"))
-    # The lane must not fold to a constant, or Catalyst drops it from the join key.
-    cold_lane = F.when(F.col("_rows") < 0, F.lit(-1)).otherwise(F.lit(0))
-    cold = stats.select(*by, cold_lane.alias("_lane"), F.struct(*values).alias("_cold"))
-    hot_lane = 1 + F.pmod(F.xxhash64(*spread), F.lit(LANES)).cast("int")
-    tagged = df.join(F.broadcast(hot), by, "left").withColumn(
-        "_lane", F.when(F.col("_hot").isNull(), 0).otherwise(hot_lane)
-    )
-    picked = F.coalesce("_hot", "_cold")
-    return tagged.join(cold, [*by, "_lane"], "left").select(
-        *[F.col(c) for c in df.columns], *[picked[v].alias(v) for v in values]
-    )
+    joined = _join_two_ways(df, hot_groups(stats, by, hot_rows), stats, by, spread, values)
+    return joined.select(*[F.col(c) for c in df.columns], *[F.col(f"_picked.{v}").alias(v) for v in values])
+
+
+def join_lookup(
+    df: DataFrame,
+    lookup: DataFrame,
+    by: Sequence[str],
+    spread: Sequence[str] | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Inner join with a table that has one row per key, safe against hot keys in `df`.
+
+    AQE would split a skewed join only where no aggregation on the same key follows, and here one
+    usually does. Hot keys are found by a count that reads the key columns alone; the broadcast side
+    has MAX_HOT_LOOKUPS rows at most.
+    """
+    by = list(by)
+    values = [c for c in lookup.columns if c not in by]
+    keys = hot_groups(group_stats(df, by), by, hot_rows, MAX_HOT_LOOKUPS).select(*by)
+    hot = lookup.join(F.broadcast(keys), by, "left_semi")
+    apart = list(spread or [c for c in df.columns if c not in by] or by)
+    joined = _join_two_ways(df, hot, lookup, by, apart, values).where(F.col("_picked").isNotNull())
+    return joined.select(*[F.col(c) for c in df.columns], *[F.col(f"_picked.{v}").alias(v) for v in values])
 
 
 def with_group_stats(

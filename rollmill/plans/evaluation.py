@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from rollmill.functions.text import (
     last_number,
-    math_correct,
     math_equal,
     strip,
     think_format,
     think_format_strict,
+    with_math_correct,
     word_count,
 )
 from rollmill.operators.evals import eval_summary, length_by_outcome
@@ -34,10 +34,9 @@ def grade_numeric(answers: DataFrame, questions: DataFrame) -> DataFrame:
 
 def grade_math(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """Grade answers against LaTeX golds; the format check is the strict one."""
-    text = attach_questions(answers, questions).withColumn("answer", strip("answer"))
-    return text.withColumns(
-        {"correct": math_correct("answer", "gold"), "format_ok": think_format_strict("answer")}
-    )
+    read = answers.withColumn("answer", strip("answer"))
+    graded = with_math_correct(attach_questions(read, questions))
+    return graded.withColumn("format_ok", think_format_strict("answer"))
 
 
 def evaluate_numeric(answers: DataFrame, questions: DataFrame) -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from rollmill.operators.batching import macro_batches
 from rollmill.operators.sequences import rfpp_advantage
+from rollmill.operators.skew import join_lookup, with_group_stats
 from rollmill.operators.tokens import (
+    TOKEN,
     eos_mask,
     masked_standardize,
     rfpp_loss,
     suffix_return,
     token_reward,
-    valid_tokens,
 )
 
 
@@ -27,15 +28,17 @@ def rfpp_advantage_tokens(tokens: DataFrame, beta: float = 0.01, eps: float = 1e
 
 def macro_advantages(rollouts: DataFrame, n: int, beta: float = 0.01) -> DataFrame:
     """Wide answer rows with producer, batch and arrival, assembled into macro batches of `n`."""
-    index = rollouts.groupBy("producer", "batch_id").agg(F.min("arrival").alias("arrival"))
+    keys = ["producer", "batch_id"]
+    index = rollouts.groupBy(*keys).agg(F.min("arrival").alias("arrival"))
     placed = macro_batches(index, n).drop("arrival")
-    return rfpp_advantage(
-        rollouts.join(placed, ["producer", "batch_id"]), beta, scope=("producer", "macro_id")
-    )
+    tagged = join_lookup(rollouts, placed, keys, ["rollout_id"])
+    return rfpp_advantage(tagged, beta, scope=("producer", "macro_id"))
 
 
 def rfpp_losses(tokens: DataFrame, macro_step: int, beta: float = 0.01, clip: float = 0.2) -> DataFrame:
     """Batch losses of token rows that carry policy, generator and reference log-probs."""
-    advantages = rfpp_advantage_tokens(tokens, beta)
-    share = valid_tokens(tokens, macro_step).drop("valid_tokens")
-    return rfpp_loss(advantages.join(share, "macro_id"), clip=clip)
+    share = F.sum(F.col("valid").cast("bigint")) / macro_step
+    advantages = with_group_stats(
+        rfpp_advantage_tokens(tokens, beta), ["macro_id"], TOKEN, num_items_in_batch=share
+    )
+    return rfpp_loss(advantages, clip=clip)

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rollmill.operators.batching import keep_latest_macro, macro_batches
 from rollmill.operators.sequences import rfpp_advantage
+from rollmill.operators.skew import join_lookup
 from rollmill.sources.tables import read_or_empty
 
 
@@ -41,7 +42,7 @@ def macro_stream(
         placed = macro_batches(index, n)
         sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("arrival").alias("_first"))
         named = placed.drop("arrival").join(sizes, keys).drop("macro_id")
-        tagged = rows.join(named, ["producer", "batch_id"])
+        tagged = join_lookup(rows, named, ["producer", "batch_id"], ["rollout_id"])
         full = tagged.where(F.col("_n") == n).withColumnRenamed("_first", "macro_id").drop("_n")
         if keep is not None:
             full = evict_stale(full, keep)

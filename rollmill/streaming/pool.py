@@ -16,13 +16,15 @@ from rollmill.sources.tables import read_or_empty
 
 MIN_TOTAL = 60
 
-_STATE = T.StructType.fromDDL(
-    "answers array<string>, rewards array<double>, arrivals array<bigint>, received bigint"
+_STATE = (
+    T.StructType()
+    .add("answers", T.ArrayType(T.StringType()))
+    .add("rewards", T.ArrayType(T.DoubleType()))
+    .add("arrivals", T.ArrayType(T.LongType()))
+    .add("received", "long")
 )
-POOL = T.StructType.fromDDL(
-    "q string, answers array<string>, rewards array<double>, arrivals array<bigint>, received bigint, fresh bigint"
-)
-_PROGRESS = T.StructType.fromDDL("total bigint, batch bigint")
+POOL = T.StructType([T.StructField("q", T.StringType()), *_STATE.fields, T.StructField("fresh", T.LongType())])
+_PROGRESS = T.StructType().add("total", "long").add("batch", "long")
 
 
 def _newest_per_question(n: int):
