@@ -152,13 +152,25 @@ def rarity(
     return attach(df, levels, [*by, reward], spread, hot_rows).withColumnRenamed("_rarity", name)
 
 
-def blend_rarity(df: DataFrame, w: float = 0.05, eps: float = 1e-4, **where) -> DataFrame:
-    """Advantage plus `w` times the rarity of that advantage.
+def blend_rarity(
+    df: DataFrame,
+    w: float = 0.05,
+    eps: float = 1e-4,
+    by: Sequence[str] = GROUP,
+    reward: str = "reward",
+    spread: Sequence[str] = SPREAD,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Advantage plus `w` times the rarity of that advantage; adds `advantage` and `rarity`.
 
-    Equal rewards of a group have equal advantages, so rarity is counted on the rewards.
+    Rows with the same reward in a group share both, so the two are put together per reward level
+    and the rows are joined only once.
     """
-    scored = rarity(group_advantage(df, eps, **where), **where)
-    return scored.withColumn("advantage", F.col("advantage") + F.lit(w) * F.col("rarity"))
+    moments = group_stats(df, by, _mean=F.avg(reward), _std=F.stddev_samp(reward))
+    levels = attach(_rarity_levels(df, by, reward, False, 1e-6), moments, by, [reward], hot_rows)
+    advantage = _z(F.col(reward), F.col("_mean"), F.col("_std"), eps) + F.lit(w) * F.col("_rarity")
+    scored = levels.select(*by, reward, "_rows", advantage.alias("advantage"), F.col("_rarity").alias("rarity"))
+    return attach(df, scored, [*by, reward], spread, hot_rows)
 
 
 def drop_flat_rarity(df: DataFrame, by: Sequence[str] = GROUP, score: str = "rarity",

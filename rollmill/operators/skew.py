@@ -19,12 +19,22 @@ MAX_HOT_LOOKUPS = 1_000  # the same where the broadcast rows hold texts
 LANES = 4096
 
 
+def _cold_lane(by: Sequence[str]) -> Column:
+    """Lane zero, computed from the key: Catalyst would drop a constant from the join key, and the
+    rows of a hot group would meet in one task after all."""
+    # never NULL, so that no filter is inferred on one side only and the shuffle can be reused
+    return F.coalesce(F.pmod(F.xxhash64(*by), F.lit(1)).cast("int"), F.lit(0))
+
+
 def group_stats(df: DataFrame, by: Sequence[str], **stats: Column) -> DataFrame:
-    """One row per group with `stats` and the group's row count `_rows`."""
+    """One row per group with `stats`, the group's row count `_rows` and its lane.
+
+    Grouping by the lane as well leaves the result partitioned as `attach` joins it.
+    """
     known = df
     for key in by:
         known = known.where(F.col(key).isNotNull())
-    return known.groupBy(*by).agg(
+    return known.withColumn("_lane", _cold_lane(by)).groupBy(*by, "_lane").agg(
         F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in stats.items()]
     )
 
@@ -41,13 +51,10 @@ def _join_two_ways(
 ) -> DataFrame:
     """Left join with the hot keys' values broadcast and all others shuffled.
 
-    Hot rows go to random lanes of the shuffled join, where they match nothing and need nothing. The
-    lane of the other side is computed from its key: as a constant, Catalyst would drop it from the
-    join key, and hot rows would meet in one task after all.
+    Hot rows go to random lanes of the shuffled join, where they match nothing and need nothing.
     """
     hot_side = hot.select(*by, F.struct(*values).alias("_hot"))
-    lane_zero = F.pmod(F.xxhash64(*by), F.lit(1)).cast("int")
-    cold_side = cold.select(*by, lane_zero.alias("_lane"), F.struct(*values).alias("_cold"))
+    cold_side = cold.select(*by, "_lane", F.struct(*values).alias("_cold"))
     hot_lane = 1 + F.pmod(F.xxhash64(*spread), F.lit(LANES)).cast("int")
     tagged = df.join(F.broadcast(hot_side), by, "left").withColumn(
         "_lane", F.when(F.col("_hot").isNull(), 0).otherwise(hot_lane)
@@ -68,8 +75,12 @@ def attach(
     Rows without a statistics row get NULLs.
     """
     by = list(by)
-    values = [c for c in stats.columns if c not in by and c != "_rows"]
-    joined = _join_two_ways(df, hot_groups(stats, by, hot_rows), stats, by, spread, values)
+    if "_lane" not in stats.columns:
+        stats = stats.withColumn("_lane", _cold_lane(by))
+    values = [c for c in stats.columns if c not in (*by, "_rows", "_lane")]
+    # Reading the row count on both sides keeps their aggregations equal, so the shuffle is reused.
+    cold = stats.where(F.col("_rows") > 0)
+    joined = _join_two_ways(df, hot_groups(stats, by, hot_rows), cold, by, spread, values)
     return joined.select(*[F.col(c) for c in df.columns], *[F.col(f"_picked.{v}").alias(v) for v in values])
 
 
@@ -91,7 +102,8 @@ def join_lookup(
     keys = hot_groups(group_stats(df, by), by, hot_rows, MAX_HOT_LOOKUPS).select(*by)
     hot = lookup.join(F.broadcast(keys), by, "left_semi")
     apart = list(spread or [c for c in df.columns if c not in by] or by)
-    joined = _join_two_ways(df, hot, lookup, by, apart, values).where(F.col("_picked").isNotNull())
+    cold = lookup.withColumn("_lane", _cold_lane(by))
+    joined = _join_two_ways(df, hot, cold, by, apart, values).where(F.col("_picked").isNotNull())
     return joined.select(*[F.col(c) for c in df.columns], *[F.col(f"_picked.{v}").alias(v) for v in values])
 
 

@@ -174,3 +174,13 @@ def test_worked_advantage(spark):
     df = spark.createDataFrame([(1, 0, 2.25), (1, 1, -2.0)], "q_id long, rollout_idx long, reward double")
     got = sorted(r.advantage for r in G.group_advantage(df).collect())
     assert got == [pytest.approx(-0.707083, abs=1e-6), pytest.approx(0.707083, abs=1e-6)]
+
+
+@pytest.mark.parametrize("hot_rows", [5, 10**6])
+def test_blend_is_advantage_plus_rarity(lopsided, hot_rows):
+    rows, df = lopsided
+    apart = G.rarity(G.group_advantage(df)).collect()
+    want = {(r.q_id, r.rollout_idx): None if r.advantage is None else r.advantage + 0.05 * r.rarity for r in apart}
+    got = {(r.q_id, r.rollout_idx): r.advantage for r in G.blend_rarity(df, hot_rows=hot_rows).collect()}
+    assert got.keys() == want.keys() and len(got) == len(rows)
+    assert all(got[k] is None if want[k] is None else got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
