@@ -132,17 +132,17 @@ def max_total_tokens(spark, sf):
     return filters.max_total_tokens(rows, 45, "input_ids").select("rollout_id", "batch_id")
 
 
-@query(with_views(TOKENS) + "SELECT rollout_id, pos FROM tokens WHERE NOT (NOT valid AND pos % 2 = 0)")
+@query(with_views(TOKENS) + "SELECT rollout_id, pos FROM tokens WHERE NOT (NOT valid AND logp < -0.1)")
 def drop_nan(spark, sf):
-    broken = ~F.col("valid") & (F.col("pos") % 2 == 0)
+    broken = ~F.col("valid") & (F.col("logp") < -0.1)
     rows = tokens(spark, sf).withColumn("loss", F.when(broken, F.lit(float("nan"))).otherwise(F.col("logp")))
     return filters.drop_nan(rows, "loss").select("rollout_id", "pos")
 
 
-@query(with_views(IDS) + "SELECT rollout_id FROM ids WHERE label % 3 = 2")
+@query(with_views(IDS) + "SELECT rollout_id FROM ids WHERE label > 6")
 def drop_missing_logps(spark, sf):
     empty = F.array().cast("array<int>")
-    kept = F.when(F.col("label") % 3 == 0, F.lit(None)).when(F.col("label") % 3 == 1, empty).otherwise(F.col("answer_ids"))
+    kept = F.when(F.col("label") <= 3, F.lit(None)).when(F.col("label") <= 6, empty).otherwise(F.col("answer_ids"))
     return filters.drop_missing_logps(token_ids(spark, sf).withColumn("gen_logps", kept)).select("rollout_id")
 
 

@@ -87,11 +87,11 @@ def write_dataset(spark, sf):
     return spark.read.parquet(path).groupBy(F.col("split").cast("string").alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(with_views(EXCHANGES) + """SELECT conv_id, turn, md5(concat('You are ', conv_id, chr(10), chr(10), (SELECT text FROM benchmark WHERE item_id = 3), chr(10))) AS system_md5,
+@query(with_views(EXCHANGES) + """SELECT conv_id, turn, md5(concat('You are ', conv_id, chr(10), chr(10), (SELECT max(text) FROM benchmark), chr(10))) AS system_md5,
  concat('You are ', conv_id) AS unchanged FROM exchanges""")
 def with_skill_prompt(spark, sf):
     path = run_dir(spark, "skill")
-    table(spark, sf, "benchmark").where("item_id = 3").select("text").coalesce(1).write.text(path)
+    table(spark, sf, "benchmark").agg(F.max("text")).write.text(path)
     rows = exchanges(spark, sf).select("conv_id", "turn", F.concat(F.lit("You are "), "conv_id").alias("system"))
     same = datasets.with_skill_prompt(rows.withColumn("unchanged", F.col("system")), path + "-missing", "unchanged")
     done = datasets.with_skill_prompt(same, path)

@@ -191,7 +191,7 @@ def pearson(spark, sf):
 
 
 _SOFTMAX = """logits AS (SELECT vec_id, label, p, embedding[p+1]::DOUBLE AS x FROM embeddings, range(64) r(p)),
- lse AS (SELECT vec_id, any_value(label) AS label, max(x) + ln(sum(exp(x - m))) AS lse, sum(exp(x - m) * (x - m)) / sum(exp(x - m)) AS mean, max(m) AS top
+ lse AS (SELECT vec_id, any_value(label) AS label, max(x) + ln(sum(exp(x - m))) AS lse, sum(exp(x - m) * (x - m)) / sum(exp(x - m)) AS mean, max(m) AS top, any_value(x) FILTER (p = 0) AS first
   FROM (SELECT *, max(x) OVER (PARTITION BY vec_id) AS m FROM logits) GROUP BY vec_id)"""
 
 
@@ -204,9 +204,9 @@ def token_logprob(spark, sf):
     return _logits(spark, sf).select("vec_id", r6(A.token_logprob("logits", "label")).alias("logprob"))
 
 
-@query(with_views(_SOFTMAX) + f"SELECT label, {_round('sum(lse - top - mean) / (count(*) + 1e-8)', 'mean_entropy')} FROM lse WHERE label % 2 = 0 GROUP BY label")
+@query(with_views(_SOFTMAX) + f"SELECT label, {_round('sum(lse - top - mean) / (count(*) + 1e-8)', 'mean_entropy')} FROM lse WHERE first > 0 GROUP BY label")
 def mean_entropy(spark, sf):
-    rows = _logits(spark, sf).withColumn("valid", F.col("label") % 2 == 0)
+    rows = _logits(spark, sf).withColumn("valid", F.col("logits")[0] > 0)
     return K.mean_entropy(rows, by=["label"]).select("label", r6("mean_entropy").alias("mean_entropy"))
 
 

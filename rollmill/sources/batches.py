@@ -28,6 +28,16 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BATCH).parquet(path)
 
 
+def write_token_table(
+    df: DataFrame, name: str, buckets: int, by: tuple[str, ...] = ("rollout_id", "pos"), mode: str = "errorifexists"
+) -> None:
+    """Store per-token log-probs bucketed and sorted by their key.
+
+    Policy, generator and reference tables with the same bucketing align without a shuffle.
+    """
+    df.write.mode(mode).bucketBy(buckets, *by).sortBy(*by).saveAsTable(name)
+
+
 def batch_meta(json: ColumnOrName) -> Column:
     """Batch metadata from its JSON text; absent keys are NULL."""
     return F.from_json(_col(json), META)

@@ -24,7 +24,7 @@ _STATE = (
     .add("received", "long")
 )
 POOL = T.StructType([T.StructField("q", T.StringType()), *_STATE.fields, T.StructField("fresh", T.LongType())])
-_PROGRESS = T.StructType().add("total", "long").add("batch", "long")
+_PROGRESS = T.StructType().add("total", "long")
 
 
 def _newest_per_question(n: int):
@@ -129,7 +129,7 @@ def regroup_stream(
         pools = f"{path}/pools/batch={batch_id}"
         changed.write.mode("overwrite").parquet(pools)
         changed = spark.read.schema(POOL).parquet(pools)
-        earlier = read_or_empty(spark, f"{path}/progress", _PROGRESS).where(F.col("batch") < batch_id)
+        earlier = read_or_empty(spark, f"{path}/progress/batch={batch_id - 1}", _PROGRESS)
         before = earlier.agg(F.max("total")).first()[0] or 0
         total = before + (changed.agg(F.sum("fresh")).first()[0] or 0)
         progress = spark.range(1).select(F.lit(total).cast("long").alias("total"))
