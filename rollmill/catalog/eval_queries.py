@@ -212,3 +212,27 @@ def retry_accuracy(spark, sf):
     rows = rollouts(spark, sf).select("q_id", "line", "correct")
     done = J.retry_accuracy(rows.where("line <= 2"), rows.where("line > 2"))
     return _rounded(done, "retry_accuracy")
+
+
+@query(with_views(ROLLOUTS) + f"""SELECT level, n, {_round('acc', 'accuracy')}, samples, {_round('total_acc', 'total_accuracy')},
+ {_round('fmt', 'format_rate')} FROM (SELECT unnest([1, 2, 3, 4, 5])::INT AS level)
+ LEFT JOIN (SELECT 1 + q_id % 4 AS lv, count(*) AS c, avg(correct::INT) AS a FROM rollouts GROUP BY 1) ON lv = level,
+ LATERAL (SELECT coalesce(c, 0)::BIGINT AS n, coalesce(a, 0) AS acc),
+ (SELECT count(*) AS samples, avg(correct::INT) AS total_acc, avg(format_ok::INT) AS fmt FROM rollouts)""")
+def evaluate_math(spark, sf):
+    asked = questions(spark, sf).select("q_id", "gold", (1 + F.col("q_id") % 4).cast("int").alias("level"))
+    row = evaluation.evaluate_math(rollouts(spark, sf).select("q_id", "answer"), asked)
+    each = row.select("samples", "accuracy", "format_rate", "level_accuracy", F.explode("level_counts").alias("level", "n"))
+    return each.select(
+        "level", "n", r6(F.col("level_accuracy")[F.col("level")]).alias("accuracy"), "samples",
+        r6("accuracy").alias("total_accuracy"), r6("format_rate").alias("format_rate"),
+    )
+
+
+@query(with_views(OUTCOMES, _ANSWERS) + f"""SELECT count(*) AS samples, {_round('avg(p1)', 'ps1')}, {_round('avg(p3)', 'ps3')}, {_round('avg(p5)', 'ps5')},
+ {_round('avg(share)', 'total_pass_rate')} FROM (SELECT q_id, max((passed AND rollout_idx < 1)::INT) AS p1, max((passed AND rollout_idx < 3)::INT) AS p3,
+  max((passed AND rollout_idx < 5)::INT) AS p5, sum(num_passed / total_tests) AS share FROM code_answers GROUP BY q_id)""")
+def evaluate_code(spark, sf):
+    row = evaluation.evaluate_code(outcomes(spark, sf, idx=True))
+    rates = [r6(F.col("pass")[p]).alias(f"ps{p}") for p in (1, 3, 5)]
+    return row.select("samples", *rates, r6("total_pass_rate").alias("total_pass_rate"))

@@ -98,17 +98,23 @@ def with_skill_prompt(spark, sf):
     return done.select("conv_id", "turn", _md5("system").alias("system_md5"), "unchanged")
 
 
-@query(with_views(ROLLOUTS) + """SELECT q_id AS q_idx, concat('What is ', q_id, ' modulo 97?') AS question, gold, rollout_idx, answer,
+@query(with_views(ROLLOUTS) + """, first_ones AS (SELECT DISTINCT q_id FROM rollouts ORDER BY q_id LIMIT 50),
+ so_far AS (SELECT q_id, round(avg(s1) OVER w, 6) + 0e0 AS pass_at_1, round(avg(s2) OVER w, 6) + 0e0 AS pass_at_2 FROM (
+   SELECT q_id, c / n AS s1, CASE WHEN n >= 2 THEN 1 - greatest(n - c, 0) * greatest(n - c - 1, 0) / (n * nullif(n - 1, 0)) ELSE 0 END AS s2
+   FROM (SELECT q_id, count(*) AS n, sum(correct::INT) AS c FROM rollouts WHERE q_id IN (FROM first_ones) GROUP BY q_id))
+  WINDOW w AS (ORDER BY q_id ROWS UNBOUNDED PRECEDING))
+SELECT q_id AS q_idx, concat('What is ', q_id, ' modulo 97?') AS question, gold, pass_at_1, pass_at_2, rollout_idx, answer,
  CASE WHEN correct THEN 1 ELSE -1 END::DOUBLE AS correct_reward, CASE WHEN format_ok THEN 1.25 ELSE -1 END::DOUBLE AS format_reward,
- CASE WHEN format_ok THEN 1 ELSE -1 END::DOUBLE AS format_reward_strict FROM rollouts
- WHERE q_id IN (SELECT DISTINCT q_id FROM rollouts ORDER BY q_id LIMIT 50)""")
+ CASE WHEN format_ok THEN 1 ELSE -1 END::DOUBLE AS format_reward_strict FROM rollouts JOIN so_far USING (q_id)""")
 def write_rollouts(spark, sf):
     path = run_dir(spark, "rollouts")
     rows = rollouts(spark, sf, idx=True).drop("gold").join(questions(spark, sf), "q_id").withColumns(
         {"format_ok": think_format("answer"), "format_strict": think_format_strict("answer")}
     )
-    logs.write_rollouts(rows.withColumnRenamed("q_id", "q_idx"), path, 50, per_row=3)
-    return spark.read.json(path).select("q_idx", "question", "gold", F.inline("results"))
+    logs.write_rollouts(rows.withColumnRenamed("q_id", "q_idx"), path, 50, ks=(1, 2), per_row=3)
+    saved = spark.read.json(path)
+    scores = [r6(F.col("pass_at_k")[k]).alias(f"pass_at_{k}") for k in ("1", "2")]
+    return saved.select("q_idx", "question", "gold", *scores, F.inline("results"))
 
 
 @query(with_views(GRADED) + """SELECT model, split, info, count(*) AS samples, round(avg(correct::INT), 6) AS accuracy FROM graded,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollmill.functions.text import (
@@ -14,7 +16,7 @@ from rollmill.functions.text import (
     with_math_correct,
     word_count,
 )
-from rollmill.operators.evals import eval_summary, length_by_outcome
+from rollmill.operators.evals import LEVELS, PREFIXES, outcome_summary
 from rollmill.operators.joins import attach_questions
 
 
@@ -56,4 +58,36 @@ def evaluate_numeric(answers: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["eval_summary", "evaluate_numeric", "grade_math", "grade_numeric", "length_by_outcome"]
+def evaluate_math(answers: DataFrame, questions: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
+    """Accuracy, format rate and per-level accuracy and counts in one row and one pass."""
+    graded = grade_math(answers, questions)
+    n = F.count(F.lit(1))
+
+    def share(flag: Column, of: Column) -> Column:
+        return F.coalesce(F.try_divide(F.count_if(flag).cast("double"), of), F.lit(0.0))
+
+    right, accuracy, counts = F.col("correct"), [], []
+    for v in levels:
+        at = F.col("level") == v
+        accuracy += [F.lit(v), share(right & at, F.count_if(at))]
+        counts += [F.lit(v), F.count_if(at)]
+    return graded.agg(
+        n.alias("samples"),
+        share(right, n).alias("accuracy"),
+        share(F.col("format_ok"), n).alias("format_rate"),
+        F.create_map(*accuracy).alias("level_accuracy"),
+        F.create_map(*counts).alias("level_counts"),
+    )
+
+
+def evaluate_code(outcomes: DataFrame, ps: Sequence[int] = PREFIXES) -> DataFrame:
+    """Prefix success per prefix length and total pass rate of code answers, in one row."""
+    answers = outcome_summary(outcomes).withColumn("share", F.col("num_passed") / F.col("total_tests"))
+    solved = {p: F.bool_or(F.col("passed") & (F.col("rollout_idx") < p)).alias(f"_{p}") for p in ps}
+    per_task = answers.groupBy("q_id").agg(F.sum("share").alias("_share"), *solved.values())
+    rates = [c for p in ps for c in (F.lit(p), F.coalesce(F.avg(F.col(f"_{p}").cast("int")), F.lit(0.0)))]
+    return per_task.agg(
+        F.count(F.lit(1)).alias("samples"),
+        F.create_map(*rates).alias("pass"),
+        F.coalesce(F.avg("_share"), F.lit(0.0)).alias("total_pass_rate"),
+    )

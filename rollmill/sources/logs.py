@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollmill.functions.rewards import export_rewards
+from rollmill.operators.evals import running_eval
 from rollmill.schemas import GENERATION
 from rollmill.sources.tables import read_or_empty
 
@@ -15,11 +16,13 @@ RESULTS_PER_ROW = 4096
 
 
 def saved_rollouts(
-    df: DataFrame, k: int, q: str = "q_idx", order: str = "rollout_idx", per_row: int = RESULTS_PER_ROW
+    df: DataFrame, k: int, q: str = "q_idx", order: str = "rollout_idx", ks: Sequence[int] = (),
+    per_row: int = RESULTS_PER_ROW,
 ) -> DataFrame:
     """The first `k` questions with their answers and rewards nested, `per_row` answers to a row.
 
-    Ordinary questions give one row; one with more answers continues in further parts.
+    Ordinary questions give one row; one with more answers continues in further parts. `ks` adds
+    the pass@k so far, which depends on the questions up to the saved one only.
     """
     first = df.select(q).distinct().orderBy(q).limit(k)
     kept = df.join(F.broadcast(first), q, "left_semi") if k <= RESULTS_PER_ROW else df.join(first, q, "left_semi")
@@ -27,9 +30,14 @@ def saved_rollouts(
         F.col(order), F.col("answer"), *export_rewards("correct", "format_ok", "format_strict")
     )
     part = F.floor(F.col(order) / per_row).alias("part")
-    return kept.groupBy(q, "question", "gold", part).agg(
+    nested = kept.groupBy(q, "question", "gold", part).agg(
         F.array_sort(F.collect_list(result)).alias("results")
     )
+    if not ks:
+        return nested
+    scores = F.create_map(*[c for n in ks for c in (F.lit(str(n)), F.col(f"pass_at_{n}"))])
+    so_far = running_eval(kept, ks, (), q, order=order).select(q, scores.alias("pass_at_k"))
+    return nested.join(so_far, q)
 
 
 def write_rollouts(df: DataFrame, path: str, k: int, **where) -> None:
