@@ -103,9 +103,10 @@ def macro_batches(
 ) -> DataFrame:
     """Number the batches of each producer in arrival order, `n` to a macro batch.
 
-    `index` has one row per batch; token rows join it afterwards.
+    `index` has one row per batch; token rows join it afterwards. Arrivals may be sequence numbers or
+    timestamps in any whole unit.
     """
-    placed = ranked(index, by, [arrival], width_bucket(arrival, width), "_place")
+    placed = ranked(index, by, [arrival], width_bucket(arrival, width), "_place", coarse=BUCKET_WIDTH)
     return placed.withColumn(name, F.floor((F.col("_place") - 1) / n)).drop("_place")
 
 
@@ -166,7 +167,9 @@ def delivery_order(
     """Rows oldest first (`fifo`) or newest first (`lifo`), with their position from one."""
     if mode not in ("fifo", "lifo"):
         raise ValueError(f"unknown delivery mode {mode!r}")
-    return ranked(df, [], [arrival], width_bucket(arrival, width), name, mode == "lifo").orderBy(name)
+    newest_first = mode == "lifo"
+    placed = ranked(df, [], [arrival], width_bucket(arrival, width), name, newest_first, BUCKET_WIDTH)
+    return placed.orderBy(name)
 
 
 def curriculum(

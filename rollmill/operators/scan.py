@@ -37,10 +37,13 @@ def running_totals(
     bucket: Column,
     totals: dict[str, Column],
     descending: bool = False,
+    coarse: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of each expression within `by`, in the order of `order_by`.
 
     `bucket` must be monotone in the order; rows equal in `order_by` should not matter to the caller.
+    Where whole-number buckets may be sparse, such as those of timestamps, `coarse` accumulates their
+    totals in two levels again, `coarse` buckets at a time.
     """
     def direction(c: str) -> Column:
         return F.col(c).desc() if descending else F.col(c).asc()
@@ -48,12 +51,27 @@ def running_totals(
     values = {f"_v_{n}": e for n, e in totals.items()}
     rows = df.withColumns({"_bucket": bucket, **values})
     sums = rows.groupBy(*by, "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in totals])
-    earlier = (
-        Window.partitionBy(*by).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sums.select(
-        *by, "_bucket", *[F.sum(f"_s_{n}").over(earlier).alias(f"_o_{n}") for n in totals]
-    ).where(reduce(or_, [F.col(f"_o_{n}").isNotNull() for n in totals]))
+    if coarse:
+        through = running_totals(
+            sums.withColumnRenamed("_bucket", "_fine"),
+            by,
+            ["_fine"],
+            F.floor(F.col("_fine") / F.lit(coarse)),
+            {f"_t_{n}": F.col(f"_s_{n}") for n in totals},
+            descending,
+        )
+        before = {n: F.col(f"_t_{n}") - F.col(f"_s_{n}") for n in totals}
+        offsets = through.withColumnRenamed("_fine", "_bucket")
+    else:
+        earlier = (
+            Window.partitionBy(*by)
+            .orderBy(direction("_bucket"))
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        before = {n: F.sum(f"_s_{n}").over(earlier) for n in totals}
+        offsets = sums
+    offsets = offsets.select(*by, "_bucket", *[c.alias(f"_o_{n}") for n, c in before.items()])
+    offsets = offsets.where(reduce(or_, [F.col(f"_o_{n}").isNotNull() for n in totals]))
     inside = (
         Window.partitionBy(*by, "_bucket")
         .orderBy(*[direction(c) for c in order_by])
@@ -74,10 +92,11 @@ def ranked(
     bucket: Column,
     name: str = "rank",
     descending: bool = False,
+    coarse: int | None = None,
 ) -> DataFrame:
     """One-based row number within `by`; `order_by` must be unique within it."""
     one = F.lit(1).cast("bigint")
-    return running_totals(df, by, order_by, bucket, {name: one}, descending)
+    return running_totals(df, by, order_by, bucket, {name: one}, descending, coarse)
 
 
 def bucket_hot_groups(

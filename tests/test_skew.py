@@ -184,3 +184,19 @@ def test_blend_is_advantage_plus_rarity(lopsided, hot_rows):
     got = {(r.q_id, r.rollout_idx): r.advantage for r in G.blend_rarity(df, hot_rows=hot_rows).collect()}
     assert got.keys() == want.keys() and len(got) == len(rows)
     assert all(got[k] is None if want[k] is None else got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_sparse_orders(spark, descending):
+    import random
+
+    rng = random.Random(9)
+    values = rng.sample(range(2**61), 3000)
+    df = spark.createDataFrame([(v % 2, v) for v in values], "producer int, at long")
+    done = ranked(df, ["producer"], ["at"], width_bucket("at", 2**40), "n", descending, coarse=2**10)
+    got = {(r.producer, r.at): r.n for r in done.collect()}
+    want = {}
+    for p in (0, 1):
+        mine = sorted((v for v in values if v % 2 == p), reverse=descending)
+        want.update({(p, v): i + 1 for i, v in enumerate(mine)})
+    assert got == want
