@@ -8,7 +8,7 @@ from rollmill.catalog.batch_queries import POOL, regroup_sql
 from rollmill.catalog.registry import query, r6
 from rollmill.catalog.token_queries import _EOS
 from rollmill.catalog.views import (
-    TOKENS, UPLOADS, ROLLOUTS, sequence_rows, sequences, table, with_views,
+    TOKENS, UPLOADS, sequence_rows, sequences, table, with_views,
 )
 from rollmill.operators.joins import enrich_with_ref
 from rollmill.session import run_dir

@@ -23,7 +23,9 @@ def last_valid(valid: ColumnOrName) -> Column:
     return F.when(from_end > 0, F.size(v) - from_end).otherwise(F.size(v) - 1)
 
 
-def token_rewards(seq_reward: ColumnOrName, gen: ColumnOrName, ref: ColumnOrName, valid: ColumnOrName, beta: float = 0.01) -> Column:
+def token_rewards(
+    seq_reward: ColumnOrName, gen: ColumnOrName, ref: ColumnOrName, valid: ColumnOrName, beta: float = 0.01
+) -> Column:
     """Per position: the sequence reward at the end token minus beta times the KL, zero on padding."""
     end = last_valid(valid)
     penalty = F.zip_with(_col(gen), _col(ref), lambda g, r: -F.lit(beta) * (g - r))
@@ -73,8 +75,15 @@ def rfpp_advantage(
     return scaled.select(*[F.col(c) for c in df.columns], advantages.alias("advantages"))
 
 
-def grpo_sequence_loss(cur: ColumnOrName, gen: ColumnOrName, ref: ColumnOrName, adv: ColumnOrName, valid: ColumnOrName,
-                       beta: float = 0.04, clip: float = 0.2) -> Column:
+def grpo_sequence_loss(
+    cur: ColumnOrName,
+    gen: ColumnOrName,
+    ref: ColumnOrName,
+    adv: ColumnOrName,
+    valid: ColumnOrName,
+    beta: float = 0.04,
+    clip: float = 0.2,
+) -> Column:
     """Masked mean over the positions of one answer; NULL when all of it is padding."""
     spots = F.arrays_zip(
         _col(cur).alias("c"), _col(gen).alias("g"), _col(ref).alias("r"), _col(valid).alias("v")
