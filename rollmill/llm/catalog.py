@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rollmill.llm.secrets import op8_secret_scan
 from rollmill.llm.sharding import op1_sharding
+from rollmill.llm.warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op8_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_warc, op8_secret_scan)}
 ORACLES: dict[str, str] = {}

@@ -8,11 +8,14 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollmill.llm.automaton import Automaton, parse
 from rollmill.llm.common import documents
 
-SPANS = "array<struct<kind:string,start:long,end:long>>"
+SPANS = T.ArrayType(
+    T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+)
 
 
 @dataclass(frozen=True)
@@ -102,7 +105,7 @@ def secret_spans(docs: DataFrame, rules: Iterable[Rule] = BASE_RULES + MORE_RULE
     kinds = [r.kind for r in rules]
     scanner = Scanner(rules)
     keep = docs.drop("spans")
-    schema = keep.schema.add("spans", "array<struct<kind:string,start:bigint,end:bigint>>")
+    schema = T.StructType([*keep.schema.fields, T.StructField("spans", SPANS)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
