@@ -119,6 +119,10 @@ def secret_spans(docs: DataFrame, rules: Iterable[Rule] = BASE_RULES + MORE_RULE
     return keep.mapInArrow(scan, schema)
 
 
+def of_kinds(spans: str, *kinds: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
 def told(spans: str | Column) -> Column:
     """kind:start:end of each span, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -129,7 +133,7 @@ def op8_secret_scan(spark, sf_dir):
     found = secret_spans(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "spans")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base],
-        F.sha2(told(F.filter("spans", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"),
+        *[F.size(of_kinds("spans", k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(told(of_kinds("spans", *base)), 256).alias("base_sha256"),
         told("spans").alias("spans"),
     )

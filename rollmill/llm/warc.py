@@ -218,8 +218,9 @@ def normalise(spark: SparkSession, archives: DataFrame, source: str, target: str
                 there.move(f"{draft}.idx", f"{new}/{name}.idx")
                 yield pa.RecordBatch.from_pydict({"archive": [name], "records": [n]})
 
-    slots = F.pmod(F.xxhash64("archive"), F.lit(1 << 20))
-    done = written(archives.repartition(slots).select("archive").mapInArrow(rewrite, "archive string, records bigint"), "normalised")
+    # a fixed number, so that few short rows don't end up in one task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    done = written(archives.repartition(tasks, "archive").select("archive").mapInArrow(rewrite, "archive string, records bigint"), "normalised")
     if not done.head(1):
         return spark.createDataFrame([], INDEX)
     return spark.read.schema(INDEX).json(f"{target}/*.idx")
