@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from rollmill.llm.classifier import op3_quality
 from rollmill.llm.secrets import op8_secret_scan
 from rollmill.llm.sharding import op1_sharding
+from rollmill.llm.simhash import op10_simhash
 from rollmill.llm.warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_warc, op8_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality, op4_warc, op8_secret_scan, op10_simhash)}
 ORACLES: dict[str, str] = {}
