@@ -121,25 +121,23 @@ def edited_texts(docs: DataFrame) -> DataFrame:
 
     The edited text lacks the last quarter of the code points, rounded down, and has the first as many
     of the next row's text instead, or all of them. Rows follow each other by doc_id, null first, equal
-    ids in table order; the first row follows the last. Only the needed heads of texts move twice.
+    ids in table order; the first row follows the last. Texts are shuffled once and their heads again:
+    both joins read the same exchange, which holds the row's number and its text alone.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("_uid", F.monotonically_increasing_id())
-    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    ranks = written(_ranked(rows.select("doc_id", "_uid", "n_chars")).select("_uid", "_rank", "n_chars"), "ranks")
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("_uid", F.monotonically_increasing_id())
+    narrow = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    ranks = written(_ranked(narrow.withColumn("_uid", F.monotonically_increasing_id())), "ranks")
     size = ranks.agg(F.max("_rank").alias("_last"))
     follows = ranks.select(
-        F.col("_uid").alias("_before"), F.floor(F.col("n_chars") / 4).cast("int").alias("_take"), (F.col("_rank") + 1).alias("_to")
+        F.col("_uid").alias("_before"), F.floor(F.col("n_chars") / 4).cast("int").alias("_gives"), (F.col("_rank") + 1).alias("_to")
     ).join(F.broadcast(size))  # one row
     follows = follows.withColumn("_to", F.when(F.col("_to") > F.col("_last"), F.lit(0).cast("long")).otherwise(F.col("_to")))
-    nexts = written(
-        ranks.select("_uid", "_rank").join(follows, F.col("_rank") == F.col("_to")).select("_uid", "_before", "_take"), "nexts"
-    )
-    heads = rows.join(nexts, "_uid").select(
-        F.col("_before").alias("_uid"), F.col("_uid").alias("_next"), "_take", F.expr("left(text, _take)").alias("_head")
-    )
-    return rows.join(heads, "_uid").select(
-        "_uid", "_next", "doc_id", "n_chars", "text", F.concat(F.expr("left(text, n_chars - _take)"), "_head").alias("edited")
-    )
+    # for each row: the row before it, and how much of this row's text that one gets
+    places = written(ranks.join(follows, F.col("_rank") == F.col("_to")).select("_uid", "doc_id", "n_chars", "_before", "_gives"), "places")
+    placed = texts.join(places, "_uid")
+    heads = placed.select(F.col("_before").alias("_uid"), F.col("_uid").alias("_next"), F.expr("left(text, _gives)").alias("_head"))
+    kept = F.expr("left(text, cast(n_chars - floor(n_chars / 4) as int))")
+    return placed.join(heads, "_uid").select("_uid", "_next", "doc_id", "n_chars", "text", F.concat(kept, "_head").alias("edited"))
 
 
 def fingerprint_documents(docs: DataFrame, radius: int = RADIUS, every: int = 100) -> DataFrame:
