@@ -3,21 +3,22 @@
 A block is a bounded run of consecutive rows of one input partition. An operator that scans its texts
 twice keeps what it learned about a block in the shared folder under the block's number, so that the
 second scan picks it up without moving a text. Both scans must see the same rows in the same order,
-which holds for stored tables; a checksum per block guards it.
+which holds for stored tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollmill.session import run_dir, written
 
-__all__ = ["BLOCK_BYTES", "blocks", "checksum", "documents", "group_value", "run_dir", "side_rows", "store_side", "table", "written"]
+__all__ = ["BLOCK_BYTES", "blocks", "documents", "group_value", "run_dir", "side_rows", "store_side", "table", "written"]
 
 BLOCK_BYTES = 32 << 20
 BLOCKS_PER_PARTITION = 1 << 24
@@ -32,31 +33,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def blocks(batches: Iterable[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Table]]:
-    """(block number, rows) of one task, each block of about `limit` bytes."""
+def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Table]]:
+    """(block number, rows) of one task; a block ends with the row whose text passes `limit` bytes.
+
+    Only the rows and the lengths of their texts decide, not the columns read nor the size of batches.
+    """
     from pyspark import TaskContext
 
     first = TaskContext.get().partitionId() * BLOCKS_PER_PARTITION
     held: list[pa.RecordBatch] = []
     size = n = 0
     for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= limit:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(), dtype=np.int64)
+        at, before = 0, 0
+        while at < len(ends):
+            cut = int(np.searchsorted(ends, before + limit - size))
+            if cut >= len(ends):
+                held.append(batch.slice(at))
+                size += int(ends[-1]) - before
+                break
+            held.append(batch.slice(at, cut + 1 - at))
             yield first + n, pa.Table.from_batches(held)
-            held, size, n = [], 0, n + 1
+            held, size, n, at, before = [], 0, n + 1, cut + 1, int(ends[cut])
     if held:
         yield first + n, pa.Table.from_batches(held)
 
 
-def checksum(texts: Iterable[str | None]) -> int:
-    """Of a block's texts, as a signed long."""
-    h = xxhash.xxh3_64()
-    for t in texts:
-        h.update(b"\0" if t is None else t.encode() + b"\1")
-    return int.from_bytes(h.digest(), "big", signed=True)
-
-
 def store_side(side: DataFrame, label: str) -> str:
     """Write rows with a `block` column to one folder per block; returns the path."""
     path = run_dir(side.sparkSession, label)

@@ -15,7 +15,6 @@ dealt by their prefix of full depth instead.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rollmill.llm.common import blocks, checksum, documents, side_rows, store_side, written
+from rollmill.llm.common import blocks, documents, side_rows, store_side
 
 WINDOW = 35
 PREFIX = 8  # words
@@ -86,13 +86,14 @@ def anchors(prefixes: np.ndarray, window: int) -> np.ndarray:
 
 
 def _windows(text: str | None, hasher: Hasher, window: int):
-    """Words, the hash of each window and the prefix at each window's anchor."""
+    """Words, the hash of each window, each window's anchor and the prefix there."""
     words = WORD.findall(text or "")
     if len(words) < window:
-        return words, np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return words, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
     hashes = hasher.words(words)
     prefixes = sequence_hashes(hashes, PREFIX)
-    return words, sequence_hashes(hashes, window), prefixes[anchors(prefixes, window)]
+    at = anchors(prefixes, window)
+    return words, sequence_hashes(hashes, window), at, prefixes[at]
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -106,7 +107,10 @@ def _known(path: str, block: int, column: str) -> np.ndarray:
 
 
 def _inside(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return np.isin(values, known) if len(known) else np.zeros(len(values), bool)
+    """Which values are in `known`, a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text") -> str:
@@ -114,13 +118,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for block, rows in blocks(batches):
+        for block, rows in blocks(batches, text):
             seen = []
-            for t in rows.column(0).to_pylist():
-                _, hashes, keys = _windows(t, hasher, window)
+            for t in rows.column(text).to_pylist():
+                _, _, at, keys = _windows(t, hasher, window)
                 if len(keys):
-                    # one for each run of windows with the same anchor
-                    seen.append(keys[np.r_[True, keys[1:] != keys[:-1]]])
+                    seen.append(keys[np.r_[True, at[1:] != at[:-1]]])  # each anchor once
             if seen:
                 keys, n = np.unique(np.concatenate(seen), return_counts=True)
                 for i in range(0, len(keys), 100_000):
@@ -132,7 +135,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text")
 
     texts = docs.select(text)
     places = texts.mapInArrow(prefixes, "prefix long, block long, n int")
-    # one run of windows may hold a repeat in itself, so a lone prefix counts if its text repeats words
     shared = places.groupBy("prefix").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")).where("n > 1")
     wanted = store_side(
         shared.select("prefix", (F.size("blocks") > SPLIT).alias("split"), F.explode("blocks").alias("block")), "prefixes"
@@ -140,15 +142,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for block, rows in blocks(batches):
+        for block, rows in blocks(batches, text):
             side = side_rows(wanted, block)
             if side is None:
                 continue
             known = np.sort(side.column("prefix").to_numpy().view(np.uint64))
             split = np.sort(side.filter(side.column("split")).column("prefix").to_numpy().view(np.uint64))
             found = []
-            for t in rows.column(0).to_pylist():
-                _, hashes, keys = _windows(t, hasher, window)
+            for t in rows.column(text).to_pylist():
+                _, hashes, _, keys = _windows(t, hasher, window)
                 if len(keys):
                     mine = _inside(keys, known)
                     found.append(np.stack([keys[mine], hashes[mine]]))
@@ -228,18 +230,18 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> D
     input, so every copy loses them. `kept` joins the words that stay by one blank; n_words and
     n_removed count. A null text has no words; texts shorter than a window keep all of theirs. Equal
     rows repeat each other. Columns of the input with the three names are replaced. `docs` must be
-    stored rows: they are read three times, and other rows on a later read raise. No rows give none.
+    stored rows, as they are read three times. No rows give none.
     """
     docs = docs.drop("kept", "n_words", "n_removed")
     repeats = repeated_windows(docs, window, text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for block, rows in blocks(batches):
+        for block, rows in blocks(batches, text):
             known = _known(repeats, block, "window")
             kept, sizes, removed = [], [], []
             for t in rows.column(text).to_pylist():
-                words, hashes, _ = _windows(t, hasher, window)
+                words, hashes, _, _ = _windows(t, hasher, window)
                 starts = np.flatnonzero(_inside(hashes, known))
                 sizes.append(len(words))
                 if not len(starts):
@@ -256,8 +258,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> D
             done = pa.table([*rows.columns, *added], names=[*rows.column_names, "kept", "n_words", "n_removed"])
             yield from done.combine_chunks().to_batches(max_chunksize=1000)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(cut, f"{fields}, kept string, n_words long, n_removed long")
+    added = [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
+    return docs.mapInArrow(cut, T.StructType([*docs.schema.fields, *added]))
 
 
 def op5_substring_dedup(spark, sf_dir):
