@@ -20,7 +20,7 @@ from rollmill.session import run_dir, written
 
 __all__ = ["BLOCK_BYTES", "blocks", "documents", "group_value", "run_dir", "side_rows", "store_side", "table", "written"]
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 BLOCKS_PER_PARTITION = 1 << 24
 LANES = 4096
 

@@ -31,7 +31,7 @@ WINDOW = 35
 PREFIX = 8  # words
 SPLIT = 10_000  # blocks
 PARTS = 1024  # groups that a split prefix is dealt to
-MEMO = 1 << 19
+MEMO = 1 << 18
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -103,7 +103,7 @@ def _long(x: np.ndarray) -> pa.Array:
 def _known(path: str, block: int, column: str) -> np.ndarray:
     rows = side_rows(path, block)
     found = np.empty(0, np.int64) if rows is None else rows.column(column).to_numpy()
-    return np.unique(found).view(np.uint64)
+    return np.unique(found.view(np.uint64))
 
 
 def _inside(values: np.ndarray, known: np.ndarray) -> np.ndarray:
