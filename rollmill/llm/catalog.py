@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from rollmill.llm.classifier import op3_quality
+from rollmill.llm.privacy import op7_pii
 from rollmill.llm.secrets import op8_secret_scan
 from rollmill.llm.sharding import op1_sharding
 from rollmill.llm.simhash import op10_simhash
 from rollmill.llm.substrings import op5_substring_dedup
 from rollmill.llm.warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality, op4_warc, op5_substring_dedup, op8_secret_scan, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality, op4_warc, op5_substring_dedup, op7_pii, op8_secret_scan, op10_simhash)}
 ORACLES: dict[str, str] = {}
