@@ -31,25 +31,28 @@ WINDOW = 35
 PREFIX = 8  # words
 SPLIT = 10_000  # blocks
 PARTS = 1024  # groups that a split prefix is dealt to
-MEMO = 1 << 18
+MEMO = 1 << 19
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
+class _Memo(dict):
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Hasher:
     """64-bit hashes of words, remembered within a task."""
 
     def __init__(self):
-        self.memo: dict[str, int] = {}
+        self.memo = _Memo()
 
     def words(self, words: list[str]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        return np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -241,7 +244,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> D
             known = _known(repeats, block, "window")
             kept, sizes, removed = [], [], []
             for t in rows.column(text).to_pylist():
-                words, hashes, _, _ = _windows(t, hasher, window)
+                words = WORD.findall(t or "")
+                hashes = sequence_hashes(hasher.words(words), window) if len(known) else np.empty(0, np.uint64)
                 starts = np.flatnonzero(_inside(hashes, known))
                 sizes.append(len(words))
                 if not len(starts):
