@@ -106,10 +106,14 @@ def words_of(text: str | None) -> list[str]:
 
 
 def viterbi(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """`word` and `path`, an array of (start, id), of each distinct word; words of bounded length."""
+    """`word` and `path` of each distinct word; words of bounded length.
+
+    A path is an array of ids; an unknown character at place i, from 0, stands as -1 - i.
+    """
     table = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in vocabulary.known.items()], "piece string, id int, score double")
     spelled = F.translate(F.translate("word", BLANK, "￿"), " ", BLANK)
-    starts = words.select("word", spelled.alias("_text")).select("word", "_text", F.explode(F.sequence(F.lit(0), F.length("_text") - 1)).alias("start"))
+    # dealt by word before it is cut up: edges, the bulk of the rows, stay where they are made
+    starts = words.select("word").repartition("word").select("word", spelled.alias("_text")).select("word", "_text", F.explode(F.sequence(F.lit(0), F.length("_text") - 1)).alias("start"))
     sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.length("_text") - F.col("start"))))
     cut = starts.select("word", "_text", "start", sizes.alias("size")).select(
         "word", "start", "size", F.expr("substring(_text, start + 1, size)").alias("piece")
@@ -154,7 +158,7 @@ def viterbi(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary) -> Da
         ).otherwise(a),
         lambda a: a["path"],
     )
-    return found.select("word", path.alias("path"))
+    return found.select("word", F.transform(path, lambda p: F.when(p["id"] == UNKNOWN, -1 - p["start"]).otherwise(p["id"])).alias("path"))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
@@ -195,12 +199,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
             if found is not None:
                 for batch in found.to_batches(max_chunksize=20_000):
                     path = batch.column("path")
-                    starts, ids = path.values.field("start").to_numpy(), path.values.field("id").to_numpy()
+                    ids = path.values.to_numpy()
                     ends = path.offsets.to_numpy()
                     for w, a, b in zip(batch.column("word").to_pylist(), ends[:-1], ends[1:], strict=True):
                         mine = ids[a:b]
-                        if not mine.all():
-                            mine = np.array(own.spelled(w, list(zip(starts[a:b].tolist(), mine.tolist(), strict=True))), np.int32)
+                        if (mine < 0).any():
+                            mine = np.array(own.spelled(w, [(-1 - i, UNKNOWN) if i < 0 else (0, i) for i in mine.tolist()]), np.int32)
                         table[w] = mine.astype("<i4").tobytes()
                 del found
             for few in rows.to_batches(max_chunksize=500):
