@@ -146,14 +146,15 @@ def near_links(sketched: DataFrame, similarity: float = SIMILARITY) -> tuple[Dat
     """Links (a, b) between rows of at least the similarity, and the classes they form.
 
     Rows meet in buckets, one per band and key. Pairs are not listed: first each member of a bucket is
-    compared with three of its members, and the links give classes. Then, in buckets that hold members
+    compared with three of its members, then with the one that has most links by now, as the original
+    of edited copies has, and the links give classes. Then, in buckets that hold members
     of several classes, members of different classes are compared where the first comparison allows a
     link at all: the distance 1 - J is a metric, so two members whose distances from a center differ by
     more than the limit cannot be linked. Members of one class need no more comparison. So no link
-    that would join two classes is lost, and a group of near copies costs three comparisons a member.
+    that would join two classes is lost, and a group of near copies costs four comparisons a member.
     """
     sets = sketched.select("_uid", "units")
-    placed = sketched.select("_uid", F.posexplode("keys").alias("band", "key"))
+    placed = sketched.select("_uid", F.size("units").alias("n_units"), F.posexplode("keys").alias("band", "key"))
     bucket = ["band", "key"]
     spread = F.xxhash64("_uid")
     chosen = placed.groupBy(*bucket).agg(
@@ -162,21 +163,30 @@ def near_links(sketched: DataFrame, similarity: float = SIMILARITY) -> tuple[Dat
         F.min_by("_uid", spread).alias("c1"),
         F.max_by("_uid", spread).alias("c2"),
     )
-    members = placed.join(chosen.where("n > 1"), bucket).select(*bucket, "_uid", "c0", "c1", "c2")
+    members = placed.join(chosen.where("n > 1"), bucket).select(*bucket, "_uid", "n_units", "c0", "c1", "c2")
     members = written(members, "buckets")
     ends = F.explode(F.array(*[f"c{i}" for i in range(CENTERS)]))
     stars = members.select("_uid", ends.alias("c")).where("_uid <> c").select(F.least("_uid", "c").alias("a"), F.greatest("_uid", "c").alias("b"))
-    seen = written(_verified(stars.distinct(), sets, similarity), "stars")
+    first = written(_verified(stars.distinct(), sets, similarity), "stars")
+    linked = first.where(F.col("j") >= similarity)
+    degree = linked.select(F.explode(F.array("a", "b")).alias("_uid")).groupBy("_uid").agg(F.count(F.lit(1)).alias("degree"))
+    most = F.max_by("_uid", F.struct(F.coalesce("degree", F.lit(0)), F.col("_uid")))
+    hubs = members.select(*bucket, "_uid").join(degree, "_uid", "left").groupBy(*bucket).agg(most.alias("hub"))
+    members = written(members.drop("c0", "c1", "c2").join(hubs, bucket), "hubs")
+    second = members.where("_uid <> hub").select(F.least("_uid", "hub").alias("a"), F.greatest("_uid", "hub").alias("b")).distinct()
+    second = written(_verified(second.join(first, ["a", "b"], "left_anti"), sets, similarity), "stars")
+    seen = first.unionByName(second)
     links = seen.where(F.col("j") >= similarity)
     labels = components(links)
 
-    classed = members.join(labels, F.col("_uid") == F.col("id"), "left").select(*bucket, "_uid", "c0", F.coalesce("label", "_uid").alias("label"))
+    classed = members.join(labels, F.col("_uid") == F.col("id"), "left").select(*bucket, "_uid", "n_units", "hub", F.coalesce("label", "_uid").alias("label"))
     several = classed.groupBy(*bucket).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*bucket)
     to_center = seen.select("a", "b", "j")
     open_ = classed.join(several, bucket)
-    near = F.when(F.col("_uid") == F.col("c0"), 1.0).otherwise(F.coalesce("j", F.lit(0.0)))  # sizes too different: at most the limit
-    known = open_.withColumns({"a": F.least("_uid", "c0"), "b": F.greatest("_uid", "c0")}).join(to_center, ["a", "b"], "left")
-    known = written(known.select(*bucket, "_uid", "label", near.alias("near"), F.col("j").isNull().alias("unseen")), "open")
+    near = F.when(F.col("_uid") == F.col("hub"), 1.0).otherwise(F.coalesce("j", F.lit(0.0)))
+    known = open_.withColumns({"a": F.least("_uid", "hub"), "b": F.greatest("_uid", "hub")}).join(to_center, ["a", "b"], "left")
+    unseen = F.col("j").isNull() & (F.col("_uid") != F.col("hub"))  # of too different a size to be compared with it
+    known = written(known.select(*bucket, "_uid", "n_units", "label", near.alias("near"), unseen.alias("unseen")), "open")
     left = known.alias("l")
     right = known.alias("r")
     reach = (
@@ -184,6 +194,7 @@ def near_links(sketched: DataFrame, similarity: float = SIMILARITY) -> tuple[Dat
         & (F.col("l.key") == F.col("r.key"))
         & (F.col("l._uid") < F.col("r._uid"))
         & (F.col("l.label") != F.col("r.label"))
+        & (F.least("l.n_units", "r.n_units") >= similarity * F.greatest("l.n_units", "r.n_units"))
         & (F.col("l.unseen") | F.col("r.unseen") | (F.abs(F.col("l.near") - F.col("r.near")) <= 1 - similarity + 1e-9))
     )
     rest = left.join(right, reach).select(F.col("l._uid").alias("a"), F.col("r._uid").alias("b")).distinct()
