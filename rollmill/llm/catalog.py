@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rollmill.llm.classifier import op3_quality
+from rollmill.llm.decontamination import op9_decontamination
 from rollmill.llm.neardup import op6_near_dedup
 from rollmill.llm.pieces import op2_pieces
 from rollmill.llm.privacy import op7_pii
@@ -12,5 +13,5 @@ from rollmill.llm.simhash import op10_simhash
 from rollmill.llm.substrings import op5_substring_dedup
 from rollmill.llm.warc import op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pieces, op3_quality, op4_warc, op5_substring_dedup, op6_near_dedup, op7_pii, op8_secret_scan, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pieces, op3_quality, op4_warc, op5_substring_dedup, op6_near_dedup, op7_pii, op8_secret_scan, op9_decontamination, op10_simhash)}
 ORACLES: dict[str, str] = {}
