@@ -10,22 +10,28 @@ back to the blocks that have the word, and a second scan replaces words by ids;
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.llm.common import blocks, documents, side_rows, store_side, written
+from rollmill.llm.common import BLOCKS_PER_PARTITION, blocks, documents, side_rows, store_side
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 WORD = re.compile(r" +[^ ]*|[^ ]+")
 LONGEST = 64  # code points of a word in the table; longer ones are folded where they stand
+END = "\0"  # between the words of a lane
+LANES = 1 << 12  # that the words of a block are dealt into
+TOGETHER = 1 << 10  # input partitions whose words meet
 UNKNOWN = 0
 PENALTY = 10.0  # what an unknown character costs beyond the worst piece
 
@@ -105,60 +111,82 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(" " + text) if text else []
 
 
-def viterbi(spark: SparkSession, words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """`word` and `path` of each distinct word; words of bounded length.
+def in_table(word: str) -> bool:
+    """Whether the lattice of rows has the word; others are folded where they stand."""
+    return len(word) <= LONGEST and END not in word
 
-    A path is an array of ids; an unknown character at place i, from 0, stands as -1 - i.
+
+def dealt(words: set[str]) -> dict[int, list[str]]:
+    """The words of the table by lane, in order."""
+    lanes: dict[int, list[str]] = defaultdict(list)
+    for w in sorted(filter(in_table, words)):
+        lanes[xxhash.xxh3_64_intdigest(w) % LANES].append(w)
+    return lanes
+
+
+def viterbi(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """`lane`, `word`, `at` and `path` of each row of `lane`, `word` and `at`; words of bounded length.
+
+    A path is an array of ids; an unknown character at place i, from 0, stands as -1 - i. Rows dealt by
+    lane are not shuffled again. `at` may be any list: it goes with one row of the word, not with each
+    substring.
     """
+    spark = words.sparkSession
     table = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in vocabulary.known.items()], "piece string, id int, score double")
     spelled = F.translate(F.translate("word", BLANK, "￿"), " ", BLANK)
-    # dealt by word before it is cut up: edges, the bulk of the rows, stay where they are made
-    starts = words.select("word").repartition("word").select("word", spelled.alias("_text")).select("word", "_text", F.explode(F.sequence(F.lit(0), F.length("_text") - 1)).alias("start"))
-    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.length("_text") - F.col("start"))))
-    cut = starts.select("word", "_text", "start", sizes.alias("size")).select(
-        "word", "start", "size", F.expr("substring(_text, start + 1, size)").alias("piece")
-    )
+    spelt = words.select("lane", "word", "at", spelled.alias("_text"))
+    # start -1 is the row that carries `at`
+    starts = spelt.select("*", F.explode(F.sequence(F.lit(-1), F.length("_text") - 1)).alias("start")).withColumn("at", F.when(F.col("start") < 0, F.col("at")))
+    longest = F.when(F.col("start") < 0, 1).otherwise(F.least(F.lit(vocabulary.longest), F.length("_text") - F.col("start")))
+    sized = starts.select("*", F.explode(F.sequence(F.lit(1), longest)).alias("size"))
+    cut = sized.withColumn("piece", F.when(F.col("start") >= 0, F.expr("substring(_text, start + 1, size)"))).drop("_text")
     # the vocabulary file bounds the piece table
     edges = cut.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
     edge = F.struct(
-        F.col("start"), F.coalesce("id", F.lit(UNKNOWN)).alias("id"), F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score")
+        (F.col("start") + F.col("size")).alias("end"),
+        F.col("start"),
+        F.coalesce("id", F.lit(UNKNOWN)).alias("id"),
+        F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"),
     )
-    into = edges.groupBy("word", (F.col("start") + F.col("size")).alias("end")).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    lattice = into.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("end", "edges"))).alias("nodes"))
-    node = "struct<score:double,start:int,id:int>"
-    best = F.aggregate(
-        "nodes",
-        F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id"))).cast(f"array<{node}>"),
-        lambda done, at: F.concat(
-            done,
-            F.array(
-                F.aggregate(
-                    at["edges"],
-                    F.lit(None).cast(node),
-                    # edges come by start: a later, shorter piece must be better, not as good
-                    lambda top, e: F.when(
-                        top.isNull() | (F.get(done, e["start"])["score"] + e["score"] > top["score"]),
-                        F.struct((F.get(done, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("start"), e["id"].alias("id")),
-                    ).otherwise(top),
-                )
-            ),
-        ),
+    lattice = edges.groupBy("lane", "word").agg(
+        F.array_sort(F.collect_list(F.when(F.col("start") >= 0, edge))).alias("edges"), F.first("at", ignorenulls=True).alias("at")
     )
-    found = lattice.select("word", best.alias("best"))
-    steps = F.struct(F.lit(0).alias("start"), F.lit(0).alias("id"))
+    node = "struct<score:double,start:int,id:int>"
+
+    def follow(s: Column, e: Column) -> Column:
+        """`done` has the best node of each place before `end`, `top` the best one at `end` so far."""
+        opens = e["end"] > s["end"]
+        before = F.when(e["start"] == s["end"], s["top"]["score"]).otherwise(F.get(s["done"], e["start"])["score"])
+        score = before + e["score"]
+        # edges come by start: a later, shorter piece must be better, not as good
+        taken = F.struct(score.alias("score"), e["start"].alias("start"), e["id"].alias("id"))
+        return F.struct(
+            F.when(opens, F.concat(s["done"], F.array(s["top"]))).otherwise(s["done"]).alias("done"),
+            e["end"].alias("end"),
+            F.when(opens | (score > s["top"]["score"]), taken).otherwise(s["top"]).alias("top"),
+        )
+
+    nothing = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id"))
+    begin = F.struct(F.array().cast(f"array<{node}>").alias("done"), F.lit(0).alias("end"), nothing.alias("top"))
+    begin = begin.cast(f"struct<done:array<{node}>,end:int,top:{node}>")
+    best = F.aggregate("edges", begin, follow, lambda s: F.concat(s["done"], F.array(s["top"])))
+    found = lattice.select("lane", "word", "at", best.alias("best"))
     path = F.aggregate(
         F.sequence(F.lit(1), F.size("best") - 1),
-        F.struct((F.size("best") - 1).alias("at"), F.filter(F.array(steps), lambda _: F.lit(False)).alias("path")),
+        F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("path")),
         lambda a, _: F.when(
             a["at"] > 0,
             F.struct(
                 F.get("best", a["at"])["start"].alias("at"),
-                F.concat(F.array(F.struct(F.get("best", a["at"])["start"].alias("start"), F.get("best", a["at"])["id"].alias("id"))), a["path"]).alias("path"),
+                F.concat(
+                    F.array(F.when(F.get("best", a["at"])["id"] == UNKNOWN, -1 - F.get("best", a["at"])["start"]).otherwise(F.get("best", a["at"])["id"])),
+                    a["path"],
+                ).alias("path"),
             ),
         ).otherwise(a),
         lambda a: a["path"],
     )
-    return found.select("word", F.transform(path, lambda p: F.when(p["id"] == UNKNOWN, -1 - p["start"]).otherwise(p["id"])).alias("path"))
+    return found.select("lane", "word", "at", path.alias("path"))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
@@ -167,50 +195,64 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
     The path has the greatest sum of scores; of equal ones that whose pieces are longer from the end.
     Characters without a piece become their bytes. A blank goes before the text, and blanks are kept as
     they are, so decoding returns the text. A null or empty text has no ids. Repeated rows are encoded
-    alike, a word that all texts share once per block. A word of more than 64 code points is folded
-    where it stands, in a time that grows with its length. A column named ids is replaced. No rows give
-    no rows. `docs` must be stored rows, as they are read twice.
+    alike, a word that many texts share once per 1,024 input partitions. A word of more than 64 code
+    points or with a null character is folded where it stands, in a time that grows with its length. A
+    column named ids is replaced. No rows give no rows. `docs` must be stored rows, as they are read
+    twice.
     """
     spark = docs.sparkSession
     docs = docs.drop("ids")
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks(batches, text):
             seen: set[str] = set()
             for t in rows.column(text).to_pylist():
                 seen.update(words_of(t))
-            short = [w for w in seen if len(w) <= LONGEST]
-            for i in range(0, len(short), 50_000):
-                part = short[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([block] * len(part), pa.int64())], ["word", "block"])
-
-    named = docs.select(text).mapInArrow(distinct, "word string, block long")
-    # a list is as long as there are blocks, at most
-    stored = written(named.groupBy("word").agg(F.collect_list("block").alias("blocks")), "words")
-    paths = viterbi(spark, stored.select("word"), vocabulary)
-    side = store_side(stored.join(paths, "word").select("word", "path", F.explode("blocks").alias("block")), "pieces")
+            lanes = dealt(seen)
+            first = block // (BLOCKS_PER_PARTITION * TOGETHER) * LANES
+            for few in batched(lanes.items(), 1_000):
+                numbers = pa.array([first + lane for lane, _ in few], pa.int64())
+                joined = pa.array([END.join(words) for _, words in few], pa.string())
+                yield pa.RecordBatch.from_arrays([numbers, pa.array([block] * len(few), pa.int64()), joined], ["lane", "block", "words"])
+
+    # a fixed count: what a lane holds is far less than the substrings that come from it
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = docs.select(text).mapInArrow(deal, "lane long, block long, words string").repartition(parts, "lane")
+    listed = lanes.select("lane", "block", F.posexplode(F.split("words", END)).alias("place", "word"))
+    # a list is as long as 1,024 input partitions have blocks, at most
+    paths = viterbi(listed.groupBy("lane", "word").agg(F.collect_list(F.struct("block", "place")).alias("at")), vocabulary)
+    back = paths.select("lane", "path", F.inline("at"))
+    packed = back.groupBy("lane", "block").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("paths"))
+    side = store_side(
+        packed.select("lane", "block", F.flatten("paths.path").alias("ids"), F.transform("paths", lambda p: F.size(p["path"]).cast("tinyint")).alias("sizes")),
+        "pieces",
+    )
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for block, rows in blocks(batches, text):
-            table: dict[str, bytes] = {}
+            seen: set[str] = set()
+            for t in rows.column(text).to_pylist():
+                seen.update(words_of(t))
+            lanes, table = dealt(seen), {}
+            del seen
             found = side_rows(side, block)
-            if found is not None:
-                for batch in found.to_batches(max_chunksize=20_000):
-                    path = batch.column("path")
-                    ids = path.values.to_numpy()
-                    ends = path.offsets.to_numpy()
-                    for w, a, b in zip(batch.column("word").to_pylist(), ends[:-1], ends[1:], strict=True):
-                        mine = ids[a:b]
+            for batch in found.to_batches(max_chunksize=500) if found is not None else ():
+                ids, sizes = batch.column("ids"), batch.column("sizes")
+                for r, lane in enumerate(batch.column("lane").to_pylist()):
+                    every = ids[r].values.to_numpy()
+                    ends = np.cumsum(sizes[r].values.to_numpy(), dtype=np.int64)
+                    for w, a, b in zip(lanes.pop(lane % LANES), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                        mine = every[a:b]
                         if (mine < 0).any():
                             mine = np.array(own.spelled(w, [(-1 - i, UNKNOWN) if i < 0 else (0, i) for i in mine.tolist()]), np.int32)
                         table[w] = mine.astype("<i4").tobytes()
-                del found
+            del found
             for few in rows.to_batches(max_chunksize=500):
                 parts, sizes = [], [0]
                 for t in few.column(text).to_pylist():
-                    ids = b"".join([table[w] if len(w) <= LONGEST else np.array(own.spelled(w, own.best_path(w)), "<i4").tobytes() for w in words_of(t)])
+                    ids = b"".join([table[w] if w in table else np.array(own.spelled(w, own.best_path(w)), "<i4").tobytes() for w in words_of(t)])
                     parts.append(ids)
                     sizes.append(sizes[-1] + len(ids) // 4)
                 values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
