@@ -27,7 +27,9 @@ from rollmill.llm.common import BLOCKS_PER_PARTITION, blocks, documents, side_ro
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-WORD = re.compile(r" +[^ ]*|[^ ]+")
+WORD = re.compile(r" +[^ ]*")
+WORD_END = re.compile(r"[^ ] ")
+STRETCH = 1 << 16  # code points split at once
 LONGEST = 64  # code points of a word in the table; longer ones are folded where they stand
 END = "\0"  # between the words of a lane
 LANES = 1 << 12  # that the words of a block are dealt into
@@ -106,20 +108,53 @@ class Vocabulary:
         return path[::-1]
 
 
+def stretches(text: str | None) -> Iterator[str]:
+    """The text with the blank that the encoding puts before it, in parts that end with a word."""
+    if not text:
+        return
+    text, at = " " + text, 0
+    while cut := WORD_END.search(text, at + STRETCH):
+        yield text[at : cut.start() + 1]
+        at = cut.start() + 1
+    yield text[at:]
+
+
+def words_in(stretch: str) -> list[str]:
+    """The words of a stretch, each without its first blank."""
+    if "  " in stretch or stretch[-1] == " ":
+        return [w[1:] for w in WORD.findall(stretch)]
+    return stretch[1:].split(" ")
+
+
 def words_of(text: str | None) -> list[str]:
-    """Words of a text with the blank that the encoding puts before it; none for an empty text."""
-    return WORD.findall(" " + text) if text else []
+    """Words of a text with the blanks before them; none for an empty text."""
+    return [" " + w for part in stretches(text) for w in words_in(part)]
+
+
+class Paths(dict):
+    """Word, without its first blank, to the bytes of its ids; words that the table lacks are folded."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> bytes:
+        own, word = self.vocabulary, " " + word
+        return np.array(own.spelled(word, own.best_path(word)), "<i4").tobytes()
 
 
 def in_table(word: str) -> bool:
-    """Whether the lattice of rows has the word; others are folded where they stand."""
-    return len(word) <= LONGEST and END not in word
+    """Whether the lattice of rows has the word, given without its first blank; others are folded where they stand."""
+    return len(word) < LONGEST and END not in word
 
 
-def dealt(words: set[str]) -> dict[int, list[str]]:
-    """The words of the table by lane, in order."""
+def dealt(texts: pa.ChunkedArray) -> dict[int, list[str]]:
+    """The distinct words of the texts that are in the table, without their first blank, by lane and in order."""
+    seen: set[str] = set()
+    for t in texts:
+        for part in stretches(t.as_py()):
+            seen.update(words_in(part))
     lanes: dict[int, list[str]] = defaultdict(list)
-    for w in sorted(filter(in_table, words)):
+    for w in sorted(filter(in_table, seen)):
         lanes[xxhash.xxh3_64_intdigest(w) % LANES].append(w)
     return lanes
 
@@ -134,22 +169,20 @@ def viterbi(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     spark = words.sparkSession
     table = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in vocabulary.known.items()], "piece string, id int, score double")
     spelled = F.translate(F.translate("word", BLANK, "￿"), " ", BLANK)
-    spelt = words.select("lane", "word", "at", spelled.alias("_text"))
-    # start -1 is the row that carries `at`
-    starts = spelt.select("*", F.explode(F.sequence(F.lit(-1), F.length("_text") - 1)).alias("start")).withColumn("at", F.when(F.col("start") < 0, F.col("at")))
-    longest = F.when(F.col("start") < 0, 1).otherwise(F.least(F.lit(vocabulary.longest), F.length("_text") - F.col("start")))
-    sized = starts.select("*", F.explode(F.sequence(F.lit(1), longest)).alias("size"))
-    cut = sized.withColumn("piece", F.when(F.col("start") >= 0, F.expr("substring(_text, start + 1, size)"))).drop("_text")
+    # words get numbers, so that their edges, which come in a row, are grouped by a short key; end 0 is the row that carries `word` and `at`
+    spelt = words.select(F.monotonically_increasing_id().alias("no"), "lane", "word", "at", spelled.alias("_text"))
+    ends = spelt.select("*", F.explode(F.sequence(F.lit(0), F.length("_text"))).alias("end"))
+    ends = ends.withColumns({c: F.when(F.col("end") == 0, F.col(c)) for c in ("word", "at")})
+    least = F.when(F.col("end") == 0, -1).otherwise(F.greatest(F.lit(0), F.col("end") - vocabulary.longest))
+    starts = ends.select("*", F.explode(F.sequence(least, F.col("end") - 1)).alias("start"))
+    cut = starts.withColumn("piece", F.when(F.col("end") > 0, F.expr("substring(_text, start + 1, end - start)"))).drop("_text")
     # the vocabulary file bounds the piece table
-    edges = cut.join(F.broadcast(table), "piece", "left").where("id is not null or size = 1")
-    edge = F.struct(
-        (F.col("start") + F.col("size")).alias("end"),
-        F.col("start"),
-        F.coalesce("id", F.lit(UNKNOWN)).alias("id"),
-        F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"),
-    )
-    lattice = edges.groupBy("lane", "word").agg(
-        F.array_sort(F.collect_list(F.when(F.col("start") >= 0, edge))).alias("edges"), F.first("at", ignorenulls=True).alias("at")
+    edges = cut.join(F.broadcast(table), "piece", "left").where("id is not null or end - start = 1")
+    edge = F.struct("end", "start", F.coalesce("id", F.lit(UNKNOWN)).alias("id"), F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"))
+    lattice = edges.groupBy("no", "lane").agg(
+        F.sort_array(F.collect_list(F.when(F.col("end") > 0, edge))).alias("edges"),
+        F.first("word", ignorenulls=True).alias("word"),
+        F.first("at", ignorenulls=True).alias("at"),
     )
     node = "struct<score:double,start:int,id:int>"
 
@@ -205,10 +238,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks(batches, text):
-            seen: set[str] = set()
-            for t in rows.column(text).to_pylist():
-                seen.update(words_of(t))
-            lanes = dealt(seen)
+            lanes = dealt(rows.column(text))
             first = block // (BLOCKS_PER_PARTITION * TOGETHER) * LANES
             for few in batched(lanes.items(), 1_000):
                 numbers = pa.array([first + lane for lane, _ in few], pa.int64())
@@ -218,11 +248,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
     # a fixed count: what a lane holds is far less than the substrings that come from it
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lanes = docs.select(text).mapInArrow(deal, "lane long, block long, words string").repartition(parts, "lane")
-    listed = lanes.select("lane", "block", F.posexplode(F.split("words", END)).alias("place", "word"))
+    listed = lanes.select("lane", "block", F.posexplode(F.split("words", END)).alias("place", "_word"))
+    listed = listed.select("lane", "block", "place", F.concat(F.lit(" "), "_word").alias("word"))
     # a list is as long as 1,024 input partitions have blocks, at most
-    paths = viterbi(listed.groupBy("lane", "word").agg(F.collect_list(F.struct("block", "place")).alias("at")), vocabulary)
+    paths = viterbi(listed.groupBy("word", "lane").agg(F.collect_list(F.struct("block", "place")).alias("at")), vocabulary)
     back = paths.select("lane", "path", F.inline("at"))
-    packed = back.groupBy("lane", "block").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("paths"))
+    packed = back.groupBy("lane", "block").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("paths"))
     side = store_side(
         packed.select("lane", "block", F.flatten("paths.path").alias("ids"), F.transform("paths", lambda p: F.size(p["path"]).cast("tinyint")).alias("sizes")),
         "pieces",
@@ -232,11 +263,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for block, rows in blocks(batches, text):
-            seen: set[str] = set()
-            for t in rows.column(text).to_pylist():
-                seen.update(words_of(t))
-            lanes, table = dealt(seen), {}
-            del seen
+            lanes, table = dealt(rows.column(text)), Paths(own)
             found = side_rows(side, block)
             for batch in found.to_batches(max_chunksize=500) if found is not None else ():
                 ids, sizes = batch.column("ids"), batch.column("sizes")
@@ -246,13 +273,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
                     for w, a, b in zip(lanes.pop(lane % LANES), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
                         mine = every[a:b]
                         if (mine < 0).any():
-                            mine = np.array(own.spelled(w, [(-1 - i, UNKNOWN) if i < 0 else (0, i) for i in mine.tolist()]), np.int32)
+                            mine = np.array(own.spelled(" " + w, [(-1 - i, UNKNOWN) if i < 0 else (0, i) for i in mine.tolist()]), np.int32)
                         table[w] = mine.astype("<i4").tobytes()
             del found
             for few in rows.to_batches(max_chunksize=500):
                 parts, sizes = [], [0]
-                for t in few.column(text).to_pylist():
-                    ids = b"".join([table[w] if w in table else np.array(own.spelled(w, own.best_path(w)), "<i4").tobytes() for w in words_of(t)])
+                for t in few.column(text):
+                    ids = b"".join([b"".join(map(table.__getitem__, words_in(part))) for part in stretches(t.as_py())])
                     parts.append(ids)
                     sizes.append(sizes[-1] + len(ids) // 4)
                 values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
@@ -273,13 +300,15 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: st
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = shared.value.bytes_of
+        pieces = pa.array(shared.value.bytes_of, pa.large_binary())
         for batch in batches:
             for few in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                texts = [
-                    None if row is None else b"".join(map(parts.__getitem__, row)).decode("utf-8", "replace").removeprefix(" ")
-                    for row in few.column(ids).to_pylist()
-                ]
+                texts = []
+                for row in few.column(ids):
+                    # one buffer holds what the ids stand for, end to end
+                    told = pieces.take(row.values) if row.is_valid and len(row.values) else None
+                    whole = b"" if told is None else told.buffers()[2].to_pybytes()
+                    texts.append(whole.decode("utf-8", "replace").removeprefix(" ") if row.is_valid else None)
                 yield pa.RecordBatch.from_arrays([*few.columns, pa.array(texts, pa.string())], [*few.schema.names, name])
 
     return keep.mapInArrow(spell, T.StructType([*keep.schema.fields, T.StructField(name, T.StringType())]))
