@@ -222,9 +222,11 @@ def viterbi(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return found.select("lane", "word", "at", path.alias("path"))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", decoded: str | None = None) -> DataFrame:
     """All rows and columns with `ids`, the best pieces of the whole text.
 
+    With the name `decoded`, also what `decode` makes of the ids, in the same pass.
+
     The path has the greatest sum of scores; of equal ones that whose pieces are longer from the end.
     Characters without a piece become their bytes. A blank goes before the text, and blanks are kept as
     they are, so decoding returns the text. A null or empty text has no ids. Repeated rows are encoded
@@ -234,7 +236,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
     twice.
     """
     spark = docs.sparkSession
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", *filter(None, [decoded]))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks(batches, text):
@@ -287,7 +289,24 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataF
                     [*few.columns, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], [*few.schema.names, "ids"]
                 )
 
-    return docs.mapInArrow(replace, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    if decoded is None:
+        return docs.mapInArrow(replace, schema)
+    return docs.mapInArrow(lambda batches: spell(replace(batches), shared.value, "ids", decoded), schema.add(decoded, T.StringType()))
+
+
+def spell(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, ids: str, name: str) -> Iterator[pa.RecordBatch]:
+    """The batches with the texts of their ids."""
+    pieces = pa.array(vocabulary.bytes_of, pa.large_binary())
+    for batch in batches:
+        for few in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            texts = []
+            for row in few.column(ids):
+                # one buffer holds what the ids stand for, end to end
+                told = pieces.take(row.values) if row.is_valid and len(row.values) else None
+                whole = b"" if told is None else told.buffers()[2].to_pybytes()
+                texts.append(whole.decode("utf-8", "replace").removeprefix(" ") if row.is_valid else None)
+            yield pa.RecordBatch.from_arrays([*few.columns, pa.array(texts, pa.string())], [*few.schema.names, name])
 
 
 def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -299,24 +318,12 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, ids: str = "ids", name: st
     keep = tokens.drop(name)
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pa.array(shared.value.bytes_of, pa.large_binary())
-        for batch in batches:
-            for few in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                texts = []
-                for row in few.column(ids):
-                    # one buffer holds what the ids stand for, end to end
-                    told = pieces.take(row.values) if row.is_valid and len(row.values) else None
-                    whole = b"" if told is None else told.buffers()[2].to_pybytes()
-                    texts.append(whole.decode("utf-8", "replace").removeprefix(" ") if row.is_valid else None)
-                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(texts, pa.string())], [*few.schema.names, name])
-
-    return keep.mapInArrow(spell, T.StructType([*keep.schema.fields, T.StructField(name, T.StringType())]))
+    return keep.mapInArrow(lambda batches: spell(batches, shared.value, ids, name), T.StructType([*keep.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def op2_pieces(spark, sf_dir):
     vocabulary = Vocabulary.load()
-    done = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary), vocabulary)
+    done = encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary, decoded="decoded")
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),

@@ -110,6 +110,8 @@ def test_pieces_equal_plain_viterbi_and_round_trip(spark, odd, none):
         assert decoded == (text or "")
         if text and len(text) < 3000:
             assert list(ids) == [i for w in pieces.words_of(text) for i in vocabulary.spelled(w, vocabulary.best_path(w))]
+    once = pieces.encode(odd, vocabulary, decoded="decoded").toPandas()
+    assert sorted(map(str, once.decoded)) == sorted(map(str, done.decoded))
     assert pieces.encode(none, vocabulary).count() == 0
 
 
