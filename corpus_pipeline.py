@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rollmill.llm.classifier import score, train
 from rollmill.llm.decontamination import with_leaks
 from rollmill.llm.neardup import near_duplicates
-from rollmill.llm.pieces import Vocabulary, decode, encode
+from rollmill.llm.pieces import Vocabulary, encode
 from rollmill.llm.privacy import find_pii, sanitised
 from rollmill.session import written
 
@@ -48,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of all texts, and whether they decode to the text."""
     vocabulary = Vocabulary.load()
-    done = decode(encode(docs.select("doc_id", "lang", "source", "text"), vocabulary), vocabulary)
+    done = encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return done.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_ids"), same.alias("round_trip"))
 
