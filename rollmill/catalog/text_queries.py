@@ -151,6 +151,24 @@ def math_equal(spark, sf):
     )
 
 
+@query("""SELECT l_orderkey AS q_id, l_linenumber AS line, l_partkey AS partkey, l_suppkey AS suppkey,
+ repeat(CAST(l_partkey % 9 + 1 AS VARCHAR), 41) = repeat(CAST(l_suppkey % 9 + 1 AS VARCHAR), 41) AS whole_equal,
+ repeat(CAST(l_partkey % 9 + 1 AS VARCHAR), 80) = repeat(CAST(l_partkey % 9 + 1 AS VARCHAR), 79 + l_linenumber % 2) AS length_equal,
+ l_partkey % 5 + 1 = l_suppkey % 5 + 1 AS fraction_equal FROM lineitem""")
+def math_equal_long(spark, sf):
+    li = table(spark, sf, "lineitem")
+    one, other = F.expr("repeat(l_partkey % 9 + 1, 41)"), F.expr("concat('00', repeat(l_suppkey % 9 + 1, 41), '.', repeat('0', l_linenumber))")
+    eighty, near = F.expr("repeat(l_partkey % 9 + 1, 80)"), F.expr("concat(repeat(l_partkey % 9 + 1, 79 + l_linenumber % 2), '.0')")
+    thirty, small = F.expr("concat(repeat(l_partkey % 5 + 1, 30), '/', repeat('7', 30))"), F.expr("concat(l_suppkey % 5 + 1, '/7')")
+    return li.select(
+        F.col("l_orderkey").alias("q_id"), F.col("l_linenumber").alias("line"),
+        F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"),
+        T.math_equal(one, other).alias("whole_equal"),
+        T.math_equal(eighty, near).alias("length_equal"),
+        T.math_equal(thirty, small).alias("fraction_equal"),
+    )
+
+
 _MATH_CORRECT = with_views(MATH_ANSWERS) + f"""SELECT {_ID}, CASE line % 6
   WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN partkey % 5 = partkey % 7 WHEN 3 THEN partkey % 5 = partkey % 7
   WHEN 4 THEN suppkey % 7 = partkey % 7 ELSE true END AS correct FROM math_answers"""

@@ -163,7 +163,7 @@ _RATIONAL = rf"^([+-]?)\(?([+-]?){_NUMBER}\)?(?:/\(?([+-]?){_NUMBER}\)?)?$"
 _SHORT_RATIONAL = r"^[+-]?\(?\d{1,9}(?:\.\d{1,9})?\)?(?:/\(?\d{1,9}(?:\.\d{1,9})?\)?)?$"
 _NUMERIC = rf"(?U)^{_WS}*[+(-]*[\d.,]+[)/(+-]*[\d.]*\)?{_WS}*$"  # anything that could be a number
 _THOUSANDS = r"^[+-]?\d{1,3}(?:,\d{3})++(?:\.\d+)?$"
-_WHOLE = DecimalType(38, 0)
+_LIMB = 3  # digits; sums of limb products stay within 53 bits at any length that a string can have
 _PART = DecimalType(18, 9)
 
 
@@ -176,28 +176,67 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _rational(c: Column) -> Column:
-    """Numerator and denominator as whole decimals; NULLs when not a number or too long."""
+    """Sign, numerator and denominator as digits without leading zeros; NULL when not a number.
+
+    Zero is an empty string and never minus.
+    """
     fields = F.split(F.regexp_replace(c, _RATIONAL, "$1$2$4 $3 $5"), " ", -1)
 
     def scale(number: Column) -> Column:
         at = F.instr(number, ".")
         return F.when(at > 0, F.length(number) - at).otherwise(F.lit(0))
 
+    def trimmed(number: Column) -> Column:
+        return F.when(F.contains(number, F.lit(".")), F.rtrim(number, F.lit("0"))).otherwise(number)
+
     def digits(number: Column, zeros: Column) -> Column:
-        return F.concat(F.replace(number, F.lit("."), F.lit("")), F.repeat(F.lit("0"), zeros)).try_cast(_WHOLE)
+        return F.ltrim(F.concat(F.replace(number, F.lit("."), F.lit("")), F.repeat(F.lit("0"), zeros)), F.lit("0"))
 
     def parts(f: Column) -> Column:
-        signs, number = f[0], f[1]
-        below = F.when(f[2] == "", F.lit("1")).otherwise(f[2])
-        top = digits(number, scale(below))
-        minus = F.length(F.replace(signs, F.lit("+"), F.lit(""))) % 2 == 1
-        low = digits(below, scale(number))
-        return F.struct(
-            F.when(minus, -top).otherwise(top).alias("top"),
-            F.nullif(low, F.lit(0).cast(_WHOLE)).alias("low"),
-        )
+        over, below = f["over"], f["below"]
+        top = digits(over, scale(below))
+        minus = F.length(F.replace(f["signs"], F.lit("+"), F.lit(""))) % 2 == 1
+        return F.struct((minus & (top != "")).alias("minus"), top.alias("top"), digits(below, scale(over)).alias("low"))
+
+    def named(f: Column) -> Column:
+        below = F.when(f[2] == "", F.lit("1")).otherwise(trimmed(f[2]))
+        return _let(F.struct(f[0].alias("signs"), trimmed(f[1]).alias("over"), below.alias("below")), parts)
+
+    return F.when(c.rlike(_RATIONAL), _let(fields, named))
+
+
+def _limbs(digits: Column) -> Column:
+    """Groups of _LIMB digits from the last to the first; none for an empty string."""
+    ends = F.filter(F.sequence(F.lit(0), F.length(digits), F.lit(_LIMB)), lambda i: i < F.length(digits))
+
+    def limb(i: Column) -> Column:
+        stop = F.length(digits) - i
+        start = F.greatest(stop - _LIMB, F.lit(0))
+        return F.substr(digits, start + 1, stop - start).cast("long")
+
+    return F.transform(ends, limb)
+
+
+def _same_product(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether a * b = c * d, for whole numbers as digits."""
+
+    def place(x: Column, y: Column, k: Column) -> Column:
+        first = F.greatest(k - F.size(y) + 1, F.lit(0))
+        last = F.least(k, F.size(x) - 1)
+        at = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(at, F.lit(0).cast("long"), lambda total, i: total + F.get(x, i) * F.get(y, k - i))
+
+    def cancels(n: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(n["a"]) + F.size(n["b"]), F.size(n["c"]) + F.size(n["d"])))
+
+        def carry(s: Column, k: Column) -> Column:
+            left = s["rest"] + place(n["a"], n["b"], k) - place(n["c"], n["d"], k)
+            return _let(left, lambda v: F.struct((s["zero"] & (v % 10**_LIMB == 0)).alias("zero"), ((v - F.pmod(v, F.lit(10**_LIMB).cast("long"))) / 10**_LIMB).cast("long").alias("rest")))
+
+        begin = F.struct(F.lit(True).alias("zero"), F.lit(0).cast("long").alias("rest"))
+        return F.aggregate(places, begin, carry, lambda s: s["zero"] & (s["rest"] == 0))
 
-    return F.when(c.rlike(_RATIONAL), _let(fields, parts))
+    return _let(F.struct(*[_limbs(x).alias(n) for x, n in zip((a, b, c, d), "abcd", strict=True)]), cancels)
 
 
 def _short_parts(c: Column) -> tuple[Column, Column]:
@@ -213,12 +252,15 @@ def _plain(c: Column) -> Column:
 def math_equal(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Equal as text or as exact rationals; NULL only if either side is NULL.
 
-    Equal texts settle first, then short numbers, then texts that are no numbers. What is left
-    cross-multiplies whole digits; a product beyond 38 digits leaves text equality.
+    Equal texts settle first, then short numbers, then texts that are no numbers. What is left is
+    compared digit by digit where the denominators are the same, else by the products across. A zero
+    denominator equals nothing but its own text.
     """
     def crossed(q: Column) -> Column:
-        product = F.try_multiply(q["a"]["top"], q["b"]["low"])
-        return F.coalesce(product == F.try_multiply(q["b"]["top"], q["a"]["low"]), F.lit(False))
+        x, y = q["a"], q["b"]
+        whole = (x["low"] != "") & (y["low"] != "") & (x["minus"] == y["minus"])
+        same = F.when(x["low"] == y["low"], x["top"] == y["top"]).otherwise(_same_product(x["top"], y["low"], y["top"], x["low"]))
+        return F.coalesce(F.when(whole, same), F.lit(False))
 
     def by_digits(s: Column) -> Column:
         rationals = F.struct(_rational(s["a"]).alias("a"), _rational(s["b"]).alias("b"))

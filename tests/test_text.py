@@ -85,7 +85,17 @@ EQUAL = [
     ("1/0", "1/0", True),
     (" x ", "x", True),
     ("x", "y", False),
-    ("9" * 60, "9" * 60 + ".0", False),
+    ("9" * 60, "9" * 60 + ".0", True),
+    ("1" + "0" * 25, "1" + "0" * 25 + "." + "0" * 15, True),
+    ("7" * 41, "7" * 41 + ".0", True),
+    ("7" * 41, "-" + "7" * 41, False),
+    ("3" * 80, "0" + "3" * 80 + ".00", True),
+    ("3" * 80, "3" * 79 + "4", False),
+    ("1" * 30 + "/" + "7" * 30, "1/7", True),
+    ("1" * 30 + "/" + "7" * 29 + "8", "1/7", False),
+    ("2" * 90 + "/" + "6" * 90, "-(" + "1" * 45 + ")/(-" + "3" * 45 + ")", True),
+    ("0." + "0" * 50, "-0/" + "5" * 40, True),
+    ("5" * 40 + "/" + "0" * 12, "5" * 41 + "/0", False),
     ("1.2.3", "1.2", False),
     ("", "", True),
     ("", "0", False),
@@ -98,6 +108,31 @@ def test_math_equal(spark, a, b, expected):
     assert value(spark, T.math_equal, b, a) is expected
 
 
+def test_math_equal_is_exact(spark):
+    from fractions import Fraction
+    from random import Random
+
+    r = Random(3)
+
+    def number(n: int) -> str:
+        digits = "".join(r.choice("0019") for _ in range(n))
+        at = r.randrange(1, n + 1)
+        return digits[:at] + "." * (at < n) + digits[at:]
+
+    rows = []
+    for _ in range(400):
+        a, b = number(r.randrange(1, 30)), number(r.randrange(1, 30))
+        m = number(r.randrange(1, 12))
+        x, y = Fraction(a), Fraction(b) or Fraction(1)
+        z = Fraction(m) or Fraction(1)
+        pair = (x / y * z).as_integer_ratio()
+        rows.append((f"{pair[0]}/{pair[1]}", f"{pair[0] * 10**12 + r.choice([0, 0, 1])}/{pair[1] * 10**12}"))
+        rows.append((a, b + "0" * 12))
+    found = spark.createDataFrame(rows, "a string, b string").select("a", "b", T.math_equal("a", "b").alias("same")).collect()
+    assert [f.same for f in found] == [Fraction(f.a) == Fraction(f.b) for f in found]
+    assert any(f.same for f in found) and not all(f.same for f in found)
+
+
 def test_math_equal_null(spark):
     assert value(spark, T.math_equal, None, "1") is None
     assert value(spark, T.numeric_correct, "no number", "1") is False
