@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollmill.llm.common import documents, group_value, written
@@ -17,7 +17,9 @@ SIMILARITY = 0.8  # weighted Jaccard: sum of the lesser counts by sum of the gre
 SLOTS = 80
 ROWS = 4  # per band: at a similarity of 0.8 a pair shares no band once in 30,000 times
 DOCS_AT_ONCE = 64
-CENTERS = 3
+CENTERS = 4  # of a bucket in each further turn
+TURNS = 2
+PARITY = 1024
 
 
 def shingles(text: str | None, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -108,12 +110,17 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sketch, "_uid long, keys array<long>, units array<int>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b and their similarity `j` for each pair; pairs too different in size are left out unseen."""
-    sizes = sets.select("_uid", F.size("units").alias("n"))
-    sized = pairs.join(sizes.withColumnsRenamed({"_uid": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"_uid": "b", "n": "nb"}), "b")
-    near = sized.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-    with_a = near.join(sets.select(F.col("_uid").alias("a"), F.col("units").alias("ua")), "a")
+def _pairs(stars: DataFrame, similarity: float) -> DataFrame:
+    """Different pairs a < b of `_uid` and center `c` with their sizes; too different sizes are left out unseen."""
+    me, other = F.struct("_uid", "n"), F.struct("c._uid", "c.n")
+    ends = stars.where("_uid <> c._uid").select(F.least(me, other).alias("l"), F.greatest(me, other).alias("r"))
+    pairs = ends.select(F.col("l._uid").alias("a"), F.col("r._uid").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb"))
+    return pairs.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b and their similarity `j` for each pair of `_pairs`."""
+    with_a = pairs.join(sets.select(F.col("_uid").alias("a"), F.col("units").alias("ua")), "a")
     both = with_a.join(sets.select(F.col("_uid").alias("b"), F.col("units").alias("ub")), "b")
     common = F.size(F.array_intersect("ua", "ub"))
     return both.select("a", "b", "na", "nb", common.alias("common")).select(
@@ -121,6 +128,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     )
 
 
+def _with_parity(rows: DataFrame) -> DataFrame:
+    """`_uid`, `keys` and PARITY bits: whether an odd number of the units falls on each.
+
+    Where the bits of two sets differ, so do the sets: no more bits differ than units do.
+    """
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.bincount(u.values.to_numpy().view(np.uint32) % PARITY, minlength=PARITY) & 1).view(np.int64) for u in batch.column("units")]
+            yield pa.RecordBatch.from_arrays([batch.column("_uid"), batch.column("keys"), pa.array(bits, pa.list_(pa.int64()))], ["_uid", "keys", "bits"])
+
+    return rows.select("_uid", "keys", "units").mapInArrow(told, "_uid long, keys array<long>, bits array<long>")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the least id that links reach, for each id in a link (a, b).
 
@@ -142,55 +163,95 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _open(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Members of buckets that hold several classes, with `label` and `s`, how many of their `n` units others may share.
+
+    A unit that one open member alone has is shared with none. Members that have too many of these are
+    left out, as they can have no link to another class.
+    """
+    bucket = ["band", "key"]
+    classed = members.drop("label", "s").join(labels, F.col("_uid") == F.col("id"), "left").withColumn("label", F.coalesce("label", "_uid")).drop("id")
+    several = classed.groupBy(*bucket).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*bucket)
+    some = written(classed.join(several, bucket), "open")
+    pool = sets.join(some.select("_uid").distinct(), "_uid").select("_uid", F.explode("units").alias("unit"))
+    alone = pool.groupBy("unit").agg(F.count(F.lit(1)).alias("k"), F.min("_uid").alias("_uid")).where("k = 1")
+    counts = alone.groupBy("_uid").agg(F.count(F.lit(1)).cast("int").alias("alone"))
+    told = some.join(counts, "_uid", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    return written(told.where(F.col("s") >= similarity * F.col("n")), "open")
+
+
 def near_links(sketched: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between rows of at least the similarity, and the classes they form.
 
     Rows meet in buckets, one per band and key. Pairs are not listed: first each member of a bucket is
-    compared with three of its members, and the links give classes. Then, in buckets that hold members
-    of several classes, members of different classes are compared where the first comparison allows a
-    link at all: the distance 1 - J is a metric, so two members whose distances from a center differ by
-    more than the limit cannot be linked. Members of one class need no more comparison. So no link
-    that would join two classes is lost, and a group of near copies costs three comparisons a member.
+    compared with three of its members, and the links give classes. In buckets that hold members of
+    several classes, twice more, each member is compared with four others that are not of its class,
+    one of them that with the greatest share of units that others may have too.
+    What then is left of different classes in one bucket is compared pair by pair, once in the first
+    bucket that the two share, where their sizes, the units that others may have, the parity bits
+    of the units and the first comparison allow a link at all: the
+    distance 1 - J is a metric, so two members whose distances from a center differ by more than the
+    limit cannot be linked. Members of one class need no more comparison. So no link that would join
+    two classes is lost, and a group of near copies costs a few comparisons a member.
     """
     sets = sketched.select("_uid", "units")
-    placed = sketched.select("_uid", F.posexplode("keys").alias("band", "key"))
+    placed = sketched.select("_uid", F.size("units").alias("n"), F.posexplode("keys").alias("band", "key"))
     bucket = ["band", "key"]
-    spread = F.xxhash64("_uid")
+    me, spread = F.struct("_uid", "n"), F.xxhash64("_uid")
     chosen = placed.groupBy(*bucket).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_uid").alias("c0"),
-        F.min_by("_uid", spread).alias("c1"),
-        F.max_by("_uid", spread).alias("c2"),
+        F.count(F.lit(1)).alias("size"),
+        F.min(me).alias("c0"),
+        F.min_by(me, spread).alias("c1"),
+        F.max_by(me, spread).alias("c2"),
     )
-    members = placed.join(chosen.where("n > 1"), bucket).select(*bucket, "_uid", "c0", "c1", "c2")
+    members = placed.join(chosen.where("size > 1"), bucket).select(*bucket, "_uid", "n", "c0", "c1", "c2")
     members = written(members, "buckets")
-    ends = F.explode(F.array(*[f"c{i}" for i in range(CENTERS)]))
-    stars = members.select("_uid", ends.alias("c")).where("_uid <> c").select(F.least("_uid", "c").alias("a"), F.greatest("_uid", "c").alias("b"))
-    seen = written(_verified(stars.distinct(), sets, similarity), "stars")
-    links = seen.where(F.col("j") >= similarity)
-    labels = components(links)
-
-    classed = members.join(labels, F.col("_uid") == F.col("id"), "left").select(*bucket, "_uid", "c0", F.coalesce("label", "_uid").alias("label"))
-    several = classed.groupBy(*bucket).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(*bucket)
-    to_center = seen.select("a", "b", "j")
-    open_ = classed.join(several, bucket)
+    stars = members.select("_uid", "n", F.explode(F.array("c0", "c1", "c2")).alias("c"))
+    to_center = written(_verified(_pairs(stars, similarity), sets), "stars")
+    seen, labels = to_center, components(to_center.where(F.col("j") >= similarity))
+    members = members.select(*bucket, "_uid", "n", F.col("c0._uid").alias("c0"))
+    least_common = similarity / (1 + similarity) - 1e-9  # of the sum of both sizes
+    for turn in range(TURNS):
+        some = members = _open(members, labels, sets, similarity)
+        me = F.struct("_uid", "n", "label", "s")
+        at = [F.min_by(me, F.xxhash64("_uid", F.lit(turn * CENTERS + i))) for i in range(1, CENTERS)]
+        at.append(F.max_by(me, F.struct(F.col("s") / F.col("n"), F.xxhash64("_uid", F.lit(turn)))))
+        centers = some.groupBy(*bucket).agg(F.array(*at).alias("centers"))
+        stars = some.join(centers, bucket).select("_uid", "n", "label", "s", F.explode("centers").alias("c"))
+        stars = stars.where("label <> c.label").where(F.least("s", "c.s") >= least_common * (F.col("n") + F.col("c.n")))
+        fresh = _pairs(stars, similarity).join(seen, ["a", "b"], "left_anti")
+        more = written(_verified(fresh, sets), "stars")
+        seen = seen.unionByName(more)
+        if not more.where(F.col("j") >= similarity).head(1):
+            break
+        labels = components(seen.where(F.col("j") >= similarity))
+
+    some = _open(members, labels, sets, similarity)
     near = F.when(F.col("_uid") == F.col("c0"), 1.0).otherwise(F.coalesce("j", F.lit(0.0)))  # sizes too different: at most the limit
-    known = open_.withColumns({"a": F.least("_uid", "c0"), "b": F.greatest("_uid", "c0")}).join(to_center, ["a", "b"], "left")
-    known = written(known.select(*bucket, "_uid", "label", near.alias("near"), F.col("j").isNull().alias("unseen")), "open")
+    known = some.withColumns({"a": F.least("_uid", "c0"), "b": F.greatest("_uid", "c0")}).join(to_center, ["a", "b"], "left")
+    known = known.select(*bucket, "_uid", "n", "s", "label", near.alias("near"), F.col("j").isNull().alias("unseen"))
+    told = _with_parity(sketched.join(some.select("_uid").distinct(), "_uid"))
+    known = written(known.join(told, "_uid"), "open")
     left = known.alias("l")
     right = known.alias("r")
+    earlier = F.zip_with(F.slice("l.keys", F.lit(1), F.col("l.band")), F.slice("r.keys", F.lit(1), F.col("r.band")), lambda x, y: x == y)
+    differ = F.zip_with("l.bits", "r.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     reach = (
         (F.col("l.band") == F.col("r.band"))
         & (F.col("l.key") == F.col("r.key"))
         & (F.col("l._uid") < F.col("r._uid"))
         & (F.col("l.label") != F.col("r.label"))
+        & (F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n"))
+        & (F.least("l.s", "r.s") >= least_common * (F.col("l.n") + F.col("r.n")))
         & (F.col("l.unseen") | F.col("r.unseen") | (F.abs(F.col("l.near") - F.col("r.near")) <= 1 - similarity + 1e-9))
+        & (F.aggregate(differ, F.lit(0), lambda a, x: a + x) <= (1 - similarity) / (1 + similarity) * (F.col("l.n") + F.col("r.n")) + 1e-9)
+        & ~F.exists(earlier, lambda same: same)
     )
-    rest = left.join(right, reach).select(F.col("l._uid").alias("a"), F.col("r._uid").alias("b")).distinct()
-    rest = rest.join(to_center, ["a", "b"], "left_anti")
-    more = written(_verified(rest, sets, similarity).where(F.col("j") >= similarity), "links")
-    both = links.unionByName(more)
-    return both, (components(both) if more.head(1) else labels)
+    rest = left.join(right, reach).select(F.col("l._uid").alias("a"), F.col("r._uid").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb"))
+    rest = rest.join(seen, ["a", "b"], "left_anti")
+    more = written(_verified(rest, sets).where(F.col("j") >= similarity), "links")
+    links = seen.where(F.col("j") >= similarity).unionByName(more)
+    return links, (components(links) if more.head(1) else labels)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
