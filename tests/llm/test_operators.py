@@ -225,6 +225,30 @@ def test_leaks_are_found(spark, sf, odd, none):
     assert decontamination.with_leaks(none, items).count() == 0
 
 
+def leak_tables(spark, path, texts, items):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2).write.parquet(f"{path}/d")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1).write.parquet(f"{path}/b")
+    return spark.read.parquet(f"{path}/d"), spark.read.parquet(f"{path}/b")
+
+
+def leak_pairs(docs, items):
+    return {(r.doc_id, k.item_id): k.overlap for r in decontamination.with_leaks(docs, items).collect() for k in r.leaks}
+
+
+def invented(rng, n, size=4000):
+    """Words as they are dealt in a text: few of them often, most of them seldom."""
+    return [f"w{int(size ** x)}q" for x in rng.random(n)]
+
+
+@pytest.mark.parametrize("copies,others", [(1, 0), (2, 2), (30, 60), (60, 30)])
+def test_leaks_in_many_rows_are_found(spark, tmp_path, copies, others):
+    rng = np.random.default_rng(copies)
+    item = invented(rng, 30)
+    held = " ".join(invented(rng, 40) + item + invented(rng, 40))
+    docs, items = leak_tables(spark, tmp_path, [held] * copies + [" ".join(invented(rng, 120)) for _ in range(others)], [" ".join(item)])
+    assert leak_pairs(docs, items) == {(i, 0): 1.0 for i in range(copies)}
+
+
 @pytest.mark.parametrize("a,b", [("", ""), ("abcd", "xaxbxd"), ("aab", "aba")])
 def test_common_subsequence(a, b):
     best = {(): 0}
