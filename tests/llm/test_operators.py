@@ -249,6 +249,16 @@ def test_leaks_in_many_rows_are_found(spark, tmp_path, copies, others):
     assert leak_pairs(docs, items) == {(i, 0): 1.0 for i in range(copies)}
 
 
+def test_long_items_are_found(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    items = [invented(rng, n) for n in (400, 130, 1000, 59)]
+    texts = [" ".join(invented(rng, 70 + i) + w + invented(rng, 90)) for i, w in enumerate(items)]
+    gaps = [" ".join(invented(rng, 50) + [x for v in w for x in (v, *invented(rng, int(rng.random() < 0.3)))] + invented(rng, 50)) for w in items]
+    halves = [" ".join(invented(rng, 500) + w[: len(w) // 2] + invented(rng, 500)) for w in items]
+    docs, items = leak_tables(spark, tmp_path, texts + gaps + halves, [" ".join(w) for w in items])
+    assert leak_pairs(docs, items) == {(i, i % 4): 1.0 for i in range(8)}
+
+
 @pytest.mark.parametrize("a,b", [("", ""), ("abcd", "xaxbxd"), ("aab", "aba")])
 def test_common_subsequence(a, b):
     best = {(): 0}
