@@ -259,6 +259,33 @@ def test_long_items_are_found(spark, tmp_path):
     assert leak_pairs(docs, items) == {(i, i % 4): 1.0 for i in range(8)}
 
 
+def test_recall_of_planted_items(spark, tmp_path):
+    """Against the longest common subsequence of every item and the text it was planted in, without the index."""
+    rng = np.random.default_rng(4)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    items = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").collect()]
+    words = [decontamination.WORD.findall(t.lower()) for t in items]
+    short = [k for k, w in enumerate(words) if len(w) < 25]
+    hosts = [w for w in (decontamination.WORD.findall((t or "").lower()) for t in texts) if 150 <= len(w) <= 600]
+    planted = []
+    for share in (1.0, 0.62, 0.62, 0.62):
+        for k in short:
+            w, host = words[k], hosts[rng.integers(len(hosts))]
+            kept = set(rng.permutation(len(w))[: int(np.ceil(share * len(w)))].tolist())
+            at = rng.integers(0, len(host))
+            planted.append((share, k, host[:at] + [x if i in kept else host[rng.integers(len(host))] for i, x in enumerate(w)] + host[at:]))
+    docs, table = leak_tables(spark, tmp_path, [" ".join(w) for _, _, w in planted] + texts, items)
+    weight = decontamination.idf(*decontamination.document_frequencies(docs)[:2])
+    space = decontamination.Space.of(np.zeros((decontamination.BUCKETS, decontamination.RANK), np.float32), weight)
+    listed = decontamination.Items.of(space, weight, list(range(len(items))), items)
+    found = leak_pairs(docs, table)
+    for share in (1.0, 0.62):
+        truth = [(i, k) for i, (s, k, w) in enumerate(planted) if s == share and listed.overlap(k, w) >= decontamination.OVERLAP]
+        recall = sum(pair in found for pair in truth) / len(truth)
+        print(f"planted with {share} of the words: {len(truth)} pairs, recall {recall:.3f}")
+        assert len(truth) > 40 and recall >= 0.97
+
+
 @pytest.mark.parametrize("a,b", [("", ""), ("abcd", "xaxbxd"), ("aab", "aba")])
 def test_common_subsequence(a, b):
     best = {(): 0}
