@@ -20,10 +20,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-CONTEXT = 80  # code points on each side of an entity in which terms are counted with it
 TERM = r"\p{L}{4,}"
-SUPPORT = 3  # different texts that must show a term beside an entity
-DISCLOSURE = 0.5  # of a term's different texts, the share with the entity beside it from which it reveals it
+SUPPORT = 3  # different texts that must show a term and an entity
+DISCLOSURE = 0.5  # of the documents with a term, the share with the entity from which it reveals it
+LANES = 16  # over which the rows of a term or an entity are spread in a join
 
 
 def _digits(found: Column) -> Column:
@@ -93,50 +93,47 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(i, k) for i, k in enumerate(KINDS)]))
 
 
-def _contexts(rows: DataFrame) -> DataFrame:
-    """(_uid, _entity, term, start, end): words of the text within CONTEXT code points of an entity.
+def _terms(text: Column) -> Column:
+    """The different terms of a text, lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    A word that the edge of the context may cut is left out. Each entity has a bounded context, so the
-    rows grow with the entities, not with the pairs of entities and words of a text.
-    """
-    spans = rows.select("_uid", "text", F.explode("_spans").alias("s"))
-    from_ = F.greatest(F.col("s.start") - CONTEXT, F.lit(0)).cast("int")
-    sides = F.array(
-        F.struct(
-            from_.alias("at"),
-            F.expr(f"substring(text, cast(greatest(s.start - {CONTEXT}, 0) as int) + 1, cast(s.start - greatest(s.start - {CONTEXT}, 0) as int))").alias("body"),
-            (from_ > 0).alias("cut_left"),
-            F.lit(False).alias("cut_right"),
-        ),
-        F.struct(
-            F.col("s.end").cast("int").alias("at"),
-            F.expr(f"substring(text, cast(s.end as int) + 1, {CONTEXT})").alias("body"),
-            F.lit(False).alias("cut_left"),
-            F.lit(True).alias("cut_right"),
-        ),
+
+def _marks(text: Column, terms: Column) -> Column:
+    """Spans of all occurrences of the listed terms; the array grows by a copy for each of these only."""
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    words = F.zip_with(
+        F.split(text, TERM, -1),
+        found,
+        lambda g, m: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), F.coalesce(F.array_contains(terms, F.lower(m)), F.lit(False)).alias("hit")),
     )
-    entity = F.concat_ws(":", "s.kind", F.lower("s.found"))
-    one = spans.select("_uid", entity.alias("_entity"), F.explode(sides).alias("c")).select("_uid", "_entity", "c.*")
-    words = one.select("_uid", "_entity", "at", "cut_left", "cut_right", F.length("body").alias("size"), F.explode(_placed(F.col("body"), TERM)).alias("w"))
-    whole = ~(F.col("cut_left") & (F.col("w.start") == 0)) & ~(F.col("cut_right") & (F.col("w.end") == F.col("size")) & (F.col("size") == CONTEXT))
-    return words.where(whole).select(
-        "_uid",
-        "_entity",
-        F.lower("w.found").alias("term"),
-        (F.col("at") + F.col("w.start")).cast("bigint").alias("start"),
-        (F.col("at") + F.col("w.end")).cast("bigint").alias("end"),
+
+    def span(a: Column, x: Column) -> Column:
+        start = (a["at"] + x["gap"]).cast("bigint")
+        return F.struct(start.alias("start"), F.lit(len(KINDS)).alias("order"), F.lit("term").alias("kind"), (start + x["size"]).alias("end"))
+
+    return F.aggregate(
+        words,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint>>").alias("all")),
+        lambda a, x: F.struct((a["at"] + x["gap"] + x["size"]).alias("at"), F.when(x["hit"], F.concat(a["all"], F.array(span(a, x)))).otherwise(a["all"]).alias("all")),
+        lambda a: a["all"],
     )
 
 
+def _spread(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Inner join with one row per key, the rows of a key dealt to LANES tasks by their _uid."""
+    laned = rows.withColumn("_lane", F.pmod(F.xxhash64("_uid"), F.lit(LANES)).cast("int"))
+    return laned.join(values.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))), [key, "_lane"]).drop("_lane")
+
+
 def find_pii(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """All rows and columns with `spans`: (start, order, kind, end) by start, then kind.
 
     Kinds are email, ip, card, phone, and term. A protected entity is a found value. A term (a word of
-    four letters or more, lower case) reveals an entity if it stands within 80 code points of it in
-    `support` different texts or more, and the documents in which it does are at least the share
-    `disclosure` of all documents with the term. That share is p(entity | term), so the test bounds the
+    four letters or more, lower case) reveals an entity if both stand in `support` different texts or
+    more, and the documents with both are at least the share `disclosure` of all documents with the
+    term, wherever in the text they stand. That share is p(entity | term), so the test bounds the
     pointwise mutual information of term and entity against the entity's own information. Such a term
-    is marked where it stands beside that entity, unless a base span overlaps it; base spans stay.
+    is marked wherever it occurs, in all texts, unless a base span overlaps it; base spans stay.
 
     A null text is an empty one and has no spans. Repeated rows have the same spans; they count as
     documents but not as different texts. A column named spans is replaced. Every count covers all
@@ -146,27 +143,32 @@ def find_pii(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
     # the first scan leaves only texts with entities
     scanned = docs.where(F.col("text").rlike("[0-9@]")).select("_uid", "text", base_spans(F.col("text")).alias("_spans"))
     hits = written(scanned.where(F.size("_spans") > 0), "entities")
-    beside = _contexts(hits)
-    different = hits.select("_uid", F.xxhash64("text", F.length("text")).alias("_text"))
-    joint = (
-        beside.select("_uid", "_entity", "term").distinct().join(different, "_uid")
-        .groupBy("_entity", "term", "_text").agg(F.count(F.lit(1)).alias("_docs"))
-        .groupBy("_entity", "term").agg(F.sum("_docs").alias("_joint"), F.count(F.lit(1)).alias("_texts"))
+    held = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_held"))
+    # each different text once, with the number of its documents
+    once = hits.groupBy(F.xxhash64("text", F.length("text")).alias("_text")).agg(F.min("_uid").alias("_uid"), F.count(F.lit(1)).alias("_docs"))
+    texts = hits.join(once.drop("_text"), "_uid")
+    entities = F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["found"]))))
+    shown = written(texts.select("_uid", "_docs", F.explode(entities).alias("_entity")), "shown")
+    # an entity in fewer texts has no term in enough of them, and no term in too many documents can reveal it
+    often = shown.groupBy("_entity").agg(F.sum("_docs").alias("_most"), F.count(F.lit(1)).alias("_texts")).where(F.col("_texts") >= support)
+    pairs = written(_spread(shown, written(often.drop("_texts"), "often"), "_entity"), "pairs")
+    bound = pairs.groupBy("_uid").agg(F.max("_most").alias("_bound"))
+    words = texts.join(bound, "_uid").select("_uid", "_bound", F.explode(_terms(F.col("text"))).alias("term"))
+    seldom = _spread(words, held, "term").where(F.col("_bound") >= disclosure * F.col("_held")).select("_uid", "term", "_held")
+    reveals = (
+        seldom.join(pairs, "_uid").where(F.col("_most") >= disclosure * F.col("_held"))
+        .groupBy("_entity", "term").agg(F.sum("_docs").alias("_joint"), F.count(F.lit(1)).alias("_texts"), F.max("_held").alias("_held"))
+        .where((F.col("_texts") >= support) & (F.col("_joint") >= disclosure * F.col("_held")))
+        .select("term").distinct()
     )
-    candidates = written(joint.where(F.col("_texts") >= support), "candidates")
-    distinct = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    held = docs.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_held"))
-    reveals = candidates.join(held, "term").where(F.col("_joint") >= disclosure * F.col("_held")).select("_entity", "term")
-    marks = (
-        beside.join(reveals, ["_entity", "term"])
-        .groupBy("_uid")
-        .agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("order"), F.lit("term").alias("kind"), "end")).alias("_marks"))
-    )
+    present = docs.select("_uid", F.explode(_terms(F.col("text"))).alias("term"))
+    told = _spread(present, written(reveals, "reveals"), "term").groupBy("_uid").agg(F.collect_set("term").alias("_terms"))
     spans = hits.select("_uid", F.transform("_spans", lambda s: F.struct(s["start"], s["order"], s["kind"], s["end"])).alias("_spans"))
     none = F.array().cast("array<struct<start:bigint,order:int,kind:string,end:bigint>>")
+    both = docs.join(spans, "_uid", "left").join(told, "_uid", "left").withColumn("_spans", F.coalesce("_spans", none))
+    marked = both.withColumn("_marks", F.when(F.col("_terms").isNotNull(), _marks(F.col("text"), F.col("_terms"))).otherwise(none))
     free = F.filter("_marks", lambda m: ~F.exists("_spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    marked = spans.join(marks, "_uid", "left").select("_uid", F.array_sort(F.concat("_spans", F.coalesce(free, none))).alias("spans"))
-    return docs.join(marked, "_uid", "left").withColumn("spans", F.coalesce("spans", none)).drop("_uid")
+    return marked.withColumn("spans", F.array_sort(F.concat("_spans", free))).select(*[c for c in docs.columns if c != "_uid"], "spans")
 
 
 def sanitised(text: str | Column = "text", spans: str | Column = "spans") -> Column:

@@ -163,6 +163,15 @@ def test_pii_marks_revealing_terms(spark, tmp_path):
     assert done.clean[9] == "writes note more"
 
 
+def test_pii_marks_revealing_terms_wherever_they_stand(spark, tmp_path):
+    far = "such words are often here " * 10
+    rows = [f"zanzibar {i} {far}eve@x.org {far}Zanzibar" for i in range(4)] + ["about zanzibar"] + [f"{far}{i}" for i in range(9)]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    done = privacy.find_pii(spark.read.parquet(str(tmp_path / "t"))).withColumn("clean", privacy.sanitised()).toPandas().set_index("doc_id")
+    assert done.clean[0] == f"[TERM] 0 {far}[EMAIL] {far}[TERM]"
+    assert done.clean[4] == "about [TERM]" and done.clean[5] == rows[5]
+
+
 def test_simhash_and_edited_texts(odd, none):
     done = simhash.fingerprint_documents(odd).toPandas()
     assert len(done) == odd.count()
