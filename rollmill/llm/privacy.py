@@ -24,6 +24,7 @@ TERM = r"\p{L}{4,}"
 SUPPORT = 3  # different texts that must show a term and an entity
 DISCLOSURE = 0.5  # of the documents with a term, the share with the entity from which it reveals it
 LANES = 16  # over which the rows of a term or an entity are spread in a join
+COMMON = 10_000  # terms of most documents that are broadcast; any other is in few rows
 
 
 def _digits(found: Column) -> Column:
@@ -143,7 +144,8 @@ def find_pii(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
     # the first scan leaves only texts with entities
     scanned = docs.where(F.col("text").rlike("[0-9@]")).select("_uid", "text", base_spans(F.col("text")).alias("_spans"))
     hits = written(scanned.where(F.size("_spans") > 0), "entities")
-    held = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_held"))
+    held = written(docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_held")), "held")
+    common = F.broadcast(held.orderBy(F.desc("_held"), "term").limit(COMMON))
     # each different text once, with the number of its documents
     once = hits.groupBy(F.xxhash64("text", F.length("text")).alias("_text")).agg(F.min("_uid").alias("_uid"), F.count(F.lit(1)).alias("_docs"))
     texts = hits.join(once.drop("_text"), "_uid")
@@ -154,7 +156,8 @@ def find_pii(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
     pairs = written(_spread(shown, written(often.drop("_texts"), "often"), "_entity"), "pairs")
     bound = pairs.groupBy("_uid").agg(F.max("_most").alias("_bound"))
     words = texts.join(bound, "_uid").select("_uid", "_bound", F.explode(_terms(F.col("text"))).alias("term"))
-    seldom = _spread(words, held, "term").where(F.col("_bound") >= disclosure * F.col("_held")).select("_uid", "term", "_held")
+    counted = words.join(common, "term").unionByName(words.join(common, "term", "left_anti").join(held, "term"))
+    seldom = counted.where(F.col("_bound") >= disclosure * F.col("_held")).select("_uid", "term", "_held")
     reveals = (
         seldom.join(pairs, "_uid").where(F.col("_most") >= disclosure * F.col("_held"))
         .groupBy("_entity", "term").agg(F.sum("_docs").alias("_joint"), F.count(F.lit(1)).alias("_texts"), F.max("_held").alias("_held"))
