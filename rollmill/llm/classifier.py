@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.llm.common import documents, table
+from rollmill.llm.common import Counts, counted_rows, documents, held_out, labelled_sample, table
 
 BUCKETS = 1 << 17
 DIMENSIONS = 10
 MIN_N, MAX_N = 3, 4
 SAMPLE = 4_000  # labelled rows that a model is fitted on, at most
-SAMPLE_FEATURES = 4_096  # distinct features of one such row that take part, its most frequent ones
+SAMPLE_COUNTS = 24_000_000  # and distinct features of all these rows together
 EPOCHS = 6
 RATE = 0.5
 THRESHOLD = 0.3
@@ -62,12 +62,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
-def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 1) -> Model:
+def fit(rows: Counts, seed: int = 1) -> Model:
     """Stochastic gradient descent, one document at a time, on the softmax loss of two classes.
 
-    `features` are (buckets, weights summing to one) of each document. Without rows of both classes
-    the model knows only how frequent the labels are.
+    A document's features weigh by how often they occur, one in all. Without rows of both classes the
+    model knows only how frequent the labels are.
     """
+    labels = rows.labels
     rng = np.random.default_rng(seed)
     prior = (labels.sum() + 1) / (len(labels) + 2)
     if not 0 < labels.sum() < len(labels):
@@ -78,7 +79,8 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed:
     todo = EPOCHS * len(labels)
     for done, i in enumerate(np.concatenate([rng.permutation(len(labels)) for _ in range(EPOCHS)])):
         rate = RATE * (1 - done / todo)
-        at, weight = features[i]
+        at, weight = rows.at[rows.starts[i] : rows.ends[i]], rows.n[rows.starts[i] : rows.ends[i]].astype(np.float32)
+        weight /= weight.sum()
         hidden = weight @ vectors[at]
         z = out @ hidden + bias
         p = np.exp(z - z.max())
@@ -92,54 +94,26 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed:
     return Model(vectors @ (out[1] - out[0]), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled rows, spread by a hash of the id; whole texts.
+def counted(text: str | None, memo: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all features of a text and how often each occurs."""
+    counts = np.zeros(BUCKETS, np.int32)
+    for w, times in Counter((text or "").split()).items():
+        if len(memo) >= MEMO:
+            memo.clear()
+        np.add.at(counts, memo.get(w) or memo.setdefault(w, word_features(w)), times)
+    seen = np.flatnonzero(counts)
+    return seen.astype(np.int32), counts[seen]
 
-    Rows with crc32(doc_id as text) mod 5 = 0 are held out and never learned from. Each row's features
-    are counted where it lies; the driver gets the buckets of `sample` rows, at most 4,096 of each.
-    Labels other than 0 and 1 and null ids are left aside; of several labels of an id the largest counts.
-    """
-    chosen = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
-        .groupBy("doc_id")
-        .agg(F.max(label).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-    )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of two numbers
 
-    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, list[int]] = {}
-        for batch in batches:
-            ats, weights = [], []
-            for text in batch.column("text").to_pylist():
-                counts: Counter = Counter()
-                for w, times in Counter((text or "").split()).items():
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    for f in memo.get(w) or memo.setdefault(w, word_features(w)):
-                        counts[f] += times
-                top = counts.most_common(SAMPLE_FEATURES)
-                total = sum(c for _, c in top)
-                ats.append([f for f, _ in top])
-                weights.append([c / total for _, c in top])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("_label"), pa.array(ats, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))],
-                ["doc_id", "_label", "at", "weight"],
-            )
-
-    schema = "doc_id bigint, _label int, at array<int>, weight array<float>"
-    # ids may repeat, so the bound holds for rows as well
-    seen = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(featurise, schema).orderBy("doc_id").limit(sample).toArrow()
-    features = [
-        (np.array(a, np.int64), np.array(w, np.float32)) for a, w in zip(seen.column("at").to_pylist(), seen.column("weight").to_pylist(), strict=True)
-    ]
-    kept = [i for i, (a, _) in enumerate(features) if len(a)]
-    return fit([features[i] for i in kept], seen.column("_label").to_numpy()[kept].astype(int))
-
-
-def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, counts: int = SAMPLE_COUNTS) -> Model:
+    """Fit on at most `sample` labelled rows with at most `counts` feature counts together; whole texts.
+
+    Rows with crc32(doc_id as text) mod 5 = 0 are held out and never learned from; `labelled_sample` and
+    `counted_rows` say how rows are drawn. All features of a drawn row take part. Rows without a feature
+    are left aside.
+    """
+    memo: dict[str, list[int]] = {}
+    return fit(counted_rows(labelled_sample(docs, labels, label, sample), lambda text: counted(text, memo), counts, "quality-sample"))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

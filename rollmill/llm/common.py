@@ -8,21 +8,26 @@ which holds for stored tables.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollmill.session import run_dir, written
 
-__all__ = ["BLOCK_BYTES", "blocks", "documents", "group_value", "run_dir", "side_rows", "store_side", "table", "written"]
+__all__ = [
+    "BLOCK_BYTES", "blocks", "counted_rows", "documents", "group_value", "held_out", "labelled_sample", "run_dir", "side_rows",
+    "store_side", "table", "written",
+]
 
 BLOCK_BYTES = 12 << 20
 BLOCKS_PER_PARTITION = 1 << 24
 LANES = 4096
+FETCH = 4_000_000  # counts that the driver fetches at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,3 +101,75 @@ def _null_safe(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in by})
     on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by]
     return left.join(renamed, on).drop(*[f"_r_{c}" for c in by])
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether a row is kept from training: crc32 of its id as text is divisible by five."""
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
+    """`_key`, `_label` and `text` of at most `sample` labelled rows that are not held out.
+
+    Rows are drawn by a hash of id and text, so one of several with an id is as likely as any other; rows
+    that repeat both count once. Labels other than 0 and 1 and null ids are left aside; of several labels
+    of an id the largest counts.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
+    chosen = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of two numbers
+    keyed = rows.select("_label", "text", F.xxhash64("doc_id", "text").alias("_key"))
+    # ids may repeat, so the bound on rows is drawn anew, from keys alone
+    last = keyed.select("_key").distinct().orderBy("_key").limit(sample).agg(F.max("_key")).scalar()
+    return keyed.where(F.col("_key") <= last).dropDuplicates(["_key"])
+
+
+@dataclass(frozen=True)
+class Counts:
+    """Features of some rows, one row behind the other: row i from `starts[i]` to `ends[i]`."""
+
+    labels: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    at: np.ndarray  # numbers of the features, 32 bits
+    n: np.ndarray  # how often each occurs, 32 bits
+
+
+def counted_rows(rows: DataFrame, count: Callable[[str | None], tuple[np.ndarray, np.ndarray]], most: int, label: str) -> Counts:
+    """Features of the texts of `labelled_sample`, counted where the texts lie and stored, for the driver.
+
+    `count` gives the numbers of a text's features and how often each occurs. Rows without a feature are
+    left aside. The driver gets whole rows in the order of their keys, as many as have at most `most`
+    features together, eight bytes each, and fetches FETCH of them at a time.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                at, n = count(batch.column("text")[i].as_py())
+                if len(at):
+                    row = batch.slice(i, 1)
+                    lists = [pa.array([x], pa.list_(pa.int32())) for x in (at, n)]
+                    names = ["_key", "_label", "at", "n", "size"]
+                    yield pa.RecordBatch.from_arrays([row.column("_key"), row.column("_label"), *lists, pa.array([len(at)], pa.int64())], names)
+
+    stored = written(rows.mapInArrow(run, "_key long, _label int, at array<int>, n array<int>, size long"), label)
+    so_far = stored.select("_key", F.sum("size").over(Window.orderBy("_key")).alias("_so_far"))  # two numbers a row
+    slim = stored.select("_key", "_label", "size").join(so_far.where(F.col("_so_far") <= most), "_key").orderBy("_key").toArrow()
+    keys, labels, sizes = (slim.column(c).to_numpy() for c in ("_key", "_label", "size"))
+    ends = np.cumsum(sizes, dtype=np.int64)
+    starts = ends - sizes
+    total = int(ends[-1]) if len(ends) else 0
+    at, n = np.empty(total, np.int32), np.empty(total, np.int32)
+    first = 0
+    while first < len(keys):
+        last = max(int(np.searchsorted(ends, starts[first] + FETCH, "right")), first + 1)
+        part = stored.where(F.col("_key").between(int(keys[first]), int(keys[last - 1]))).select("_key", "at", "n").toArrow()
+        for batch in part.to_batches():
+            places = np.searchsorted(keys, batch.column("_key").to_numpy())
+            for name, whole in (("at", at), ("n", n)):
+                column = batch.column(name)
+                values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+                for k, place in enumerate(places):
+                    whole[starts[place] : ends[place]] = values[offsets[k] : offsets[k + 1]]
+        first = last
+    return Counts(labels.astype(np.int64), starts, ends, at, n)

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.llm.common import documents, table, written
+from rollmill.llm.common import Counts, counted_rows, documents, held_out, labelled_sample, table
 
 BITS = 18  # of a bucket's number
 SIZES = (3, 4, 5, 6)  # characters of an n-gram
@@ -76,33 +76,34 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
 
 
-def ratios(at: np.ndarray, value: np.ndarray, row: np.ndarray, labels: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
+def ratios(rows: Counts, value: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
     """Naive Bayes log-count ratio of each bucket: log of its smoothed share under label 1 over label 0."""
-    toxic = labels[row] == 1
-    shares = []
-    for mine in (toxic, ~toxic):
-        total = smoothing + np.bincount(at[mine], value[mine], 1 << BITS)
-        shares.append(np.log(total / total.sum()))
-    return shares[0] - shares[1]
+    totals = np.full((2, 1 << BITS), smoothing)
+    for label, start, end in zip(rows.labels, rows.starts, rows.ends, strict=True):
+        totals[label, rows.at[start:end]] += value[start:end]
+    logs = np.log(totals / totals.sum(axis=1, keepdims=True))
+    return (logs[1] - logs[0]).astype(np.float32)
 
 
-def fit(at: np.ndarray, value: np.ndarray, ends: np.ndarray, labels: np.ndarray, seed: int = 1) -> Model:
+def fit(rows: Counts, seed: int = 1) -> Model:
     """Ratios first, then logistic regression on the scaled features by AdaGrad, one row at a time.
 
-    `at` and `value` hold the rows' features one row behind the other, row i up to `ends[i]`. Without
-    rows of both classes the model knows only how frequent the labels are.
+    Without rows of both classes the model knows only how frequent the labels are.
     """
+    labels = rows.labels
     prior = (labels.sum() + 1) / (len(labels) + 2)
     if not 0 < labels.sum() < len(labels):
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
-    starts = np.r_[0, ends[:-1]]
-    ratio = ratios(at, value, np.repeat(np.arange(len(labels)), ends - starts), labels).astype(np.float32)
+    value = np.log1p(rows.n, dtype=np.float32)
+    ratio = ratios(rows, value)
     rng = np.random.default_rng(seed)
     weight, squares = np.zeros(1 << BITS, np.float32), np.full(1 << BITS, 1e-8, np.float32)
     bias, bias_squares = 0.0, 1e-8
-    for i in np.concatenate([rng.permutation(len(labels)) for _ in range(EPOCHS)]):
-        own = at[starts[i] : ends[i]]
-        x = ratio[own] * value[starts[i] : ends[i]]
+    mean, mean_bias = np.zeros(1 << BITS, np.float32), 0.0  # over the ends of the later half of the epochs
+    for done, i in enumerate(np.concatenate([rng.permutation(len(labels)) for _ in range(EPOCHS)]), 1):
+        mine = slice(rows.starts[i], rows.ends[i])
+        own = rows.at[mine]
+        x = ratio[own] * value[mine]
         now = weight[own]
         miss = 1 / (1 + np.exp(-np.clip(bias + float(now @ x), -60, 60))) - labels[i]
         miss *= POSITIVE if labels[i] else 1.0
@@ -111,54 +112,20 @@ def fit(at: np.ndarray, value: np.ndarray, ends: np.ndarray, labels: np.ndarray,
         weight[own] = now - np.float32(RATE) * slope / np.sqrt(squares[own])
         bias_squares += miss * miss
         bias -= RATE * miss / np.sqrt(bias_squares)
-    return Model(ratio * weight, float(bias))
+        if done % len(labels) == 0 and 2 * done > EPOCHS * len(labels):
+            mean += weight / (EPOCHS // 2)
+            mean_bias += bias / (EPOCHS // 2)
+    return Model(ratio * mean, float(mean_bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, counts: int = SAMPLE_COUNTS) -> Model:
     """Fit on at most `sample` labelled rows with at most `counts` n-gram counts together; whole texts.
 
-    Rows are drawn by a hash of id and text, so one of several with an id is as likely as any other; rows
-    that repeat both count once. Rows with crc32(doc_id as text) mod 5 = 0 are held out and never learned from.
-    The n-grams of a row are counted where it lies; the driver gets the counts of the drawn rows, eight
-    bytes each. Labels other than 0 and 1, null ids and rows without an n-gram are left aside; of several
-    labels of an id the largest counts. Tables without rows give a model of even odds.
+    Rows with crc32(doc_id as text) mod 5 = 0 are held out and never learned from; `labelled_sample` and
+    `counted_rows` say how rows are drawn. Rows without an n-gram are left aside. Tables without rows give
+    a model of even odds.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
-    chosen = (
-        known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of two numbers
-    keyed = rows.select("_label", "text", F.xxhash64("doc_id", "text").alias("_key"))
-    # ids may repeat, so the bound on rows is drawn anew, from keys alone
-    last = keyed.select("_key").distinct().orderBy("_key").limit(sample).agg(F.max("_key")).scalar()
-    few = keyed.where(F.col("_key") <= last).dropDuplicates(["_key"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                at, n = counted(batch.column("text")[i].as_py())
-                if len(at):
-                    row = batch.slice(i, 1)
-                    lists = [pa.array([x], pa.list_(pa.int32())) for x in (at, n)]
-                    yield pa.RecordBatch.from_arrays(
-                        [row.column("_key"), row.column("_label"), *lists, pa.array([len(at)], pa.int64())], ["_key", "_label", "at", "n", "size"]
-                    )
-
-    stored = written(few.mapInArrow(count, "_key long, _label int, at array<int>, n array<int>, size long"), "toxicity-sample")
-    so_far = stored.select("_key", F.sum("size").over(Window.orderBy("_key")).alias("_so_far"))  # `sample` rows of two numbers
-    fits = so_far.where(F.col("_so_far") <= counts).agg(F.max("_key")).scalar()
-    drawn = stored.where(F.col("_key") <= fits).orderBy("_key")
-    seen = drawn.select("_label", "at", "n").toArrow().combine_chunks()
-    if not len(seen):
-        return fit(np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0, np.int64))
-    at, n = (seen.column(c).chunk(0) for c in ("at", "n"))
-    value = np.log1p(n.flatten().to_numpy()).astype(np.float32)
-    ends = np.cumsum(at.value_lengths().to_numpy())
-    return fit(at.flatten().to_numpy(), value, ends, seen.column("_label").to_numpy())
-
-
-def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    return fit(counted_rows(labelled_sample(docs, labels, label, sample), counted, counts, "toxicity-sample"))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
