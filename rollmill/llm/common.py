@@ -27,7 +27,8 @@ __all__ = [
 BLOCK_BYTES = 12 << 20
 BLOCKS_PER_PARTITION = 1 << 24
 LANES = 4096
-FETCH = 4_000_000  # counts that the driver fetches at once
+FETCH = 6_000_000  # counts that the driver fetches at once
+PIECE = 1_000  # counts of a stored row, so that a reader's batch of rows stays small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,19 +143,23 @@ def counted_rows(rows: DataFrame, count: Callable[[str | None], tuple[np.ndarray
     left aside. The driver gets whole rows in the order of their keys, as many as have at most `most`
     features together, eight bytes each, and fetches FETCH of them at a time.
     """
+    names = ["_key", "_label", "piece", "size", "data"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                at, n = count(batch.column("text")[i].as_py())
-                if len(at):
-                    row = batch.slice(i, 1)
-                    lists = [pa.array([x], pa.list_(pa.int32())) for x in (at, n)]
-                    names = ["_key", "_label", "at", "n", "size"]
-                    yield pa.RecordBatch.from_arrays([row.column("_key"), row.column("_label"), *lists, pa.array([len(at)], pa.int64())], names)
-
-    stored = written(rows.mapInArrow(run, "_key long, _label int, at array<int>, n array<int>, size long"), label)
-    so_far = stored.select("_key", F.sum("size").over(Window.orderBy("_key")).alias("_so_far"))  # two numbers a row
-    slim = stored.select("_key", "_label", "size").join(so_far.where(F.col("_so_far") <= most), "_key").orderBy("_key").toArrow()
+                both = np.array(count(batch.column("text")[i].as_py()), np.int32)
+                parts = [both[:, k : k + PIECE] for k in range(0, both.shape[1], PIECE)]
+                if parts:
+                    pieces = np.arange(len(parts), dtype=np.int32)
+                    own = [batch.column(c).take(pa.array(np.full(len(parts), i))) for c in names[:2]]
+                    size = pa.array([p.shape[1] for p in parts], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(pieces), size, pa.array([p.tobytes() for p in parts])], names)
+
+    stored = written(rows.mapInArrow(run, "_key long, _label int, piece int, size long, data binary"), label)
+    sizes = stored.groupBy("_key").agg(F.max("_label").alias("_label"), F.sum("size").alias("size"))
+    so_far = sizes.withColumn("_so_far", F.sum("size").over(Window.orderBy("_key")))  # three numbers a row of the sample
+    slim = so_far.where(F.col("_so_far") <= most).orderBy("_key").toArrow()
     keys, labels, sizes = (slim.column(c).to_numpy() for c in ("_key", "_label", "size"))
     ends = np.cumsum(sizes, dtype=np.int64)
     starts = ends - sizes
@@ -163,13 +168,11 @@ def counted_rows(rows: DataFrame, count: Callable[[str | None], tuple[np.ndarray
     first = 0
     while first < len(keys):
         last = max(int(np.searchsorted(ends, starts[first] + FETCH, "right")), first + 1)
-        part = stored.where(F.col("_key").between(int(keys[first]), int(keys[last - 1]))).select("_key", "at", "n").toArrow()
+        part = stored.where(F.col("_key").between(int(keys[first]), int(keys[last - 1]))).select("_key", "piece", "data").toArrow()
         for batch in part.to_batches():
-            places = np.searchsorted(keys, batch.column("_key").to_numpy())
-            for name, whole in (("at", at), ("n", n)):
-                column = batch.column(name)
-                values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
-                for k, place in enumerate(places):
-                    whole[starts[place] : ends[place]] = values[offsets[k] : offsets[k + 1]]
+            places = starts[np.searchsorted(keys, batch.column("_key").to_numpy())] + batch.column("piece").to_numpy().astype(np.int64) * PIECE
+            for place, data in zip(places, batch.column("data"), strict=True):
+                both = np.frombuffer(data.as_buffer(), np.int32).reshape(2, -1)
+                at[place : place + both.shape[1]], n[place : place + both.shape[1]] = both
         first = last
     return Counts(labels.astype(np.int64), starts, ends, at, n)
