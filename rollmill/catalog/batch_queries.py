@@ -57,7 +57,7 @@ def macro_batches(spark, sf):
     index = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("producer"), F.col("o_orderkey").alias("batch_id"), F.col("o_orderkey").alias("arrival")
     )
-    return B.macro_batches(index, 4, width=4096).select("producer", "batch_id", "macro_id")
+    return B.macro_batches(index, 4).select("producer", "batch_id", "macro_id")
 
 
 @query(with_views(TOKENS) + "SELECT rollout_id, pos, macro_id FROM tokens WHERE macro_id IN (SELECT DISTINCT macro_id FROM tokens ORDER BY 1 DESC LIMIT 3)")
@@ -73,7 +73,7 @@ def saturation(spark, sf):
     rounds = rollouts(spark, sf).groupBy(F.col("q_id").alias("round")).agg(
         (F.max("reward") - F.min("reward") >= 0.01).alias("usable")
     )
-    return B.saturation(rounds, run=2, width=1024)
+    return B.saturation(rounds, run=2)
 
 
 @query(with_views(GRADED) + "SELECT doc_id, q_id FROM graded ORDER BY doc_id LIMIT 100")
@@ -104,8 +104,8 @@ def shuffle(spark, sf):
 @query(with_views(UPLOADS) + """SELECT arrival, q, row_number() OVER (ORDER BY arrival) AS fifo, row_number() OVER (ORDER BY arrival DESC) AS lifo FROM uploads""")
 def delivery_order(spark, sf):
     rows = uploads(spark, sf).select("arrival", "q")
-    oldest = B.delivery_order(rows, "fifo", name="fifo", width=1024)
-    return B.delivery_order(oldest, "lifo", name="lifo", width=1024)
+    oldest = B.delivery_order(rows, "fifo", name="fifo")
+    return B.delivery_order(oldest, "lifo", name="lifo")
 
 
 @query("""SELECT p_partkey AS idx, epoch::INT AS epoch, (p_partkey - CASE WHEN epoch = 0 THEN 0 ELSE 1000 END) // 32 AS batch

@@ -153,7 +153,7 @@ FROM scored WINDOW w AS (ORDER BY q_id ROWS UNBOUNDED PRECEDING)"""
 
 @query("WITH " + ROLLOUTS + ",\n" + _running())
 def running_eval(spark, sf):
-    done = E.running_eval(rollouts(spark, sf, idx=True), ks=_KS, ps=_PS, q="q_id", width=1024)
+    done = E.running_eval(rollouts(spark, sf, idx=True), ks=_KS, ps=_PS, q="q_id")
     return _rounded(done, *[f"pass_at_{k}" for k in _KS], *[f"ps{p}" for p in _PS])
 
 
@@ -167,7 +167,7 @@ def running_training(spark, sf):
         F.count(F.lit(1)).alias("n_sequences"), F.max("l_quantity").cast("bigint").alias("padded_length"),
         F.count_if(F.col("l_returnflag") == "A").alias("n_correct"), F.count_if(F.col("l_linestatus") == "O").alias("n_format"),
     )
-    done = E.running_training(steps, width=1024)
+    done = E.running_training(steps)
     return _rounded(done, "avg_output_token_length", "acc_correct_ratio", "format_correct_ratio")
 
 

@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 from rollmill.functions.keys import seeded_key
 from rollmill.operators.scan import (
     BUCKET_WIDTH,
-    bucket_hot_groups,
     key_bucket,
     ranked,
-    running_totals,
+    ranked_by_ranges,
+    totals_by_ranges,
     width_bucket,
 )
-from rollmill.operators.skew import HOT_ROWS
 
 POOL_SIZE = 100
 DRAW_SIZE = 8
@@ -84,13 +83,15 @@ def shuffle_batches(
     draw: str = "draw_id",
     ids: Sequence[str] = ("q_id", "rollout_idx"),
     name: str = "micro_batch",
-    hot_rows: int = HOT_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
-    """Batches of `size` answers in random order across the questions of one draw."""
+    """Batches of `size` answers in random order across the questions of one draw.
+
+    A draw of any size is sorted by as many tasks as it has ranges of its keys, `parts` in all.
+    """
     keyed = df.withColumn("_key", seeded_key(seed, *ids))
-    marked, bucket = bucket_hot_groups(keyed, [draw], key_bucket("_key"), hot_rows)
-    placed = ranked(marked, [draw], ["_key", *ids], bucket, "_place")
-    return placed.withColumn(name, F.floor((F.col("_place") - 1) / size)).drop("_place", "_key", "_is_hot")
+    placed = ranked_by_ranges(keyed, [draw], ["_key", *ids], "_place", parts)
+    return placed.withColumn(name, F.floor((F.col("_place") - 1) / size)).drop("_place", "_key")
 
 
 def macro_batches(
@@ -99,32 +100,38 @@ def macro_batches(
     by: Sequence[str] = ("producer",),
     arrival: str = "arrival",
     name: str = "macro_id",
-    width: int = BUCKET_WIDTH,
+    ties: Sequence[str] = ("batch_id",),
+    parts: int | None = None,
 ) -> DataFrame:
     """Number the batches of each producer in arrival order, `n` to a macro batch.
 
-    `index` has one row per batch; token rows join it afterwards. Arrivals may be sequence numbers or
-    timestamps in any whole unit.
+    `index` has one row per batch; token rows join it afterwards. Arrivals may be of any type with an
+    order and as sparse as they like. Batches that arrive together follow each other by `ties`, so the
+    order is total and every evaluation numbers them alike.
     """
-    placed = ranked(index, by, [arrival], width_bucket(arrival, width), "_place", coarse=BUCKET_WIDTH)
+    placed = ranked_by_ranges(index, by, [arrival, *ties], "_place", parts)
     return placed.withColumn(name, F.floor((F.col("_place") - 1) / n)).drop("_place")
 
 
-def keep_latest_macro(df: DataFrame, k: int = 3, macro: str = "macro_id") -> DataFrame:
-    """Rows of the newest `k` macro batches; the broadcast side has `k` rows."""
-    newest = df.select(macro).where(F.col(macro).isNotNull()).distinct().orderBy(F.desc(macro)).limit(k)
-    return df.join(F.broadcast(newest), macro, "left_semi")
+def keep_latest_macro(df: DataFrame, k: int = 3, macro: str = "macro_id", order: Sequence[str] = ()) -> DataFrame:
+    """Rows of the newest `k` macro batches; the broadcast side has `k` rows.
+
+    Newest means the greatest `order`, then the greatest `macro`; both must agree for the rows of a batch.
+    """
+    keys = [*order, macro]
+    newest = df.select(*keys).where(F.col(macro).isNotNull()).distinct().orderBy(*[F.desc(c) for c in keys]).limit(k)
+    return df.join(F.broadcast(newest), keys, "left_semi")
 
 
 def saturation(
-    rounds: DataFrame, run: int = 10, order: str = "round", usable: str = "usable", width: int = BUCKET_WIDTH
+    rounds: DataFrame, run: int = 10, order: str = "round", usable: str = "usable", parts: int | None = None
 ) -> DataFrame:
     """Runs of at least `run` consecutive rounds without a usable group.
 
     All idle rounds between two usable ones have seen the same number of usable rounds.
     """
     good = F.col(usable).cast("bigint")
-    seen = running_totals(rounds, [], [order], width_bucket(order, width), {"_seen": good})
+    seen = totals_by_ranges(rounds, [], [order], {"_seen": good}, parts)
     return (
         seen.where(~F.col(usable))
         .groupBy("_seen")
@@ -162,13 +169,13 @@ def shuffle(df: DataFrame, seed: int = 0, ids: Sequence[str] = ("q_id",)) -> Dat
 
 
 def delivery_order(
-    df: DataFrame, mode: str, arrival: str = "arrival", name: str = "position", width: int = BUCKET_WIDTH
+    df: DataFrame, mode: str, arrival: str = "arrival", name: str = "position", parts: int | None = None
 ) -> DataFrame:
     """Rows oldest first (`fifo`) or newest first (`lifo`), with their position from one."""
     if mode not in ("fifo", "lifo"):
         raise ValueError(f"unknown delivery mode {mode!r}")
-    newest_first = mode == "lifo"
-    placed = ranked(df, [], [arrival], width_bucket(arrival, width), name, newest_first, BUCKET_WIDTH)
+    order = F.col(arrival).desc() if mode == "lifo" else F.col(arrival).asc()
+    placed = ranked_by_ranges(df, [], [order], name, parts)
     return placed.orderBy(name)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollmill.operators.scan import BUCKET_WIDTH, running_totals, width_bucket
+from rollmill.operators.scan import BUCKET_WIDTH, totals_by_ranges
 
 PASS_KS = tuple(2**i for i in range(10))
 PREFIXES = (1, 3, 5)
@@ -185,7 +185,7 @@ def timing_summary(df: DataFrame, seconds: str = "seconds") -> DataFrame:
 
 def running_eval(
     df: DataFrame, ks: Sequence[int] = (1, 2, 4, 8), ps: Sequence[int] = PREFIXES, q: str = "q_idx",
-    correct: str = "correct", order: str = "rollout_idx", width: int = BUCKET_WIDTH,
+    correct: str = "correct", order: str = "rollout_idx", parts: int | None = None,
 ) -> DataFrame:
     """Progress after each question in dataset order: solved so far, pass@k and prefix success so far."""
     per_question = df.groupBy(q).agg(
@@ -205,7 +205,7 @@ def running_eval(
         },
         **{f"ps{p}": F.col(f"_ps{p}").cast("double") for p in ps},
     }
-    so_far = running_totals(per_question, [], [q], width_bucket(q, width), totals)
+    so_far = totals_by_ranges(per_question, [], [q], totals, parts)
     rates = [f"pass_at_{k}" for k in ks] + [f"ps{p}" for p in ps]
     return so_far.select(
         q, "questions", "solved", *[(F.col(r) / F.col("questions")).alias(r) for r in rates]
@@ -214,7 +214,7 @@ def running_eval(
 
 def running_training(
     df: DataFrame, step: str = "step", rows: str = "n_sequences", padded: str = "padded_length",
-    acc: str = "n_correct", fmt: str = "n_format", width: int = BUCKET_WIDTH,
+    acc: str = "n_correct", fmt: str = "n_format", parts: int | None = None,
 ) -> DataFrame:
     """Training metrics after each step: mean padded length, right and well-formed shares so far.
 
@@ -226,7 +226,7 @@ def running_training(
         "_acc": F.col(acc).cast("bigint"),
         "_fmt": F.col(fmt).cast("bigint"),
     }
-    so_far = running_totals(df, [], [step], width_bucket(step, width), totals)
+    so_far = totals_by_ranges(df, [], [step], totals, parts)
     return so_far.select(
         step,
         F.try_divide("_tokens", "_rows").alias("avg_output_token_length"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rollmill.functions.keys import seeded_key
 from rollmill.functions.rewards import REWARD_BINS
 from rollmill.functions.text import THINK_CLOSE, insert_after_thought, is_close, two_decimals
-from rollmill.operators.scan import bucket_hot_groups, ranked, width_bucket
+from rollmill.operators.scan import ranked_by_ranges
 from rollmill.operators.skew import HOT_ROWS, attach, group_stats, with_group_stats
 
 GROUP = ("q_id",)
@@ -193,26 +193,30 @@ def insert_think(
     quirk: bool = False,
     reward: str = "reward",
     answer: str = "answer",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Give one full-reward answer per question an empty thought block behind its thought.
 
-    The pick is the smallest seeded key, found by partial aggregation. With `quirk` the new text goes
-    to the answer whose index is the pick's position among the full-reward answers, not to the pick.
+    The pick is the smallest seeded key, found by partial aggregation over ids alone; no text moves but
+    in the join by answer. With `quirk` the new text goes to the answer whose index is the pick's position
+    among the full-reward answers, not to the pick.
     """
-    full = df.where(is_close(reward, F.lit(FULL_REWARD)))
+    full = df.where(is_close(reward, F.lit(FULL_REWARD))).select("q_id", "rollout_idx")
     if quirk:
-        marked, bucket = bucket_hot_groups(full, GROUP, width_bucket("rollout_idx"), hot_rows)
-        full = ranked(marked, GROUP, ["rollout_idx"], bucket, "_place")
+        full = ranked_by_ranges(full, GROUP, ["rollout_idx"], "_place")
         target = (F.col("_place") - 1).cast("int")
     else:
         target = F.col("rollout_idx")
     key = seeded_key(seed, "q_id", "rollout_idx")
+    pick = full.groupBy("q_id").agg(F.min_by(F.struct(F.col("rollout_idx").alias("_from"), target.alias("_to")), key).alias("_p"))
+    pick = pick.select("q_id", "_p.*")
     grown = F.when(F.instr(answer, THINK_CLOSE) > 0, insert_after_thought(answer))
-    pick = full.groupBy("q_id").agg(
-        F.min_by(F.struct(target.alias("rollout_idx"), grown.alias("_new")), key).alias("_p")
-    )
-    changed = pick.select("q_id", "_p.rollout_idx", "_p._new")
+    if not quirk:
+        picked = pick.select("q_id", F.col("_to").alias("rollout_idx"), F.lit(True).alias("_picked"))
+        new = F.when(F.col("_picked"), F.coalesce(grown, F.col(answer))).otherwise(F.col(answer))
+        return df.join(picked, ["q_id", "rollout_idx"], "left").select(*[new.alias(answer) if c == answer else F.col(c) for c in df.columns])
+    # the one text of a question that goes to another row: as many as there are questions
+    texts = df.select("q_id", F.col("rollout_idx").alias("_from"), grown.alias("_new")).join(pick, ["q_id", "_from"])
+    changed = texts.select("q_id", F.col("_to").alias("rollout_idx"), "_new")
     return df.join(changed, ["q_id", "rollout_idx"], "left").select(
         *[F.coalesce("_new", answer).alias(answer) if c == answer else F.col(c) for c in df.columns]
     )

@@ -164,5 +164,5 @@ def bucket_hot_groups(
     Returns the marked rows and the bucket column to hand to `ranked` or `running_totals`.
     """
     hot = hot_groups(group_stats(df, by), by, hot_rows).select(*by, F.lit(True).alias("_is_hot"))
-    marked = df.join(F.broadcast(hot), list(by), "left")
+    marked = df.join(F.broadcast(hot), list(by), "left")  # fewer than SHARES keys
     return marked, F.when(F.col("_is_hot"), bucket)

@@ -1,65 +1,64 @@
 """Joining group statistics back to rows when one group may hold a large share of all rows.
 
 A window over the group would pull the whole group into one task. Here the statistics come from an
-ordinary aggregation (partial sums are made before the shuffle) and are joined back in two ways at
-once: the few hot groups from a broadcast side with a fixed row bound, all other groups by a
-shuffled join in which hot rows are spread over many lanes, so no task receives a hot group.
+ordinary aggregation (partial sums are made before the shuffle) and are joined back in one shuffled
+join on the key and a lane. An ordinary key has one lane. A hot key has lanes in proportion to its rows:
+its rows go to one each, and its row of the other side is repeated for all of them.
+
+A key is hot when it holds more than a fixed number of rows and more than one part in SHARES of them
+all. So there cannot be more than SHARES hot keys, whatever the data, and the table of their lanes, two
+numbers a key, is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000  # groups beyond this many rows count as hot
-MAX_HOT_GROUPS = 10_000  # broadcast bound; a group beyond it holds under 1/10,000 of the rows
-MAX_HOT_LOOKUPS = 1_000  # the same where the broadcast rows hold texts
-LANES = 4096
-
-
-def _cold_lane(by: Sequence[str]) -> Column:
-    """Lane zero, computed from the key: Catalyst would drop a constant from the join key, and the
-    rows of a hot group would meet in one task after all."""
-    # never NULL, so that no filter is inferred on one side only and the shuffle can be reused
-    return F.coalesce(F.pmod(F.xxhash64(*by), F.lit(1)).cast("int"), F.lit(0))
+HOT_ROWS = 1_000_000  # rows of a lane, at least; a key with fewer has one lane
+SHARES = 100_000  # a key with less than so small a part of all rows has one lane
+NULL_LANES = 4096
 
 
 def group_stats(df: DataFrame, by: Sequence[str], **stats: Column) -> DataFrame:
-    """One row per group with `stats`, the group's row count `_rows` and its lane.
-
-    Grouping by the lane as well leaves the result partitioned as `attach` joins it.
-    """
+    """One row per group with `stats` and the group's row count `_rows`. Null keys are no group."""
     known = df
     for key in by:
         known = known.where(F.col(key).isNotNull())
-    return known.withColumn("_lane", _cold_lane(by)).groupBy(*by, "_lane").agg(
-        F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in stats.items()]
-    )
+    return known.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in stats.items()])
 
 
-def hot_groups(
-    stats: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS, at_most: int = MAX_HOT_GROUPS
-) -> DataFrame:
-    """The largest groups beyond `hot_rows`, never more than `at_most` of them."""
-    return stats.where(F.col("_rows") > hot_rows).orderBy(F.desc("_rows"), *by).limit(at_most)
+def _lane_rows(stats: DataFrame, hot_rows: int) -> Column:
+    """Rows of a lane: fewer than this make no key hot."""
+    total = stats.agg(F.sum("_rows")).scalar()
+    return F.greatest(F.lit(hot_rows).cast("double"), F.coalesce(total, F.lit(0)) / F.lit(SHARES))
 
 
-def _join_two_ways(
-    df: DataFrame, hot: DataFrame, cold: DataFrame, by: list[str], spread: Sequence[str], values: list[str]
-) -> DataFrame:
-    """Left join with the hot keys' values broadcast and all others shuffled.
+def hot_groups(stats: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The groups with more rows than a lane, fewer than SHARES of them, and their number of `_lanes`."""
+    size = _lane_rows(stats, hot_rows)
+    return stats.where(F.col("_rows") > size).withColumn("_lanes", F.ceil(F.col("_rows") / size).cast("int"))
 
-    Hot rows go to random lanes of the shuffled join, where they match nothing and need nothing.
-    """
-    hot_side = hot.select(*by, F.struct(*values).alias("_hot"))
-    cold_side = cold.select(*by, "_lane", F.struct(*values).alias("_cold"))
-    hot_lane = 1 + F.pmod(F.xxhash64(*spread), F.lit(LANES)).cast("int")
-    tagged = df.join(F.broadcast(hot_side), by, "left").withColumn(
-        "_lane", F.when(F.col("_hot").isNull(), 0).otherwise(hot_lane)
-    )
-    return tagged.join(cold_side, [*by, "_lane"], "left").withColumn("_picked", F.coalesce("_hot", "_cold"))
+
+def _join_by_lane(
+    df: DataFrame, values: DataFrame, counts: DataFrame, by: list[str], spread: Sequence[str], hot_rows: int, how: str
+) -> DataFrame:
+    """Join rows with a table of one row per key, by key and lane; `counts` holds `_rows` of each key in `df`."""
+    key = F.xxhash64(*by)  # keys that share a hash share their number of lanes
+    lanes = hot_groups(counts, by, hot_rows).groupBy(key.alias("_hot_key")).agg(F.max("_lanes").alias("_lanes"))
+    lanes = F.broadcast(lanes)  # at most SHARES rows of two numbers
+    missing = reduce(or_, [F.col(c).isNull() for c in by])
+    apart = F.xxhash64(*spread)
+    # a row without a key matches nothing, and needs no company for that
+    lane = F.when(missing, -1 - F.pmod(apart, F.lit(NULL_LANES))).otherwise(F.pmod(apart, F.coalesce("_lanes", F.lit(1)).cast("long")))
+    rows = df.join(lanes, key == F.col("_hot_key"), "left").withColumn("_lane", lane.cast("int")).drop("_hot_key", "_lanes")
+    every = F.sequence(F.lit(0), F.coalesce("_lanes", F.lit(1)) - 1)
+    side = values.join(lanes, key == F.col("_hot_key"), "left").withColumn("_lane", F.explode(every)).drop("_hot_key", "_lanes")
+    return rows.join(side, [*by, "_lane"], how).drop("_lane")
 
 
 def attach(
@@ -75,13 +74,10 @@ def attach(
     Rows without a statistics row get NULLs.
     """
     by = list(by)
-    if "_lane" not in stats.columns:
-        stats = stats.withColumn("_lane", _cold_lane(by))
-    values = [c for c in stats.columns if c not in (*by, "_rows", "_lane")]
+    values = [c for c in stats.columns if c not in (*by, "_rows")]
     # Reading the row count on both sides keeps their aggregations equal, so the shuffle is reused.
-    cold = stats.where(F.col("_rows") > 0)
-    joined = _join_two_ways(df, hot_groups(stats, by, hot_rows), cold, by, spread, values)
-    return joined.select(*[F.col(c) for c in df.columns], *[F.col(f"_picked.{v}").alias(v) for v in values])
+    side = stats.where(F.col("_rows") > 0).drop("_rows")
+    return _join_by_lane(df, side, stats, by, spread, hot_rows, "left").select(*df.columns, *values)
 
 
 def join_lookup(
@@ -90,21 +86,18 @@ def join_lookup(
     by: Sequence[str],
     spread: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join with a table that has one row per key, safe against hot keys in `df`.
+    """Join with a table that has one row per key, safe against hot keys in `df`; `how` is inner or left.
 
     AQE would split a skewed join only where no aggregation on the same key follows, and here one
-    usually does. Hot keys are found by a count that reads the key columns alone; the broadcast side
-    has MAX_HOT_LOOKUPS rows at most.
+    usually does. Hot keys are found by a count that reads the key columns alone, and a hot key's row of
+    `lookup`, which may hold texts, is repeated once per lane and never broadcast.
     """
     by = list(by)
     values = [c for c in lookup.columns if c not in by]
-    keys = hot_groups(group_stats(df, by), by, hot_rows, MAX_HOT_LOOKUPS).select(*by)
-    hot = lookup.join(F.broadcast(keys), by, "left_semi")
     apart = list(spread or [c for c in df.columns if c not in by] or by)
-    cold = lookup.withColumn("_lane", _cold_lane(by))
-    joined = _join_two_ways(df, hot, cold, by, apart, values).where(F.col("_picked").isNotNull())
-    return joined.select(*[F.col(c) for c in df.columns], *[F.col(f"_picked.{v}").alias(v) for v in values])
+    return _join_by_lane(df, lookup, group_stats(df, by), by, apart, hot_rows, how).select(*df.columns, *values)
 
 
 def with_group_stats(

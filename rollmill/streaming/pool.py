@@ -1,30 +1,38 @@
-"""The question pool as keyed state, and groups drawn from it."""
+"""The question pool as keyed state, and groups drawn from it.
+
+State holds one list of answers per question and nothing else holds them: an upload is appended as one
+element, and a list is cut to its newest answers when it has doubled. What a pool was after a trigger is
+read from the state of that trigger, so there is no log of changes to keep or compact.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from rollmill.operators.batching import DRAW_SIZE, POOL_SIZE, POOL_TOLERANCE, regroup
-from rollmill.sources.tables import read_or_empty
+from rollmill.operators.batching import DRAW_SIZE, POOL_SIZE, POOL_TOLERANCE, keep_last, regroup
 
 MIN_TOTAL = 60
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_STATE = (
+_ANSWER = T.StructType().add("answer", "string").add("reward", "double").add("arrival", "long")
+_COUNT = T.StructType().add("received", "long").add("held", "long")
+POOL = (
     T.StructType()
+    .add("q", "string")
     .add("answers", T.ArrayType(T.StringType()))
     .add("rewards", T.ArrayType(T.DoubleType()))
     .add("arrivals", T.ArrayType(T.LongType()))
     .add("received", "long")
+    .add("fresh", "long")
 )
-POOL = T.StructType([T.StructField("q", T.StringType()), *_STATE.fields, T.StructField("fresh", T.LongType())])
-_PROGRESS = T.StructType().add("total", "long")
 
 
 def _newest_per_question(n: int):
@@ -34,7 +42,7 @@ def _newest_per_question(n: int):
     """
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ordered = pdf.sort_values("arrival")
+            ordered = pdf.sort_values("arrival", kind="stable")
             sizes = ordered.groupby("q")["arrival"].transform("size")
             kept = ordered.groupby("q").tail(n).copy()
             first = ~kept.duplicated("q")
@@ -45,38 +53,66 @@ def _newest_per_question(n: int):
     return cut
 
 
-def _update(n: int):
-    def update(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        answers, rewards, arrivals, received = state.get if state.exists else ([], [], [], 0)
-        pool = pd.DataFrame({"answer": list(answers), "reward": list(rewards), "arrival": list(arrivals)})
-        fresh = 0
-        for pdf in batches:
-            fresh += int(pdf["weight"].sum())
-            new = pdf[["answer", "reward", "arrival"]]
-            pool = (pd.concat([pool, new]) if len(pool) else new).sort_values("arrival").tail(n)
-        row = (pool["answer"].tolist(), pool["reward"].astype(float).tolist(), pool["arrival"].astype(int).tolist())
-        state.update((*row, received + fresh))
-        yield pd.DataFrame(
-            {"q": [key[0]], "answers": [row[0]], "rewards": [row[1]], "arrivals": [row[2]],
-             "received": [received + fresh], "fresh": [fresh]}
-        )
+def _processor(n: int) -> StatefulProcessor:
+    """Appends a trigger's answers to the question's list and emits the pool.
 
-    return update
+    All it needs is defined here: Spark sends it by value, also to a process that cannot import this module.
+    """
+    answer, numbers = _ANSWER, _COUNT
+
+    def newest(answers: list[tuple]) -> list[tuple]:
+        """Oldest first; equal arrivals by their text and reward."""
+        return sorted(answers, key=lambda a: (a[2], a[0] or "", a[1] or 0.0))[-n:]
+
+    class Pool(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.answers = handle.getListState("answers", answer)
+            self.count = handle.getValueState("count", numbers)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            new, fresh = [], 0
+            for r in rows:
+                fresh += r.weight
+                new.append((r.answer, r.reward, r.arrival))
+                if len(new) > 2 * n:  # a hot question sends `n` rows for each batch of its uploads
+                    new = newest(new)
+            received, held = self.count.get() if self.count.exists() else (0, 0)
+            self.answers.appendList(new)
+            held += len(new)
+            pool = newest([tuple(a) for a in self.answers.get()])
+            if held > 2 * n:
+                self.answers.put(pool)
+                held = len(pool)
+            self.count.update((received + fresh, held))
+            answers, rewards, arrivals = (list(c) for c in zip(*pool))
+            yield Row(q=key[0], answers=answers, rewards=rewards, arrivals=arrivals, received=received + fresh, fresh=fresh)
+
+        def close(self) -> None:
+            pass
+
+    return Pool()
 
 
 def question_pool(uploads: DataFrame, n: int = POOL_SIZE) -> DataFrame:
     """The newest `n` answers of each question, emitted for the questions a trigger changed.
 
-    State holds `n` answers per question. A hot question is cut on the map side first, so its key
-    never receives more than `n` rows per Arrow batch.
+    State holds at most twice `n` answers per question. A hot question is cut on the map side first, so
+    its key never receives more than `n` rows per Arrow batch. Needs the state store of `listed_state`.
     """
     rows = uploads.select("q", "answer", F.col("reward").cast("double"), F.col("arrival").cast("bigint"))
     slim = T.StructType(list(rows.schema.fields)).add("weight", "long")
-    return (
-        rows.mapInPandas(_newest_per_question(n), slim)
-        .groupBy("q")
-        .applyInPandasWithState(_update(n), POOL, _STATE, "update", GroupStateTimeout.NoTimeout)
-    )
+    return rows.mapInPandas(_newest_per_question(n), slim).groupBy("q").transformWithState(_processor(n), POOL, "Update", "None")
+
+
+@contextmanager
+def listed_state(spark: SparkSession):
+    """Queries started inside keep lists in their state; the session's setting comes back afterwards."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 def pool_rows(pool: DataFrame) -> DataFrame:
@@ -87,71 +123,72 @@ def pool_rows(pool: DataFrame) -> DataFrame:
     return pool.select("q", F.inline(zipped))
 
 
-def pool_stream(uploads: DataFrame, path: str, checkpoint: str, n: int = POOL_SIZE, trigger: dict | None = None) -> StreamingQuery:
-    """Write every trigger's changed pools below `path`, one folder per trigger."""
-    def save(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def _state(spark: SparkSession, checkpoint: str, variable: str, trigger: int | None) -> DataFrame:
+    reader = spark.read.format("statestore").option("stateVarName", variable)
+    if trigger is not None:
+        reader = reader.option("batchId", trigger)
+    return reader.load(checkpoint)
 
-    return (
-        question_pool(uploads, n)
-        .writeStream.foreachBatch(save)
-        .outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
 
+def pooled_answers(spark: SparkSession, checkpoint: str, n: int = POOL_SIZE, trigger: int | None = None) -> DataFrame:
+    """The newest `n` answers of every question after a trigger, the last one by default.
+
+    Read from the state itself, each question where it lies; one row per answer.
+    """
+    rows = _state(spark, checkpoint, "answers", trigger)
+    return keep_last(rows.select("key.q", "list_element.*"), n)
+
+
+def received_answers(spark: SparkSession, checkpoint: str, trigger: int | None = None) -> DataFrame:
+    """How many answers of each question came in up to a trigger, the last one by default."""
+    return _state(spark, checkpoint, "count", trigger).select("key.q", "value.received")
 
-def current_pool(spark: SparkSession, path: str) -> DataFrame:
-    """The latest pool of each question from the folders that `pool_stream` wrote."""
-    changes = read_or_empty(spark, path, T.StructType(list(POOL.fields)).add("batch", "long"))
-    return _latest(changes)
+
+def _started(stream: DataFrame, sink, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    with listed_state(stream.sparkSession):
+        return (
+            stream.writeStream.foreachBatch(sink)
+            .outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
 
 
-def _latest(changes: DataFrame) -> DataFrame:
-    values = [c for c in POOL.names if c != "q"]
-    newest = F.max_by(F.struct(*values), "received")
-    return changes.groupBy("q").agg(newest.alias("_p")).select("q", "_p.*")
+def pool_stream(uploads: DataFrame, checkpoint: str, n: int = POOL_SIZE, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the pools of an upload stream; `pooled_answers` and `received_answers` read them."""
+    def drained(changed: DataFrame, batch_id: int) -> None:
+        changed.write.format("noop").mode("overwrite").save()
+
+    return _started(question_pool(uploads, n), drained, checkpoint, trigger)
 
 
 def regroup_stream(
     uploads: DataFrame, path: str, checkpoint: str, min_total: int = MIN_TOTAL, size: int = DRAW_SIZE,
     n: int = POOL_SIZE, seed: int = 0, tol: float = POOL_TOLERANCE, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Groups of `size` answers for the questions a trigger changed, once `min_total` answers came in.
+    """Groups of `size` answers from every question's pool on each trigger, once `min_total` answers came in.
 
-    The gate counts all answers, so it lives here and not in keyed state. Until it opens, changed
-    pools wait in a folder; they hold fewer than `min_total` answers. Every trigger writes its own
-    folders with overwrite, so a repeated trigger gives the same result.
+    A trigger draws from the pools it changed as it emits them, and from all others as the state of the
+    trigger before holds them, so a pool that no longer changes is drawn again and again. The gate counts
+    all answers in the same way. Every trigger writes its own folder below `groups` with overwrite, and the state of an
+    earlier trigger does not change, so a repeated trigger gives the same groups.
     """
     def emit(changed: DataFrame, batch_id: int) -> None:
         spark = changed.sparkSession
-        pools = f"{path}/pools/batch={batch_id}"
-        changed.write.mode("overwrite").parquet(pools)
-        changed = spark.read.schema(POOL).parquet(pools)
-        earlier = read_or_empty(spark, f"{path}/progress/batch={batch_id - 1}", _PROGRESS)
-        before = earlier.agg(F.max("total")).first()[0] or 0
-        total = before + (changed.agg(F.sum("fresh")).first()[0] or 0)
-        progress = spark.range(1).select(F.lit(total).cast("long").alias("total"))
-        progress.write.mode("overwrite").parquet(f"{path}/progress/batch={batch_id}")
-        if total < min_total:
-            return
-        if before < min_total:
-            changed = _latest(current_changes(spark, f"{path}/pools", batch_id))
-        groups = regroup(pool_rows(changed), size, f"{seed}:{batch_id}", tol)
-        groups.write.mode("overwrite").parquet(f"{path}/groups/batch={batch_id}")
-
-    return (
-        question_pool(uploads, n)
-        .writeStream.foreachBatch(emit)
-        .outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
-
-
-def current_changes(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """All pool changes up to and including one trigger."""
-    schema = T.StructType(list(POOL.fields)).add("batch", "long")
-    return read_or_empty(spark, path, schema).where(F.col("batch") <= batch_id)
+        here = changed.persist()  # the stateful step must run once; a lost block is computed from the same state
+        try:
+            total = here.agg(F.coalesce(F.sum("fresh"), F.lit(0))).first()[0]
+            pools = pool_rows(here)
+            if batch_id:
+                before = received_answers(spark, checkpoint, batch_id - 1)
+                total += before.agg(F.coalesce(F.sum("received"), F.lit(0))).first()[0]
+                others = pooled_answers(spark, checkpoint, n, batch_id - 1).join(here.select("q"), "q", "left_anti")
+                pools = pools.unionByName(others)
+            if total >= min_total:
+                groups = regroup(pools, size, f"{seed}:{batch_id}", tol)
+                groups.write.mode("overwrite").parquet(f"{path}/groups/batch={batch_id}")
+        finally:
+            here.unpersist()
+
+    return _started(question_pool(uploads, n), emit, checkpoint, trigger)

@@ -80,7 +80,7 @@ def test_running_eval_ends_at_the_totals(spark):
     groups = {q: [int((q + i) % 3 == 0) for i in range(4)] for q in range(50)}
     rows = [(q, i, bool(c)) for q, marks in groups.items() for i, c in enumerate(marks)]
     df = spark.createDataFrame(rows, "q_idx long, rollout_idx int, correct boolean")
-    last = E.running_eval(df, ks=(1, 2), width=7).orderBy(F.desc("q_idx")).first()
+    last = E.running_eval(df, ks=(1, 2), parts=7).orderBy(F.desc("q_idx")).first()
     assert last.questions == 50 and last.solved == sum(any(m) for m in groups.values())
     want = sum(1 - math.comb(4 - sum(m), 2) / math.comb(4, 2) for m in groups.values()) / 50
     assert last.pass_at_2 == pytest.approx(want)

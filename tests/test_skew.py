@@ -80,8 +80,11 @@ def test_rarity_by_brute_force(lopsided, guard):
 def test_hot_rows_spread_over_tasks(spark, lopsided):
     """The lane has to stay in the join key, else all hot rows would meet in one task."""
     _, df = lopsided
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    # partitions this small are otherwise put together again after the join
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
     try:
         joined = G.group_advantage(df, hot_rows=100)
         plan = joined._jdf.queryExecution().executedPlan().toString()
@@ -89,7 +92,8 @@ def test_hot_rows_spread_over_tasks(spark, lopsided):
         tasks = joined.where("q_id = 0").groupBy(F.spark_partition_id()).count().count()
         assert tasks > 1
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_lookup_join_is_an_inner_join(spark, lopsided):
@@ -102,11 +106,44 @@ def test_lookup_join_is_an_inner_join(spark, lopsided):
 
 
 def test_hot_groups_are_bounded(spark, monkeypatch, lopsided):
+    """A key is hot only beyond one part in SHARES of all rows, so there cannot be more of them."""
     _, df = lopsided
-    monkeypatch.setattr(skew, "MAX_HOT_GROUPS", 2)
     stats = skew.group_stats(df, ["q_id"])
-    assert skew.hot_groups(stats, ["q_id"], 1, 2).count() == 2
     assert {r.q_id for r in skew.hot_groups(stats, ["q_id"], 100).collect()} == {0}
+    lanes = {r.q_id: r._lanes for r in skew.hot_groups(stats, ["q_id"], 3).collect()}
+    assert lanes[0] == 134 and all(n in (2, 3) for q, n in lanes.items() if q)
+    monkeypatch.setattr(skew, "SHARES", 3)  # more than 400 of 1,200 rows
+    assert skew.hot_groups(stats, ["q_id"], 1).count() == 0
+    monkeypatch.setattr(skew, "SHARES", 4)
+    assert {r.q_id for r in skew.hot_groups(stats, ["q_id"], 1).collect()} == {0}
+
+
+def test_many_hot_keys_each_in_several_tasks(spark):
+    """More hot keys than any fixed list would hold: 12,000 of 40 rows, ten to a lane."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(before, ("-1", "false", "16")):
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(480_000).select((F.col("id") % 12_000).alias("q_id"), F.col("id").alias("rollout_idx"))
+        asked = spark.range(12_000).select(F.col("id").alias("q_id"), F.concat(F.lit("question "), "id").alias("question"))
+        done = J.attach_questions(rows, asked, hot_rows=10).withColumn("_task", F.spark_partition_id())
+        tasks = done.groupBy("q_id").agg(F.count_distinct("_task").alias("n"), F.count(F.lit(1)).alias("rows"))
+        low = tasks.agg(F.min("n").alias("n"), F.min("rows").alias("rows"), F.max("rows").alias("most"), F.count(F.lit(1)).alias("keys")).first()
+        assert (low.rows, low.most, low.keys) == (40, 40, 12_000)
+        # four lanes of a key meet in one of 16 partitions by chance only
+        assert tasks.where("n < 2").count() < 12
+        assert done.where("question <> concat('question ', q_id)").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_left_lookup_keeps_rows_without_a_match_or_key(spark):
+    rows = spark.createDataFrame([(None, i) for i in range(30)] + [(1, 0), (2, 0)], "q_id long, rollout_idx long")
+    asked = spark.createDataFrame([(1, "one"), (None, "none")], "q_id long, question string")
+    got = skew.join_lookup(rows, asked, ["q_id"], how="left").collect()
+    assert len(got) == 32 and {r.question for r in got if r.q_id == 1} == {"one"}
+    assert all(r.question is None for r in got if r.q_id != 1)
 
 
 @pytest.mark.parametrize("descending", [False, True])
@@ -143,7 +180,7 @@ def test_shuffled_batches_of_a_hot_draw(lopsided):
     rows, df = lopsided
     draws = df.withColumn("draw_id", (F.col("q_id") > 0).cast("int"))
     cold = {(r.q_id, r.rollout_idx): r.micro_batch for r in B.shuffle_batches(draws, 8, 1).collect()}
-    hot = {(r.q_id, r.rollout_idx): r.micro_batch for r in B.shuffle_batches(draws, 8, 1, hot_rows=10).collect()}
+    hot = {(r.q_id, r.rollout_idx): r.micro_batch for r in B.shuffle_batches(draws, 8, 1, parts=10).collect()}
     assert cold == hot and len(hot) == len(rows)
     sizes = {}
     for (q, _), b in hot.items():

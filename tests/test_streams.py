@@ -27,13 +27,37 @@ def folder(spark):
 
 def test_pool_over_several_triggers(spark, folder):
     stream = U.rollout_stream(spark, f"{folder}/in", max_files=1)
-    pool.pool_stream(stream, f"{folder}/out", f"{folder}/ckpt", 10).awaitTermination()
-    now = pool.current_pool(spark, f"{folder}/out")
+    pool.pool_stream(stream, f"{folder}/ckpt", 10).awaitTermination()
     received = {q: sum(r[0] == q for r in ROWS) for q in {r[0] for r in ROWS}}
-    assert {r.q: r.received for r in now.collect()} == received
+    assert {r.q: r.received for r in pool.received_answers(spark, f"{folder}/ckpt").collect()} == received
     want = keep_last(spark.createDataFrame(ROWS, UPLOAD), 10).select("q", "answer", "reward", "arrival")
-    got = pool.pool_rows(now).select("q", "answer", "reward", "arrival")
+    got = pool.pooled_answers(spark, f"{folder}/ckpt", 10).select("q", "answer", "reward", "arrival")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # an earlier trigger's pools are still there, and a list holds twice its answers at most
+    early = pool.pooled_answers(spark, f"{folder}/ckpt", 10, trigger=1).collect()
+    first = keep_last(spark.createDataFrame(ROWS[:60], UPLOAD), 10).select("q", "answer", "reward", "arrival")
+    assert sorted(map(tuple, early)) == sorted(map(tuple, first.collect()))
+    held = pool._state(spark, f"{folder}/ckpt", "answers", None).groupBy("key").count().collect()
+    assert max(r["count"] for r in held) <= 20
+
+
+def test_unchanged_pools_are_drawn_again(spark):
+    path = run_dir(spark, "unchanged")
+    drop(spark, path, [("still", f"s{i}", float(i), i, None) for i in range(9)])
+    for k in range(2):
+        drop(spark, path, [("busy", f"b{k}{i}", float(i), 10 * k + i, None) for i in range(9)])
+    stream = U.rollout_stream(spark, f"{path}/in", max_files=1)
+    pool.regroup_stream(stream, f"{path}/out", f"{path}/ckpt", min_total=1).awaitTermination()
+    drawn = spark.read.parquet(f"{path}/out/groups").groupBy("batch", "q").agg(F.sort_array(F.collect_list("answer")).alias("a")).collect()
+    still = {r.batch: r.a for r in drawn if r.q == "still"}
+    assert sorted(still) == [0, 1, 2] and all(len(a) == 8 for a in still.values())
+    assert len({tuple(a) for a in still.values()}) > 1  # a draw of its own each time
+
+
+def test_the_setting_of_the_session_comes_back(spark, folder):
+    before = spark.conf.get(pool.PROVIDER, None)
+    pool.pool_stream(U.rollout_stream(spark, f"{folder}/in"), f"{folder}/ckpt").awaitTermination()
+    assert spark.conf.get(pool.PROVIDER, None) == before
 
 
 def test_pool_survives_a_restart(spark):
@@ -41,9 +65,8 @@ def test_pool_survives_a_restart(spark):
     for k in range(3):
         drop(spark, path, ROWS[k * 40:(k + 1) * 40])
         stream = U.rollout_stream(spark, f"{path}/in")
-        pool.pool_stream(stream, f"{path}/out", f"{path}/ckpt", 10).awaitTermination()
-    now = pool.current_pool(spark, f"{path}/out")
-    assert sum(r.received for r in now.collect()) == len(ROWS)
+        pool.pool_stream(stream, f"{path}/ckpt", 10).awaitTermination()
+    assert sum(r.received for r in pool.received_answers(spark, f"{path}/ckpt").collect()) == len(ROWS)
 
 
 def test_regroup_waits_for_the_gate(spark):
@@ -78,10 +101,10 @@ def test_batch_and_stream_agree(spark, folder):
 
 def wide(spark, batches):
     rows = [
-        (p, b, b, 10 * b + i, float(i % 3), [-0.1 * (i + 1), -0.2, -0.3], [-0.2, -0.1 * i, -0.5], [True, True, i % 2 == 0])
+        (p, b, b, 4, 10 * b + i, float(i % 3), [-0.1 * (i + 1), -0.2, -0.3], [-0.2, -0.1 * i, -0.5], [True, True, i % 2 == 0])
         for p, b in batches for i in range(4)
     ]
-    return spark.createDataFrame(rows, "producer long, batch_id long, arrival long, rollout_id long, seq_reward double, "
+    return spark.createDataFrame(rows, "producer long, batch_id long, arrival long, batch_rows int, rollout_id long, seq_reward double, "
                                        "gen_logps array<double>, ref_logps array<double>, valid array<boolean>")
 
 
@@ -102,6 +125,23 @@ def test_macro_batches_over_triggers(spark):
     assert len(want) == got.count() == 48
 
 
+def test_split_batches_and_equal_arrivals(spark):
+    """Batch 3 comes in two files, one of its answers twice; all arrivals are equal."""
+    path = run_dir(spark, "split-test")
+    rows = wide(spark, [(0, b) for b in range(9)]).withColumn("arrival", F.lit(5).cast("long"))
+    first = rows.where("batch_id < 3 OR batch_id = 3 AND rollout_id < 32")
+    second = rows.where("batch_id = 3 AND rollout_id >= 31 OR batch_id IN (4, 5)")
+    for part in (first, second, rows.where("batch_id > 5")):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = U.rollout_stream(spark, f"{path}/in", rows.schema)
+        macro.macro_stream(stream, f"{path}/out", f"{path}/ckpt", 3).awaitTermination()
+    got = spark.read.parquet(f"{path}/out/macros").groupBy("macro_id").agg(
+        F.sort_array(F.collect_set("batch_id")).alias("b"), F.count(F.lit(1)).alias("n")
+    ).collect()
+    assert {r.macro_id: (r.b, r.n) for r in got} == {0: ([0, 1, 2], 12), 3: ([3, 4, 5], 12), 6: ([6, 7, 8], 12)}
+    assert spark.read.parquet(f"{path}/out/waiting").where("batch = 2").count() == 0
+
+
 def test_metrics_add_up(spark):
     path = run_dir(spark, "metrics-test")
     steps = spark.createDataFrame([(s, 8, 100 + s, s % 9, 8) for s in range(20)], "step long, n_sequences int, padded_length int, n_correct int, n_format int")
