@@ -97,6 +97,15 @@ def boxed_nested(spark, sf):
     return math_answers(spark, sf).select("q_id", *ROLLOUT_ID, T.boxed_nested("answer").alias("boxed"))
 
 
+_ODD = "replace(replace(replace(answer, '1', chr(64976)), '2', chr(64977)), '3', chr(64978))"  # noncharacters
+
+
+@query(with_views(MATH_ANSWERS) + f"SELECT {_ID}, {_boxed(_ODD)} AS boxed FROM math_answers")
+def boxed_nested_odd(spark, sf):
+    odd = F.translate("answer", "123", "\ufdd0\ufdd1\ufdd2")
+    return math_answers(spark, sf).select("q_id", *ROLLOUT_ID, T.boxed_nested(odd).alias("boxed"))
+
+
 @query(with_views(MATH_ANSWERS) + f"SELECT {_ID}, {_strip(_DOLLAR.format(x='answer'))} AS math FROM math_answers")
 def dollar_math(spark, sf):
     return math_answers(spark, sf).select("q_id", *ROLLOUT_ID, T.dollar_math("answer").alias("math"))

@@ -213,7 +213,7 @@ def mean_entropy(spark, sf):
 @query(with_views(_SOFTMAX) + f"SELECT vec_id, {_round('lse', 'lse')} FROM lse")
 def logsumexp(spark, sf):
     rows = _logits(spark, sf).select("vec_id", F.posexplode("logits").alias("token", "logit"))
-    return K.logsumexp(rows, ["vec_id"], chunk=16).select("vec_id", r6("lse").alias("lse"))
+    return K.logsumexp(rows, ["vec_id"]).select("vec_id", r6("lse").alias("lse"))
 
 
 @query(with_views(IDS) + """SELECT rollout_id, array_to_string(list_concat(answer_ids, list_transform(range(longest - len(answer_ids)), lambda x: -1)), ',') AS right_padded,

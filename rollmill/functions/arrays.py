@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -77,10 +78,31 @@ def completion_slice(per_token: ColumnOrName, plen: ColumnOrName) -> Column:
     return F.slice(_col(per_token), F.greatest(_col(plen), F.lit(1)), F.greatest(F.size(_col(per_token)), F.lit(1)))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def suffix_sums(values: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(DoubleType()))
+def suffix_sums(values: pa.Array) -> pa.Array:
     """Sum from each position to the end of its own array, in linear time.
 
-    A fold that appends to an array copies it at every step; this one step runs on Arrow batches.
+    NULL entries add nothing, and a position with nothing but NULL from there on gives NULL. Rows are
+    summed together, those of up to 2^k entries as one matrix, so that Python runs once per power of two
+    and not per row. (A fold that appends to an array copies it at every step.)
     """
-    return values.map(lambda v: None if v is None else np.cumsum(np.asarray(v)[::-1])[::-1])
+    sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = values.flatten()  # without the entries of NULL rows
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    numbers = np.where(known, pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False), 0.0)
+    ends = np.cumsum(sizes)
+    totals, seen = np.empty(len(numbers)), np.empty(len(numbers), bool)
+    longest = int(sizes.max(initial=0))
+    low, high = 0, 1
+    while low < longest:
+        rows = np.flatnonzero((sizes > low) & (sizes <= high))
+        width = min(high, longest)
+        spot = np.arange(width)
+        inside = spot < sizes[rows, None]  # counted from the end of each array
+        at = np.where(inside, ends[rows, None] - 1 - spot, 0)
+        sums = np.cumsum(np.where(inside, numbers[at], 0.0), axis=1)
+        any_known = np.logical_or.accumulate(inside & known[at], axis=1)
+        totals[at[inside]], seen[at[inside]] = sums[inside], any_known[inside]
+        low, high = high, 2 * high
+    offsets = pa.array(np.r_[0, ends].astype(np.int32), mask=np.r_[~values.is_valid().to_numpy(zero_copy_only=False), False])
+    return pa.ListArray.from_arrays(offsets, pa.array(totals, pa.float64(), mask=~seen))

@@ -38,8 +38,8 @@ PY_WHITESPACE = (
 # ---------------------------------------------------------------------------------------------
 
 _WS = r"[\s\x1c-\x1f]"  # with (?U): the same set as PY_WHITESPACE
-# Unicode noncharacters, which no interchanged text holds; they stand for braces of leaf pairs.
-_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+# They stand for braces of leaf pairs; where a text holds one itself, it is written as _ESCAPE and a digit.
+_OPEN, _CLOSE, _ESCAPE = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
 def _col(c: ColumnOrName) -> Column:
@@ -88,14 +88,20 @@ def think_format_strict(c: ColumnOrName, sep: str = SEP_LOOSE) -> Column:
 def boxed_nested(c: ColumnOrName) -> Column:
     r"""Content of the last `\boxed{...}` with at most one level of braces inside.
 
-    Innermost brace pairs are renamed first, so that the search itself needs no repeated group.
+    Innermost brace pairs are renamed first, so that the search itself needs no repeated group; the
+    characters that name them are escaped before and restored afterwards.
     """
     x = F.when(F.contains(_col(c), F.lit("\\boxed{")), _col(c))
+    for digit, char in ((2, _ESCAPE), (0, _OPEN), (1, _CLOSE)):
+        x = F.replace(x, F.lit(char), F.lit(f"{_ESCAPE}{digit}"))
     leaves = F.regexp_replace(x, r"\{([^{}]*)\}", f"{_OPEN}$1{_CLOSE}")
     pattern = rf"\\boxed(?:{_OPEN}[^{{}}{_OPEN}{_CLOSE}]*{_CLOSE}|\{{[^{{}}]*\}})"
     hit = _last(F.regexp_extract_all(leaves, F.lit(pattern), F.lit(0)))
     inside = F.regexp_replace(hit, r"(?s)^\\boxed.|.\z", "")
-    return F.translate(inside, _OPEN + _CLOSE, "{}")
+    inside = F.translate(inside, _OPEN + _CLOSE, "{}")
+    for digit, char in ((0, _OPEN), (1, _CLOSE), (2, _ESCAPE)):
+        inside = F.replace(inside, F.lit(f"{_ESCAPE}{digit}"), F.lit(char))
+    return inside
 
 
 def dollar_math(c: ColumnOrName) -> Column:

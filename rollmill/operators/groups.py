@@ -12,6 +12,7 @@ from rollmill.functions.rewards import REWARD_BINS
 from rollmill.functions.text import THINK_CLOSE, insert_after_thought, is_close, two_decimals
 from rollmill.operators.scan import ranked_by_ranges
 from rollmill.operators.skew import HOT_ROWS, attach, group_stats, with_group_stats
+from rollmill.session import written
 
 GROUP = ("q_id",)
 SPREAD = ("rollout_idx",)
@@ -146,9 +147,10 @@ def rarity(
     """Standardised 1/count of the reward within its group.
 
     `guard` scores a group as zeros when all its rewards are equally rare (also a group of one,
-    which is NULL without it).
+    which is NULL without it). The table of levels, one row per group and reward, is stored: the rows are
+    read once to count and once to be scored.
     """
-    levels = _rarity_levels(df, by, reward, guard, eps)
+    levels = written(_rarity_levels(df, by, reward, guard, eps), "rarity")
     return attach(df, levels, [*by, reward], spread, hot_rows).withColumnRenamed("_rarity", name)
 
 
@@ -170,7 +172,7 @@ def blend_rarity(
     levels = attach(_rarity_levels(df, by, reward, False, 1e-6), moments, by, [reward], hot_rows)
     advantage = _z(F.col(reward), F.col("_mean"), F.col("_std"), eps) + F.lit(w) * F.col("_rarity")
     scored = levels.select(*by, reward, "_rows", advantage.alias("advantage"), F.col("_rarity").alias("rarity"))
-    return attach(df, scored, [*by, reward], spread, hot_rows)
+    return attach(df, written(scored, "rarity"), [*by, reward], spread, hot_rows)
 
 
 def drop_flat_rarity(df: DataFrame, by: Sequence[str] = GROUP, score: str = "rarity",

@@ -37,21 +37,9 @@ def token_rewards(
     return F.transform(penalty, reward)
 
 
-def rfpp_advantage(
-    df: DataFrame, beta: float = 0.01, eps: float = 1e-5, scope: Sequence[str] = ("macro_id",),
-    rollout: str = "rollout_id", hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Token rewards, standardised, summed to the end, standardised again; adds `advantages`.
-
-    Both standardisations are linear in the raw rewards: with S the suffix sums of the rewards and V
-    the number of valid positions from here on, the returns are (S - mean*V)/std. Their mean and
-    deviation follow from the moments of S and V, so one aggregation and one join serve both rounds.
-    """
-    marks = F.transform("valid", lambda v: v.cast("double"))
-    rows = df.withColumn("_r", token_rewards("seq_reward", "gen_logps", "ref_logps", "valid", beta))
-    rows = rows.withColumns({"_s": suffix_sums("_r"), "_v": suffix_sums(marks)})
-    tokens = rows.select(*scope, F.inline(F.arrays_zip("_r", "_s", "_v", "valid"))).where("valid")
-    moments = group_stats(
+def return_moments(tokens: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Moments of the rewards `_r`, their suffix sums `_s` and the valid positions `_v` from each valid one on."""
+    return group_stats(
         tokens,
         scope,
         _mr=F.avg("_r"),
@@ -62,17 +50,37 @@ def rfpp_advantage(
         _vv=F.var_pop("_v"),
         _sv=F.covar_pop("_s", "_v"),
     )
-    joined = attach(rows, moments, scope, [rollout], hot_rows)
+
+
+def with_scales(joined: DataFrame, eps: float) -> DataFrame:
+    """From the moments: `_d`, the scale of the rewards, and mean `_rm` and scale `_rd` of the returns."""
     mean, deviation = F.col("_mr"), F.col("_dr") + F.lit(eps)
     return_mean = (F.col("_ms") - mean * F.col("_mv")) / deviation
     return_var = (F.col("_ss") - 2 * mean * F.col("_sv") + mean * mean * F.col("_vv")) / (deviation * deviation)
     return_std = F.sqrt(F.greatest(return_var, F.lit(0.0))) + F.lit(eps)
+    return joined.withColumns({"_d": deviation, "_rm": return_mean, "_rd": return_std})
 
-    scaled = joined.withColumns({"_d": deviation, "_rm": return_mean, "_rd": return_std})
-    advantages = F.zip_with(
-        "_s", "_v", lambda s, v: ((s - F.col("_mr") * v) / F.col("_d") - F.col("_rm")) / F.col("_rd")
-    )
-    return scaled.select(*[F.col(c) for c in df.columns], advantages.alias("advantages"))
+
+def scaled_return(s: Column, v: Column) -> Column:
+    return ((s - F.col("_mr") * v) / F.col("_d") - F.col("_rm")) / F.col("_rd")
+
+
+def rfpp_advantage(
+    df: DataFrame, beta: float = 0.01, eps: float = 1e-5, scope: Sequence[str] = ("macro_id",),
+    rollout: str = "rollout_id", hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Token rewards, standardised, summed to the end, standardised again; adds `advantages`.
+
+    Both standardisations are linear in the raw rewards: with S the suffix sums of the rewards and V
+    the number of valid positions from here on, the returns are (S - mean*V)/std. Their mean and
+    deviation follow from the moments of S and V, so one aggregation and one join serve both rounds.
+    """
+    marks = F.transform("valid", lambda v: v.cast("double"))
+    rows = df.withColumn("_r", token_rewards("seq_reward", "gen_logps", "ref_logps", "valid", beta))
+    rows = rows.withColumns({"_s": suffix_sums("_r"), "_v": suffix_sums(marks)})
+    tokens = rows.select(*scope, F.inline(F.arrays_zip("_r", "_s", "_v", "valid"))).where("valid")
+    scaled = with_scales(attach(rows, return_moments(tokens, scope), scope, [rollout], hot_rows), eps)
+    return scaled.select(*[F.col(c) for c in df.columns], F.zip_with("_s", "_v", scaled_return).alias("advantages"))
 
 
 def grpo_sequence_loss(

@@ -13,7 +13,7 @@ from rollmill.operators.skew import HOT_ROWS, with_group_stats
 
 TOKEN = ("rollout_id", "pos")
 POSITIONS_PER_BUCKET = 4096
-VOCAB_CHUNK = 4096
+EXPONENT_STEP = 300.0  # exp of it, summed over any number of values, fits a double
 
 
 def align_logps(cur: DataFrame, gen: DataFrame, ref: DataFrame, on: Sequence[str] = TOKEN) -> DataFrame:
@@ -136,24 +136,29 @@ def mean_entropy(df: DataFrame, logits: str = "logits", valid: str = "valid", by
     )
 
 
-def _logsumexp_level(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Log-sum-exp per group, for groups of a fixed size: the maximum, then the shifted sum."""
-    top = F.max(value).over(Window.partitionBy(*by))
-    return (
-        df.select(*by, value, top.alias("_top"))
-        .groupBy(*by)
-        .agg((F.max("_top") + F.log(F.sum(F.exp(F.col(value) - F.col("_top"))))).alias(name))
-    )
-
-
 def logsumexp(
-    df: DataFrame, by: Sequence[str], token: str = "token", value: str = "logit", chunk: int = VOCAB_CHUNK,
-    name: str = "lse",
+    df: DataFrame, by: Sequence[str], value: str = "logit", step: float = EXPONENT_STEP, name: str = "lse",
 ) -> DataFrame:
-    """Two-phase log-sum-exp over long logits: chunks of the vocabulary first, then of the chunks.
+    """Log-sum-exp per group from partial sums, whatever the size of a group or the range of its values.
 
-    A chunk holds `chunk` tokens, a position one row per chunk, so both windows are small.
+    A value is a multiple of `step` and a rest whose exp fits a double. The rests of one multiple are
+    summed, in each task before the shuffle, which carries one row per group and multiple instead of the
+    values. The greatest multiple of a group then scales its few sums. NULL values are left out, and a
+    group of them gives NULL; minus infinity adds nothing, infinity and NaN give themselves.
     """
-    parts = df.select(*by, F.floor(F.col(token) / chunk).alias("_chunk"), value)
-    chunks = _logsumexp_level(parts, [*by, "_chunk"], value, "_part")
-    return _logsumexp_level(chunks, by, "_part", name)
+    x, step = F.col(value).cast("double"), F.lit(float(step))
+    finite = F.abs(x) < F.lit(float("inf"))  # NaN is greater than infinity
+    rows = df.select(*by, x.alias("_x"), F.when(finite, F.rint(x / step)).alias("_k"))
+    # beyond this a double has no digits behind the point, and the multiple is the value
+    rest = F.when(F.abs(F.col("_x")) < F.lit(1e15), F.col("_x") - F.col("_k") * step).when(F.col("_k").isNotNull(), F.lit(0.0))
+    parts = rows.groupBy(*by, "_k").agg(
+        F.sum(F.exp(rest)).alias("_s"), F.max(F.when(F.col("_k").isNull(), F.col("_x"))).alias("_odd")
+    )
+    scaled = F.col("_s") * F.exp((F.col("_k") - F.col("_top")) * step)
+    merged = (
+        parts.withColumn("_top", F.max("_k").over(Window.partitionBy(*by)))
+        .groupBy(*by)
+        .agg((F.max("_top") * step + F.log(F.sum(scaled))).alias("_lse"), F.max("_odd").alias("_odd"))
+    )
+    endless = F.col("_odd") >= F.lit(float("inf"))
+    return merged.select(*by, F.when(endless, F.col("_odd")).otherwise(F.coalesce("_lse", "_odd")).alias(name))

@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollmill.operators.batching import macro_batches
-from rollmill.operators.sequences import rfpp_advantage
-from rollmill.operators.skew import join_lookup, with_group_stats
-from rollmill.operators.tokens import (
-    TOKEN,
-    eos_mask,
-    masked_standardize,
-    rfpp_loss,
-    suffix_return,
-    token_reward,
-)
+from rollmill.operators.sequences import return_moments, rfpp_advantage, scaled_return, with_scales
+from rollmill.operators.skew import attach, join_lookup, with_group_stats
+from rollmill.operators.tokens import TOKEN, rfpp_loss, token_reward
+from rollmill.session import written
 
 
 def rfpp_advantage_tokens(tokens: DataFrame, beta: float = 0.01, eps: float = 1e-5) -> DataFrame:
-    """Token advantages step by step on token rows; `sequences.rfpp_advantage` does it on wide rows."""
-    rewarded = token_reward(eos_mask(tokens), beta)
-    first = masked_standardize(rewarded, "reward", eps=eps, mask_result=True)
-    returns = suffix_return(first, "reward", "return")
-    return masked_standardize(returns, "return", eps=eps, name="advantage").drop("return", "reward", "is_eos")
+    """Token advantages on token rows; `sequences.rfpp_advantage` does the same on wide rows.
+
+    The rows are shuffled once, by sequence: the end token, the suffix sums and the valid positions from
+    each position on come from windows over one sequence, which is as long as a model's context at most.
+    The moments of a macro batch, stored in a small table, give both standardisations.
+    """
+    whole = Window.partitionBy("rollout_id")
+    onwards = whole.orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.coalesce(F.max(F.when(F.col("valid"), F.col("pos"))).over(whole), F.max("pos").over(whole))
+    ended = tokens.withColumn("_end", F.col("pos") == end)
+    rewarded = token_reward(ended, beta, eos="_end", name="_r")
+    rows = rewarded.withColumns({"_s": F.sum("_r").over(onwards), "_v": F.sum(F.col("valid").cast("double")).over(onwards)})
+    moments = written(return_moments(rows.where("valid"), ["macro_id"]), "moments")
+    scaled = with_scales(attach(rows, moments, ["macro_id"], TOKEN), eps)
+    return scaled.select(*tokens.columns, scaled_return(F.col("_s"), F.col("_v")).alias("advantage"))
 
 
 def macro_advantages(rollouts: DataFrame, n: int, beta: float = 0.01) -> DataFrame:

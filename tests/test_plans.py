@@ -68,3 +68,34 @@ def test_statistics_are_computed_once(spark, sf, no_broadcast):
     done = group_advantage(V.rollouts(spark, sf), spread=V.ROLLOUT_ID, hot_rows=5)
     done.toArrow()
     assert "ReusedExchange" in plan(done)
+
+
+def test_logsumexp_sums_before_the_shuffle(spark, sf):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("pos"), F.rand(1).alias("logit"))
+    text = plan(K.logsumexp(rows, ["pos"]))
+    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 2
+    # reading upwards: partial sums first, and what is shuffled is a group, a multiple and its sum
+    assert "partial_sum(" in text[text.rindex("Exchange hashpartitioning"):]
+    assert "logit" not in "".join(exchanges)
+
+
+def test_rarity_reads_its_rows_twice(spark, sf):
+    from rollmill.operators.groups import rarity
+
+    path = run_dir(spark, "rarity-rows")
+    V.rollouts(spark, sf).select("q_id", "line", "reward").write.parquet(path)
+    done = rarity(spark.read.parquet(path), spread=["line"])
+    initial = done._jdf.queryExecution().sparkPlan().toString()
+    assert initial.count("rarity-rows") <= 2  # one to join, one to count hot levels; the first pass is stored
+
+
+def test_token_advantages_read_their_rows_once_more(spark, sf):
+    from rollmill.plans.reinforce import rfpp_advantage_tokens
+
+    path = run_dir(spark, "token-rows")
+    V.tokens(spark, sf).write.parquet(path)
+    initial = rfpp_advantage_tokens(spark.read.parquet(path))._jdf.queryExecution()
+    assert initial.sparkPlan().toString().count("token-rows") == 1  # the moments are a stored table
+    shuffles = [line for line in initial.executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("rollout_id" in line for line in shuffles) == 1

@@ -187,3 +187,11 @@ def test_close_and_formats(spark):
     df = spark.createDataFrame([(2.25 + 1e-6,), (2.2,)], "x double")
     rows = df.select(T.is_close("x", F.lit(2.25)).alias("c"), T.two_decimals("x").alias("t")).collect()
     assert [(r.c, r.t) for r in rows] == [(True, "2.25"), (False, "2.20")]
+
+
+def test_boxes_with_noncharacters(spark):
+    """The characters that stand for braces inside the library may occur in the text itself."""
+    a, b, c = "\ufdd0", "\ufdd1", "\ufdd2"
+    rows = [(f"\\boxed{{x{a}y}}", f"x{a}y"), (f"\\boxed{{{b}{{z{a}}}w{c}0}}", f"{b}{{z{a}}}w{c}0"), (f"{a}{b} \\boxed{{{c}1{c}{c}2}}", f"{c}1{c}{c}2"), (f"\\boxed{a}q{b}", None)]
+    got = spark.createDataFrame(rows, "answer string, want string").select(T.boxed_nested("answer").alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]

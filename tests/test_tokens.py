@@ -1,3 +1,4 @@
+import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -119,9 +120,30 @@ def test_logits_by_numpy(spark):
         assert r.lp == pytest.approx(logits[r.pos, r.pos] - lse[r.pos])
         assert r.h == pytest.approx(entropy[r.pos], abs=1e-9)
     rows = df.select("pos", F.posexplode("logits").alias("token", "logit"))
-    for chunk in (1, 7, 4096):
-        for r in K.logsumexp(rows, ["pos"], chunk=chunk).collect():
-            assert r.lse == pytest.approx(lse[r.pos])
+    for step in (1, 7, 300):
+        done = K.logsumexp(rows, ["pos"], step=step).collect()
+        assert len(done) == len(lse)
+        for r in done:
+            assert r.lse == pytest.approx(lse[r.pos], rel=1e-12)
+
+
+def test_logsumexp_over_a_wide_range(spark):
+    inf, nan = float("inf"), float("nan")
+    rng = np.random.default_rng(2)
+    groups = {i: rng.uniform(-1e4, 1e4, 200).tolist() for i in range(5)}
+    groups |= {10: [0.0] * 1000, 11: [-1e300, 1e300], 12: [None, None], 13: [-inf, -inf], 14: [-inf, 1.5, None], 15: [inf, 1.0], 16: [nan, 2.0, inf]}
+    groups |= {17: [599.999, 600.001, -5.0]}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "pos int, logit double").repartition(3)
+    got = {r.pos: r.lse for r in K.logsumexp(rows, ["pos"]).collect()}
+    for k, vs in groups.items():
+        known = [v for v in vs if v is not None]
+        if not known:
+            assert got[k] is None
+        elif any(math.isnan(v) for v in known):
+            assert math.isnan(got[k])
+        else:
+            want = np.logaddexp.reduce(known)
+            assert got[k] == want or got[k] == pytest.approx(want, rel=1e-12)
 
 
 def test_padding_and_masks(spark):
@@ -134,3 +156,44 @@ def test_padding_and_masks(spark):
     assert row.same == [5, 6, 7, 9, 9] and row.m == [1, 0, 0] and row.s == [6, 7, 9, 9]
     with pytest.raises(ValueError):
         A.pad("ids", F.lit(2), 9, "top")
+
+
+def test_suffix_sums_of_lists(spark):
+    """NULL entries as in the long form, rows of all lengths in one batch."""
+    rng = np.random.default_rng(4)
+    rows = [[1.0, None, 2.0], [1.0, None], [None], [], None, [5.0]]
+    rows += [[None if rng.random() < 0.2 else float(x) for x in rng.normal(size=n)] for n in rng.integers(0, 70, 200)]
+    df = spark.createDataFrame(list(enumerate(rows)), "rollout_id long, v array<double>").coalesce(1)
+    got = {r.rollout_id: r.s for r in df.select("rollout_id", A.suffix_sums("v").alias("s")).collect()}
+    assert got[0] == [3.0, 2.0, 2.0] and got[1] == [1.0, None] and got[2] == [None] and got[3] == [] and got[4] is None
+    for i, row in enumerate(rows):
+        for j in range(len(row or [])):
+            known = [x for x in row[j:] if x is not None]
+            assert got[i][j] is None if not known else got[i][j] == pytest.approx(sum(known))
+    long = K.suffix_return(df.select("rollout_id", F.posexplode("v").alias("pos", "reward")))
+    for r in long.collect():
+        want = got[r.rollout_id][r.pos]
+        assert r["return"] is None if want is None else r["return"] == pytest.approx(want)
+
+
+def test_token_advantages_with_null_log_probs(spark):
+    from rollmill.plans.reinforce import rfpp_advantage_tokens
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(12):
+        n = 3 + i % 4
+        gen = [None if i % 3 == 0 and j == 1 else float(-rng.random()) for j in range(n)]
+        rows.append((i, i % 2, float(i % 3), gen, [float(-rng.random()) for _ in range(n)], [j < n - i % 2 for j in range(n)]))
+    schema = "rollout_id long, macro_id long, seq_reward double, gen_logps array<double>, ref_logps array<double>, valid array<boolean>"
+    df = spark.createDataFrame(rows, schema)
+    wide = {r.rollout_id: r.advantages for r in S.rfpp_advantage(df).collect()}
+    zipped = F.arrays_zip(F.col("gen_logps").alias("gen_logp"), F.col("ref_logps").alias("ref_logp"), F.col("valid").alias("valid"))
+    long = df.select("rollout_id", "macro_id", "seq_reward", F.posexplode(zipped).alias("pos", "z")).select(
+        "rollout_id", "macro_id", "seq_reward", "pos", "z.*"
+    )
+    done = rfpp_advantage_tokens(long).collect()
+    assert len(done) == sum(len(r[3]) for r in rows)
+    for r in done:
+        want = wide[r.rollout_id][r.pos]
+        assert r.advantage is None if want is None else r.advantage == pytest.approx(want)
