@@ -31,6 +31,7 @@ WORD = re.compile(r" +[^ ]*")
 WORD_END = re.compile(r"[^ ] ")
 STRETCH = 1 << 16  # code points split at once
 LONGEST = 64  # code points of a word in the table; longer ones are folded where they stand
+BLOCK = 6 << 20  # bytes of text whose words and paths a task holds together
 END = "\0"  # between the words of a lane
 LANES = 1 << 12  # that the words of a block are dealt into
 TOGETHER = 1 << 10  # input partitions whose words meet
@@ -239,7 +240,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", decoded:
     docs = docs.drop("ids", *filter(None, [decoded]))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in blocks(batches, text):
+        for block, rows in blocks(batches, text, BLOCK):
             lanes = dealt(rows.column(text))
             first = block // (BLOCKS_PER_PARTITION * TOGETHER) * LANES
             for few in batched(lanes.items(), 1_000):
@@ -264,7 +265,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", decoded:
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for block, rows in blocks(batches, text):
+        for block, rows in blocks(batches, text, BLOCK):
             lanes, table = dealt(rows.column(text)), Paths(own)
             found = side_rows(side, block)
             for batch in found.to_batches(max_chunksize=500) if found is not None else ():
