@@ -1,27 +1,32 @@
 """What the operators share: stored tables, side files by block, salted group values.
 
-A block is a bounded run of consecutive rows of one input partition. An operator that scans its texts
-twice keeps what it learned about a block in the shared folder under the block's number, so that the
-second scan picks it up without moving a text. Both scans must see the same rows in the same order,
-which holds for stored tables.
+How a table falls into partitions may change between two scans of it: executors come and go, and the
+splits with them. So an operator that meets its rows again numbers them once, in a stored copy, and all
+its scans read the numbers there.
+
+A block is a bounded run of consecutive rows. An operator that scans its texts twice keeps what it
+learned about a block in the shared folder under the block's number, so that the second scan picks it
+up without moving a text. A scan may see a block in several parts, in different tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollmill.session import run_dir, written
 
 __all__ = [
-    "BLOCK_BYTES", "blocks", "counted_rows", "documents", "group_value", "held_out", "labelled_sample", "run_dir", "side_rows",
-    "store_side", "table", "written",
+    "BLOCK_BYTES", "blocks", "counted_rows", "documents", "group_value", "held_out", "labelled_sample", "numbered",
+    "numbered_blocks", "run_dir", "shielded", "side_rows", "store_side", "table", "written",
 ]
 
 BLOCK_BYTES = 12 << 20
@@ -39,30 +44,62 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def blocks(batches: Iterable[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Table]]:
-    """(block number, rows) of one task; a block ends with the row whose text passes `limit` bytes.
+def shielded(docs: DataFrame, *reserved: str) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` without columns of the reserved names, and the new names of these with the old ones."""
+    taken = {c.lower() for c in docs.columns} | {r.lower() for r in reserved}
+    back = {}
+    for c in docs.columns:
+        if c.lower() in {r.lower() for r in reserved}:
+            n = 0
+            while f"_own{n}{c}".lower() in taken:
+                n += 1
+            back[f"_own{n}{c}"] = c
+    return docs.withColumnsRenamed({old: new for new, old in back.items()}), back
 
-    Only the rows and the lengths of their texts decide, not the columns read nor the size of batches.
-    """
-    from pyspark import TaskContext
 
-    first = TaskContext.get().partitionId() * BLOCKS_PER_PARTITION
+def numbered(docs: DataFrame, label: str, number: str = "_uid") -> DataFrame:
+    """A stored copy of the rows, each with a number that no other has; a column of that name is replaced."""
+    return written(docs.withColumn(number, F.monotonically_increasing_id()), label)
+
+
+def numbered_blocks(docs: DataFrame, text: str, label: str, limit: int = BLOCK_BYTES) -> DataFrame:
+    """A stored copy of the rows with `_block`; a block ends with the row whose text passes `limit` bytes."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("_block", T.LongType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, size = TaskContext.get().partitionId() * BLOCKS_PER_PARTITION, 0
+        for batch in batches:
+            numbers = np.empty(len(batch), np.int64)
+            for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+                numbers[i], size = block, size + n
+                if size > limit:
+                    block, size = block + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], [*batch.schema.names, "_block"])
+
+    return written(docs.mapInArrow(cut, schema), label)
+
+
+def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(number, rows without it) of each block or part of one that a task reads of `numbered_blocks`."""
     held: list[pa.RecordBatch] = []
-    size = n = 0
+    block = None
+
+    def whole() -> tuple[int, pa.Table]:
+        return block, pa.Table.from_batches(held).drop_columns(["_block"])
+
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(), dtype=np.int64)
-        at, before = 0, 0
-        while at < len(ends):
-            cut = int(np.searchsorted(ends, before + limit - size))
-            if cut >= len(ends):
-                held.append(batch.slice(at))
-                size += int(ends[-1]) - before
-                break
-            held.append(batch.slice(at, cut + 1 - at))
-            yield first + n, pa.Table.from_batches(held)
-            held, size, n, at, before = [], 0, n + 1, cut + 1, int(ends[cut])
+        numbers = batch.column("_block").to_numpy()
+        edges = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1], True]) if len(numbers) else []
+        for start, end in pairwise(edges):
+            if held and numbers[start] != block:
+                yield whole()
+                held = []
+            block = int(numbers[start])
+            held.append(batch.slice(start, end - start))
     if held:
-        yield first + n, pa.Table.from_batches(held)
+        yield whole()
 
 
 def store_side(side: DataFrame, label: str) -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollmill.llm.common import documents, group_value, written
+from rollmill.llm.common import documents, group_value, numbered, shielded, written
 from rollmill.llm.substrings import MIX, ODD, WORD, Hasher, _mixed, sequence_hashes
 
 SHINGLE = 5  # words
@@ -262,9 +262,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     on, so copies are never paired. A class has one first row: that with the least doc_id, the earliest
     in the table among equal ids; null ids come last. A null text is an empty one; texts without words
     are copies of their equals only. Texts of less than five words are one shingle. Columns named
-    class_id or is_first are replaced. No rows give no rows. `docs` must be stored rows.
+    class_id or is_first are replaced. No rows give no rows. Rows are numbered once, in a stored copy.
     """
-    docs = docs.drop("class_id", "is_first").withColumn("_uid", F.monotonically_increasing_id())
+    docs, own = shielded(docs.drop("class_id", "is_first"), "_uid")
+    docs = numbered(docs, "numbered")
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = docs.select("_uid", "doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), F.length(text).alias("h3"))
     same = ["h1", "h2", "h3"]
@@ -277,7 +278,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     me = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_uid").alias("at"))
     least = group_value(labelled.withColumn("me", me), ["label"], F.col("_uid"), first=("min", F.col("me")))
     found = least.select("_uid", F.col("first.doc_id").alias("class_id"), (F.col("first.at") == F.col("_uid")).alias("is_first"))
-    return docs.join(found, "_uid").drop("_uid")
+    return docs.join(found, "_uid").drop("_uid").withColumnsRenamed(own)
 
 
 def op6_near_dedup(spark, sf_dir):

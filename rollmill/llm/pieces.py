@@ -10,6 +10,7 @@ back to the blocks that have the word, and a second scan replaces words by ids;
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.llm.common import BLOCKS_PER_PARTITION, blocks, documents, side_rows, store_side
+from rollmill.llm.common import BLOCKS_PER_PARTITION, blocks, documents, numbered_blocks, shielded, side_rows, store_side
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -233,52 +234,58 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", decoded:
     they are, so decoding returns the text. A null or empty text has no ids. Repeated rows are encoded
     alike, a word that many texts share once per 1,024 input partitions. A word of more than 64 code
     points or with a null character is folded where it stands, in a time that grows with its length. A
-    column named ids is replaced. No rows give no rows. `docs` must be stored rows, as they are read
-    twice.
+    column named ids is replaced. No rows give no rows. Blocks are numbered once, in a stored copy that
+    is read twice; the words of a block are stored with the number of the part of it that had them.
     """
     spark = docs.sparkSession
-    docs = docs.drop("ids", *filter(None, [decoded]))
+    docs, own_names = shielded(docs.drop("ids", *filter(None, [decoded])), "_block")
+    fields = docs.schema.fields
+    docs = numbered_blocks(docs, text, "numbered", BLOCK)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in blocks(batches, text, BLOCK):
+        for block, rows in blocks(batches):
             lanes = dealt(rows.column(text))
             first = block // (BLOCKS_PER_PARTITION * TOGETHER) * LANES
+            part = uuid.uuid4().int >> 65  # of a block that another task may see the rest of
             for few in batched(lanes.items(), 1_000):
                 numbers = pa.array([first + lane for lane, _ in few], pa.int64())
                 joined = pa.array([END.join(words) for _, words in few], pa.string())
-                yield pa.RecordBatch.from_arrays([numbers, pa.array([block] * len(few), pa.int64()), joined], ["lane", "block", "words"])
+                same = [pa.array([x] * len(few), pa.int64()) for x in (block, part)]
+                yield pa.RecordBatch.from_arrays([numbers, *same, joined], ["lane", "block", "part", "words"])
 
     # a fixed count: what a lane holds is far less than the substrings that come from it
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lanes = docs.select(text).mapInArrow(deal, "lane long, block long, words string").repartition(parts, "lane")
-    listed = lanes.select("lane", "block", F.posexplode(F.split("words", END)).alias("place", "_word"))
-    listed = listed.select("lane", "block", "place", F.concat(F.lit(" "), "_word").alias("word"))
+    named = store_side(docs.select(text, "_block").mapInArrow(deal, "lane long, block long, part long, words string"), "words")
+    lanes = spark.read.schema("lane long, part long, words string, block long").parquet(named).repartition(parts, "lane")
+    listed = lanes.select("lane", "block", "part", F.posexplode(F.split("words", END)).alias("place", "_word"))
+    listed = listed.select("lane", "block", "part", "place", F.concat(F.lit(" "), "_word").alias("word"))
     # a list is as long as 1,024 input partitions have blocks, at most
-    paths = viterbi(listed.groupBy("word", "lane").agg(F.collect_list(F.struct("block", "place")).alias("at")), vocabulary)
+    paths = viterbi(listed.groupBy("word", "lane").agg(F.collect_list(F.struct("block", "part", "place")).alias("at")), vocabulary)
     back = paths.select("lane", "path", F.inline("at"))
-    packed = back.groupBy("lane", "block").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("paths"))
+    packed = back.groupBy("lane", "block", "part").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("paths"))
     side = store_side(
-        packed.select("lane", "block", F.flatten("paths.path").alias("ids"), F.transform("paths", lambda p: F.size(p["path"]).cast("tinyint")).alias("sizes")),
+        packed.select("lane", "block", "part", F.flatten("paths.path").alias("ids"), F.transform("paths", lambda p: F.size(p["path"]).cast("tinyint")).alias("sizes")),
         "pieces",
     )
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for block, rows in blocks(batches, text, BLOCK):
-            lanes, table = dealt(rows.column(text)), Paths(own)
+        for block, rows in blocks(batches):
+            table, words = Paths(own), side_rows(named, block)
+            have = {} if words is None else dict(zip(zip(*(words.column(c).to_pylist() for c in ("lane", "part"))), words.column("words"), strict=True))
             found = side_rows(side, block)
             for batch in found.to_batches(max_chunksize=500) if found is not None else ():
                 ids, sizes = batch.column("ids"), batch.column("sizes")
-                for r, lane in enumerate(batch.column("lane").to_pylist()):
+                for r, lane in enumerate(zip(batch.column("lane").to_pylist(), batch.column("part").to_pylist(), strict=True)):
                     every = ids[r].values.to_numpy()
                     ends = np.cumsum(sizes[r].values.to_numpy(), dtype=np.int64)
-                    for w, a, b in zip(lanes.pop(lane % LANES), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                    for w, a, b in zip(have.pop(lane).as_py().split(END), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
                         mine = every[a:b]
                         if (mine < 0).any():
                             mine = np.array(own.spelled(" " + w, [(-1 - i, UNKNOWN) if i < 0 else (0, i) for i in mine.tolist()]), np.int32)
                         table[w] = mine.astype("<i4").tobytes()
-            del found
+            del found, words, have
             for few in rows.to_batches(max_chunksize=500):
                 parts, sizes = [], [0]
                 for t in few.column(text):
@@ -290,10 +297,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", decoded:
                     [*few.columns, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], [*few.schema.names, "ids"]
                 )
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     if decoded is None:
-        return docs.mapInArrow(replace, schema)
-    return docs.mapInArrow(lambda batches: spell(replace(batches), shared.value, "ids", decoded), schema.add(decoded, T.StringType()))
+        return docs.mapInArrow(replace, schema).withColumnsRenamed(own_names)
+    spelt = docs.mapInArrow(lambda batches: spell(replace(batches), shared.value, "ids", decoded), schema.add(decoded, T.StringType()))
+    return spelt.withColumnsRenamed(own_names)
 
 
 def spell(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, ids: str, name: str) -> Iterator[pa.RecordBatch]:

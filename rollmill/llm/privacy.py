@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollmill.llm.common import documents, written
+from rollmill.llm.common import documents, numbered, shielded, written
 
 # The patterns of the base kinds. A match begins where no run of its first class goes on,
 # or where the last one ended, and repeated groups are possessive: the spans are those of a plain
@@ -138,9 +138,10 @@ def find_pii(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
 
     A null text is an empty one and has no spans. Repeated rows have the same spans; they count as
     documents but not as different texts. A column named spans is replaced. Every count covers all
-    rows. No rows give no rows. `docs` must be stored rows: they are numbered on each of several reads.
+    rows. No rows give no rows. Rows are numbered once, in a stored copy.
     """
-    docs = docs.drop("spans").withColumn("_uid", F.monotonically_increasing_id())
+    docs, own = shielded(docs.drop("spans"), "_uid", "_spans", "_terms", "_marks")
+    docs = numbered(docs, "numbered")
     # the first scan leaves only texts with entities
     scanned = docs.where(F.col("text").rlike("[0-9@]")).select("_uid", "text", base_spans(F.col("text")).alias("_spans"))
     hits = written(scanned.where(F.size("_spans") > 0), "entities")
@@ -171,7 +172,7 @@ def find_pii(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLO
     both = docs.join(spans, "_uid", "left").join(told, "_uid", "left").withColumn("_spans", F.coalesce("_spans", none))
     marked = both.withColumn("_marks", F.when(F.col("_terms").isNotNull(), _marks(F.col("text"), F.col("_terms"))).otherwise(none))
     free = F.filter("_marks", lambda m: ~F.exists("_spans", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
-    return marked.withColumn("spans", F.array_sort(F.concat("_spans", free))).select(*[c for c in docs.columns if c != "_uid"], "spans")
+    return marked.withColumn("spans", F.array_sort(F.concat("_spans", free))).select(*[c for c in docs.columns if c != "_uid"], "spans").withColumnsRenamed(own)
 
 
 def sanitised(text: str | Column = "text", spans: str | Column = "spans") -> Column:

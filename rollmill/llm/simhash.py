@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollmill.llm.common import documents, written
+from rollmill.llm.common import documents, numbered, written
 
 BITS = 64
 LANES = 16  # sums; each holds the votes for four bits, 16 binary digits apart
@@ -117,16 +117,16 @@ def _ranked(docs: DataFrame) -> DataFrame:
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """_uid, _next, doc_id, n_chars, text and the edited text of each row of a stored table.
+    """_uid, _next, doc_id, n_chars, text and the edited text of each row.
 
     The edited text lacks the last quarter of the code points, rounded down, and has the first as many
     of the next row's text instead, or all of them. Rows follow each other by doc_id, null first, equal
     ids in table order; the first row follows the last. Texts are shuffled once and their heads again:
     both joins read the same exchange, which holds the row's number and its text alone.
     """
-    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("_uid", F.monotonically_increasing_id())
-    narrow = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
-    ranks = written(_ranked(narrow.withColumn("_uid", F.monotonically_increasing_id())), "ranks")
+    docs = numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "numbered")
+    texts = docs.select("_uid", "text")
+    ranks = written(_ranked(docs.select("_uid", "doc_id", F.length("text").cast("long").alias("n_chars"))), "ranks")
     size = ranks.agg(F.max("_rank").alias("_last"))
     follows = ranks.select(
         F.col("_uid").alias("_before"), F.floor(F.col("n_chars") / 4).cast("int").alias("_gives"), (F.col("_rank") + 1).alias("_to")

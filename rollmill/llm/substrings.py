@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.llm.common import blocks, documents, side_rows, store_side
+from rollmill.llm.common import blocks, documents, numbered_blocks, shielded, side_rows, store_side
 
 WINDOW = 35
 PREFIX = 8  # words
@@ -117,11 +117,11 @@ def _inside(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text") -> str:
-    """Hashes of the windows that start in two places or more, stored by the blocks that have them."""
+    """Hashes of the windows that start in two places or more, stored by the blocks of `numbered_blocks`."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for block, rows in blocks(batches, text):
+        for block, rows in blocks(batches):
             seen = []
             for t in rows.column(text).to_pylist():
                 _, _, at, keys = _windows(t, hasher, window)
@@ -136,7 +136,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text")
                         ["prefix", "block", "n"],
                     )
 
-    texts = docs.select(text)
+    texts = docs.select(text, "_block")
     places = texts.mapInArrow(prefixes, "prefix long, block long, n int")
     shared = places.groupBy("prefix").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")).where("n > 1")
     wanted = store_side(
@@ -145,7 +145,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for block, rows in blocks(batches, text):
+        for block, rows in blocks(batches):
             side = side_rows(wanted, block)
             if side is None:
                 continue
@@ -232,15 +232,17 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> D
     it is repeated if the same words start anywhere else, in the same text too. All are judged on the
     input, so every copy loses them. `kept` joins the words that stay by one blank; n_words and
     n_removed count. A null text has no words; texts shorter than a window keep all of theirs. Equal
-    rows repeat each other. Columns of the input with the three names are replaced. `docs` must be
-    stored rows, as they are read three times. No rows give none.
+    rows repeat each other. Columns of the input with the three names are replaced. Blocks are numbered
+    once, in a stored copy that is read three times. No rows give none.
     """
-    docs = docs.drop("kept", "n_words", "n_removed")
+    docs, own = shielded(docs.drop("kept", "n_words", "n_removed"), "_block")
+    fields = docs.schema.fields
+    docs = numbered_blocks(docs, text, "numbered")
     repeats = repeated_windows(docs, window, text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for block, rows in blocks(batches, text):
+        for block, rows in blocks(batches):
             known = _known(repeats, block, "window")
             kept, sizes, removed = [], [], []
             for t in rows.column(text).to_pylist():
@@ -263,7 +265,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> D
             yield from done.combine_chunks().to_batches(max_chunksize=1000)
 
     added = [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
-    return docs.mapInArrow(cut, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(cut, T.StructType([*fields, *added])).withColumnsRenamed(own)
 
 
 def op5_substring_dedup(spark, sf_dir):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollmill.llm.common import group_value, run_dir, table, written
+from rollmill.llm.common import group_value, numbered, run_dir, table, written
 
 ARCHIVE_BYTES = 256 << 20  # uncompressed; an archive ends with the record that passes it
 CHUNK = 1 << 20
@@ -74,10 +74,10 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     Of rows with equal payloads of `least` bytes or more the one with the smallest page_id is the
     response (rows without an id come last, equal ids by the order of the table), the others revisit
     it. Payloads meet by two hashes and their length, in lanes, so that a payload which a third of
-    all rows share is spread.
+    all rows share is spread. Rows are numbered once, in a stored copy.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", "html").withColumn("uid", F.monotonically_increasing_id())
+    rows = numbered(pages.select("page_id", "url", "html"), "numbered", "uid")
     first = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("uid"))
     keys = rows.select("uid", F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("size"), first.alias("me"))
     roles = group_value(keys, ["sha", "size"], F.col("uid"), first=("min", F.col("me")))
