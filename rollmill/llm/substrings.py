@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ PREFIX = 8  # words
 SPLIT = 10_000  # blocks
 PARTS = 1024  # groups that a split prefix is dealt to
 MEMO = 1 << 19
+PLACES = 64  # a power of two
+SLICE = 1 << 20  # bytes hashed at once
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -88,15 +91,77 @@ def anchors(prefixes: np.ndarray, window: int) -> np.ndarray:
     return at
 
 
-def _windows(text: str | None, hasher: Hasher, window: int):
-    """Words, the hash of each window, each window's anchor and the prefix there."""
-    words = WORD.findall(text or "")
-    if len(words) < window:
-        return words, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    hashes = hasher.words(words)
+def _table() -> np.ndarray:
+    x = np.arange(PLACES * 256, dtype=np.uint64) * MIX + ODD
+    for _ in range(3):
+        x = _mixed(x + MIX)
+    return x
+
+
+BYTES = _table()  # a number for each byte value at each of the first places of a word
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word in UTF-8 bytes; white space is that of `WORD`.
+
+    A hash is a sum over the word's bytes, so a slice of bounded size may end within a word.
+    """
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edges = np.flatnonzero(np.r_[True, space] != np.r_[space, True])
+    starts, ends = edges[::2], edges[1::2]
+    sums = (ends - starts).astype(np.uint64) * MIX
+    for low in range(0, len(data), SLICE):
+        high = min(low + SLICE, len(data))
+        first, last = np.searchsorted(ends, low, "right"), np.searchsorted(starts, high, "left")
+        if first == last:
+            continue
+        sizes = np.minimum(ends[first:last], high) - np.maximum(starts[first:last], low)
+        inside = ~space[low:high]
+        at = np.flatnonzero(inside).astype(np.int32)
+        place = at - np.repeat((starts[first:last] - low).astype(np.int32), sizes)
+        values = BYTES[((place & (PLACES - 1)) << 8) | data[low:high][inside]]
+        if place.max() >= PLACES:
+            values *= _mixed((place // PLACES).astype(np.uint64) * MIX) | np.uint64(1)
+        sums[first:last] += np.add.reduceat(values, np.cumsum(sizes) - sizes)
+    return starts, ends, _mixed(sums)
+
+
+def texts_at_once(column: pa.ChunkedArray, limit: int = SLICE) -> Iterator[list[bytes]]:
+    """The texts as UTF-8, a few at a time: as many as pass `limit` bytes together; null is empty."""
+    held, size = [], 0
+    for value in column:
+        held.append(value.as_buffer().to_pybytes() if value.is_valid else b"")
+        size += len(held[-1])
+        if size > limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts, one text behind the other, and where each text's words begin and end."""
+    starts, _, hashes = word_hashes(np.frombuffer(b" ".join(texts), np.uint8))
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return hashes, np.searchsorted(starts, begins)
+
+
+def inner_windows(bounds: np.ndarray, window: int) -> np.ndarray:
+    """Whether the window that starts at a word ends within the word's text."""
+    n = bounds[-1] - window + 1
+    return np.repeat(bounds[1:], np.diff(bounds))[:n] - np.arange(n) >= window
+
+
+def _windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each window, the prefixes at their anchors, and for each window the number of its prefix."""
+    hashes, bounds = hashed(texts)
+    if len(hashes) < window:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
     prefixes = sequence_hashes(hashes, PREFIX)
-    at = anchors(prefixes, window)
-    return words, sequence_hashes(hashes, window), at, prefixes[at]
+    inner = inner_windows(bounds, window)
+    at = anchors(prefixes, window)[inner]
+    heads = np.r_[True, at[1:] != at[:-1]][: len(at)]
+    return sequence_hashes(hashes, window)[inner], prefixes[at[heads]], np.cumsum(heads) - 1
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -111,22 +176,25 @@ def _known(path: str, block: int, column: str) -> np.ndarray:
 
 def _inside(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which values are in `known`, a sorted array."""
+    found = np.zeros(len(values), bool)
     if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+        return found
+    # leading bits first: a search in a large array costs more
+    shift = np.uint64(64 - min(max(len(known).bit_length() + 3, 12), 24))
+    some = np.zeros(1 << (64 - int(shift)), bool)
+    some[known >> shift] = True
+    maybe = np.flatnonzero(some[values >> shift])
+    near = values[maybe]
+    found[maybe] = known[np.minimum(np.searchsorted(known, near), len(known) - 1)] == near
+    return found
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text") -> str:
     """Hashes of the windows that start in two places or more, stored by the blocks of `numbered_blocks`."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for block, rows in blocks(batches):
-            seen = []
-            for t in rows.column(text).to_pylist():
-                _, _, at, keys = _windows(t, hasher, window)
-                if len(keys):
-                    seen.append(keys[np.r_[True, at[1:] != at[:-1]]])  # each anchor once
+            seen = [_windows(texts, window)[1] for texts in texts_at_once(rows.column(text))]  # each anchor once
             if seen:
                 keys, n = np.unique(np.concatenate(seen), return_counts=True)
                 for i in range(0, len(keys), 100_000):
@@ -144,7 +212,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text")
     )
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for block, rows in blocks(batches):
             side = side_rows(wanted, block)
             if side is None:
@@ -152,11 +219,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, text: str = "text")
             known = np.sort(side.column("prefix").to_numpy().view(np.uint64))
             split = np.sort(side.filter(side.column("split")).column("prefix").to_numpy().view(np.uint64))
             found = []
-            for t in rows.column(text).to_pylist():
-                _, hashes, _, keys = _windows(t, hasher, window)
-                if len(keys):
-                    mine = _inside(keys, known)
-                    found.append(np.stack([keys[mine], hashes[mine]]))
+            for texts in texts_at_once(rows.column(text)):
+                hashes, keys, own = _windows(texts, window)
+                mine = _inside(keys, known)[own]
+                found.append(np.stack([keys[own[mine]], hashes[mine]]))
             if not found:
                 continue
             pairs = np.concatenate(found, axis=1)
@@ -241,26 +307,25 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text") -> D
     repeats = repeated_windows(docs, window, text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for block, rows in blocks(batches):
             known = _known(repeats, block, "window")
             kept, sizes, removed = [], [], []
-            for t in rows.column(text).to_pylist():
-                words = WORD.findall(t or "")
-                hashes = sequence_hashes(hasher.words(words), window) if len(known) else np.empty(0, np.uint64)
-                starts = np.flatnonzero(_inside(hashes, known))
-                sizes.append(len(words))
-                if not len(starts):
-                    kept.append(" ".join(words))
-                    removed.append(0)
-                    continue
-                edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + window, -1)
+            for texts in texts_at_once(rows.column(text)):
+                hashes, bounds = hashed(texts)
+                edge = np.zeros(len(hashes) + 1, np.int32)
+                if len(hashes) >= window and len(known):
+                    inner = np.flatnonzero(inner_windows(bounds, window))
+                    starts = inner[_inside(sequence_hashes(hashes, window)[inner], known)]
+                    edge += np.bincount(starts, minlength=len(edge))[: len(edge)].astype(np.int32)
+                    edge -= np.bincount(starts + window, minlength=len(edge))[: len(edge)].astype(np.int32)
                 covered = np.cumsum(edge[:-1]) > 0
-                removed.append(int(covered.sum()))
-                kept.append(" ".join(words[i] for i in np.flatnonzero(~covered)))
-            added = [pa.chunked_array([pa.array(kept, pa.string())]), pa.chunked_array([pa.array(sizes, pa.int64())]), pa.chunked_array([pa.array(removed, pa.int64())])]
+                for t, low, high in zip(texts, bounds[:-1], bounds[1:], strict=True):
+                    gone = covered[low:high]
+                    sizes.append(int(high - low))
+                    removed.append(int(gone.sum()))
+                    words = t.split()  # bytes part at the white space of `WORD`
+                    kept.append(b" ".join(compress(words, ~gone) if removed[-1] else words))
+            added = [pa.chunked_array([pa.array(kept, pa.binary()).cast(pa.string())]), pa.chunked_array([pa.array(sizes, pa.int64())]), pa.chunked_array([pa.array(removed, pa.int64())])]
             done = pa.table([*rows.columns, *added], names=[*rows.column_names, "kept", "n_words", "n_removed"])
             yield from done.combine_chunks().to_batches(max_chunksize=1000)
 

@@ -113,3 +113,26 @@ def test_columns_with_internal_names_stay(spark, several, name):
     assert set(docs.columns) <= set(done.columns)
     for row in done.select("doc_id", *own).collect():
         assert tuple(row)[1:] == tuple(f"{c}{row.doc_id}" for c in own)
+
+
+def test_word_hashes_equal_the_pattern(monkeypatch):
+    """Words are those of the pattern, equal exactly where their hashes are, wherever a slice ends."""
+    import numpy as np
+
+    from rollmill.llm import substrings
+
+    text = "a b\x0bab ba\x1cc \x85d é è " + "x" * 300 + " " + "x" * 299 + "y\t\n" + "x" * 300 + " ab  a" + "z" * 5000
+    want = substrings.WORD.findall(text)
+    for size in (1 << 20, 64, 7):
+        monkeypatch.setattr(substrings, "SLICE", size)
+        data = text.encode()
+        starts, ends, hashes = substrings.word_hashes(np.frombuffer(data, np.uint8))
+        assert [data[a:b].decode() for a, b in zip(starts, ends, strict=True)] == want
+        same = {}
+        for w, h in zip(want, hashes.tolist(), strict=True):
+            assert same.setdefault(w, h) == h
+        assert len(set(same.values())) == len(same)
+        assert size == 1 << 20 or (hashes == kept).all()
+        kept = hashes
+    for empty in (b"", b" \n "):
+        assert len(substrings.word_hashes(np.frombuffer(empty, np.uint8))[2]) == 0
