@@ -57,9 +57,15 @@ def shielded(docs: DataFrame, *reserved: str) -> tuple[DataFrame, dict[str, str]
     return docs.withColumnsRenamed({old: new for new, old in back.items()}), back
 
 
+def _copy(docs: DataFrame, label: str) -> DataFrame:
+    path = run_dir(docs.sparkSession, label)
+    docs.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+
+
 def numbered(docs: DataFrame, label: str, number: str = "_uid") -> DataFrame:
     """A stored copy of the rows, each with a number that no other has; a column of that name is replaced."""
-    return written(docs.withColumn(number, F.monotonically_increasing_id()), label)
+    return _copy(docs.withColumn(number, F.monotonically_increasing_id()), label)
 
 
 def numbered_blocks(docs: DataFrame, text: str, label: str, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -78,7 +84,7 @@ def numbered_blocks(docs: DataFrame, text: str, label: str, limit: int = BLOCK_B
                     block, size = block + 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], [*batch.schema.names, "_block"])
 
-    return written(docs.mapInArrow(cut, schema), label)
+    return _copy(docs.mapInArrow(cut, schema), label)
 
 
 def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
