@@ -177,3 +177,17 @@ def batch_messages(spark, sf):
         "q_id", "micro_batch", "plen", F.col("rewards").cast("bigint").alias("rollout_id"),
         F.array_join(F.transform("inputs", lambda x: x.cast("string")), ",").alias("input_ids"),
     )
+
+
+
+@query(with_views(UPLOADS, POOL) + f""", done AS (WITH {regroup_sql('pool', '0')}),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY arrival) - 1 AS place, max(arrival % 5 + 1) OVER (PARTITION BY q) AS longest FROM done)
+SELECT q, (place // 4)::INT AS micro_batch, 2::INT AS plen, (place % 4)::INT AS place, advantage AS reward,
+ array_to_string(list_concat([q::INT % 7, q::INT % 11], range(arrival % 5 + 1), list_transform(range(longest - arrival % 5 - 1), lambda x: -1)), ',') AS input_ids FROM placed""")
+def regrouped_batches(spark, sf):
+    user, last = F.col("q").cast("int"), (F.col("arrival") % 5).cast("int")
+    rows = uploads(spark, sf).withColumns({"prompt_ids": F.array(user % 7, user % 11), "answer_ids": F.sequence(F.lit(0), last)})
+    done = regroup_plan.regrouped_batches(rows, -1)
+    each = done.select("q", "micro_batch", "plen", F.posexplode(F.arrays_zip("inputs", "rewards")).alias("place", "r"))
+    ids = F.array_join(F.transform(F.col("r.inputs"), lambda x: x.cast("string")), ",")
+    return each.select("q", "micro_batch", "plen", "place", r6("r.rewards").alias("reward"), ids.alias("input_ids"))

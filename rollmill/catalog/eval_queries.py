@@ -236,3 +236,14 @@ def evaluate_code(spark, sf):
     row = evaluation.evaluate_code(outcomes(spark, sf, idx=True))
     rates = [r6(F.col("pass")[p]).alias(f"ps{p}") for p in (1, 3, 5)]
     return row.select("samples", *rates, r6("total_pass_rate").alias("total_pass_rate"))
+
+
+@query(with_views(ROLLOUTS) + f"""SELECT count(*) AS samples, sum(n)::BIGINT AS answers, {_round('avg((c > 0)::INT)', 'accuracy')},
+ {_round('avg(f)', 'format_rate')}, {_round('avg(f)', 'format_rate_strict')}, {_round('sum(w) / sum(n)', 'avg_words')},
+ {_round('sum(w1) / sum(c)', 'avg_corr_ans_words')}, {_round('sum(w - coalesce(w1, 0)) / sum(n - c)', 'avg_err_ans_words')},
+ {_round('avg(c / n)', 'pass_at_1')}, {_round('avg(CASE WHEN n >= 2 THEN 1 - greatest(n - c, 0) * greatest(n - c - 1, 0) / (n * nullif(n - 1, 0)) ELSE 0 END)', 'pass_at_2')}
+ FROM (SELECT q_id, count(*) AS n, sum(correct::INT) AS c, avg(format_ok::INT) AS f, sum({_WORDS}) AS w, sum({_WORDS}) FILTER (correct) AS w1 FROM rollouts GROUP BY q_id)""")
+def evaluate_samples(spark, sf):
+    done = evaluation.evaluate_samples(rollouts(spark, sf).select("q_id", "answer"), questions(spark, sf).select("q_id", "gold"))
+    done = done.withColumns({f"pass_at_{k}": F.col("pass_at_k")[k] for k in (1, 2)}).drop("pass_at_k")
+    return _rounded(done, *[c for c in done.columns if c not in ("samples", "answers")])

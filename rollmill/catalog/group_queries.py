@@ -31,6 +31,15 @@ def grpo_advantages(spark, sf):
     return done.select("q_id", "rollout_idx", "reward", r6("advantage").alias("advantage"))
 
 
+@query(with_views(ROLLOUTS) + f"""SELECT q_id, rollout_idx, {_round('advantage')} AS advantage, (row_number() OVER (PARTITION BY q_id ORDER BY rollout_idx) - 1) // 3 AS micro_batch
+ FROM (SELECT *, max(reward) OVER g - min(reward) OVER g AS span, {_Z} AS advantage FROM rollouts{_WINDOW}) WHERE span >= 1e-4""")
+def grpo_batches(spark, sf):
+    done = grpo.grpo_batches(
+        rollouts(spark, sf, idx=True).select("q_id", "rollout_idx", "answer"), questions(spark, sf).select("q_id", "gold"), 3
+    )
+    return done.select("q_id", "rollout_idx", r6("advantage").alias("advantage"), "micro_batch")
+
+
 @query(with_views(ROLLOUTS) + f"SELECT {_ID}, {_round(_Z)} AS advantage FROM rollouts{_WINDOW}")
 def group_advantage(spark, sf):
     done = G.group_advantage(rollouts(spark, sf), spread=_SPREAD)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rollmill.catalog.registry import query, r6
 from rollmill.catalog.views import (
-    CODE_TASKS, EXCHANGES, GRADED, IDS, QUESTIONS, ROLLOUTS,
-    code_tasks, exchanges, graded, questions, rollouts, table, token_ids, with_views,
+    CODE_TASKS, EXCHANGES, GRADED, IDS, QUESTIONS, ROLLOUTS, TOKENS,
+    code_tasks, exchanges, graded, questions, rollouts, table, token_ids, tokens, with_views,
 )
 from rollmill.functions.text import think_format, think_format_strict
 from rollmill.operators.batching import draw_order
 from rollmill.operators.evals import eval_summary
+from rollmill.operators.tokens import align_logps
 from rollmill.session import run_dir
 from rollmill.sources import batches, cursor, datasets, logs
 
@@ -111,12 +114,22 @@ def write_rollouts(spark, sf):
     rows = rollouts(spark, sf, idx=True).drop("gold").join(questions(spark, sf), "q_id").withColumns(
         {"format_ok": think_format("answer"), "format_strict": think_format_strict("answer")}
     )
-    logs.write_rollouts(rows.withColumnRenamed("q_id", "q_idx"), path, 50, ks=(1, 2), per_row=3)
+    logs.write_rollouts(rows.withColumnRenamed("q_id", "q_idx"), path, 50, ks=(1, 2))
     saved = spark.read.json(path)
     scores = [r6(F.col("pass_at_k")[k]).alias(f"pass_at_{k}") for k in ("1", "2")]
     return saved.select("q_idx", "question", "gold", *scores, F.inline("results"))
 
 
+@query(with_views(GRADED) + """SELECT doc_id AS idx, round(acc, 6) + 0e0 AS acc, num_samples, 1::BIGINT AS records FROM (
+ SELECT *, avg(correct::INT) OVER () AS acc, count(*) OVER () AS num_samples FROM graded) WHERE correct""")
+def write_eval_detail(spark, sf):
+    path = run_dir(spark, "detail")
+    logs.write_eval_detail(graded(spark, sf), path, idx="doc_id", part_size=256)
+    saved = spark.read.json(path)
+    records = saved.agg(F.count(F.lit(1))).scalar()
+    return saved.select(F.explode("correct").alias("idx"), r6("acc").alias("acc"), "num_samples", records.alias("records"))
+
+
 @query(with_views(GRADED) + """SELECT model, split, info, count(*) AS samples, round(avg(correct::INT), 6) AS accuracy FROM graded,
  (VALUES ('m1', 'test', NULL), ('m2', 'train', 'second run')) r(model, split, info) GROUP BY model, split, info""")
 def append_eval_result(spark, sf):
@@ -189,3 +202,13 @@ def write_batches(spark, sf):
         F.array_join(F.transform(F.col("inputs")[0], lambda x: x.cast("string")), ",").alias("first_input"),
         F.col("rewards")[0].alias("reward"), F.col("gen_logps").isNotNull().alias("has_gen"),
     )
+
+
+@query(with_views(TOKENS) + "SELECT rollout_id, pos, logp, gen_logp, ref_logp FROM tokens")
+def write_token_table(spark, sf):
+    """Three bucketed tables, aligned without a shuffle."""
+    rows, names = tokens(spark, sf), []
+    for c in ("logp", "gen_logp", "ref_logp"):
+        names.append(f"tokens_{uuid.uuid4().hex}")
+        batches.write_token_table(rows.select("rollout_id", "pos", c), names[-1], 16)
+    return align_logps(*[spark.table(n) for n in names])

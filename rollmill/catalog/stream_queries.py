@@ -192,7 +192,7 @@ def running_training_stream(spark, sf):
         (F.col("l_returnflag") == "A").cast("int").alias("n_correct"), (F.col("l_linestatus") == "O").cast("int").alias("n_format"),
     )
     _done(metrics.write_metrics(metrics.running_training_stream(steps), f"{path}/out", f"{path}/checkpoint"))
-    done = spark.read.parquet(f"{path}/out")
+    done = metrics.read_metrics(spark, f"{path}/out")
     return done.select("steps", *[r6(c).alias(c) for c in done.columns if c != "steps"])
 
 

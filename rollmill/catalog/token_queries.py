@@ -199,7 +199,8 @@ def _logits(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("logits"))
 
 
-@query(with_views(_SOFTMAX) + f"SELECT vec_id, {_round('x - lse', 'logprob')} FROM lse JOIN logits USING (vec_id) WHERE p = lse.label")
+@query(f"""SELECT vec_id, {_round('logits[label + 1] - top - ln(list_sum(list_transform(list_transform(logits, lambda x: x - top), lambda x: exp(x))))', 'logprob')}
+ FROM (SELECT vec_id, label, embedding::DOUBLE[] AS logits, list_max(embedding)::DOUBLE AS top FROM embeddings)""")
 def token_logprob(spark, sf):
     return _logits(spark, sf).select("vec_id", r6(A.token_logprob("logits", "label")).alias("logprob"))
 
@@ -253,3 +254,18 @@ def merge_sequences(spark, sf):
     first = rows.groupBy("batch_id").agg(F.min_by("prompt_ids", "rollout_id").alias("prompt_ids"))
     done = J.merge_sequences(first, rows.select("rollout_id", "batch_id", "answer_ids"), ["batch_id"], "prompt_ids", "answer_ids")
     return done.select("rollout_id", "plen", _ids("input_ids"))
+
+
+
+_MACROS = """macros AS (SELECT batch_id, concat(batch_id % 2, ':', (row_number() OVER (PARTITION BY batch_id % 2 ORDER BY batch_id) - 1) // 3) AS macro_id
+ FROM (SELECT DISTINCT vec_id // 8 AS batch_id FROM embeddings))"""
+_TAGGED = "tagged AS (SELECT t.* EXCLUDE (macro_id), m.macro_id FROM tokens t JOIN macros m USING (batch_id))"
+
+
+@query(with_views(TOKENS, _MACROS, _TAGGED, _REWARDED.replace("FROM tokens", "FROM tagged"), _FIRST, _RETURNS, _ADV)
+       + f"SELECT macro_id, rollout_id, pos, {_round('adv', 'advantage')} FROM advantages")
+def macro_advantages(spark, sf):
+    rows = sequences(spark, sf).drop("macro_id").withColumns({"producer": F.col("batch_id") % 2, "arrival": F.col("batch_id")})
+    done = reinforce.macro_advantages(rows, 3)
+    each = done.select(F.concat_ws(":", "producer", "macro_id").alias("macro_id"), "rollout_id", F.posexplode("advantages").alias("p", "a"))
+    return each.select("macro_id", "rollout_id", (F.col("p") + 1).alias("pos"), r6("a").alias("advantage"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollmill.operators.scan import BUCKET_WIDTH, totals_by_ranges
+from rollmill.session import written
 
 PASS_KS = tuple(2**i for i in range(10))
 PREFIXES = (1, 3, 5)
@@ -236,13 +237,18 @@ def running_training(
 
 
 def eval_detail(df: DataFrame, idx: str = "idx", correct: str = "correct", part_size: int = BUCKET_WIDTH) -> DataFrame:
-    """Indexes answered right and the accuracy, `part_size` indexes to a row.
+    """Indexes answered right and the accuracy, `part_size` indexes to a row; `logs.write_eval_detail` makes one record of them.
 
-    Small evaluations give one row; a large one is cut into parts instead of one list in one task.
+    Small evaluations give one row; a large one is cut into parts instead of one list in one task. No
+    answers give one row with an empty list and zeros. The graded rows are read once.
     """
-    accuracy = df.agg(_share(F.sum(_as_number(correct)), F.count(F.lit(1)))).scalar()
-    total = df.agg(F.count(F.lit(1))).scalar()
-    right = F.collect_list(F.when(F.col(correct), F.col(idx)))
-    return df.groupBy(F.floor(F.col(idx) / part_size).alias("part")).agg(F.sort_array(right).alias("correct")).select(
-        "part", "correct", accuracy.alias("acc"), total.alias("num_samples")
-    )
+    marks = written(df.select(F.col(idx).alias("_idx"), F.col(correct).alias("_ok")), "marks")
+    totals = marks.agg(_share(F.sum(_as_number("_ok")), F.count(F.lit(1))).alias("acc"), F.count(F.lit(1)).alias("num_samples"))
+    right = F.sort_array(F.collect_list(F.when(F.col("_ok"), F.col("_idx"))))
+    parts = marks.groupBy(F.floor(F.col("_idx") / part_size).alias("part")).agg(right.alias("correct"))
+    accuracy, total = totals.select("acc").scalar(), totals.select("num_samples").scalar()
+    rows = parts.select("part", "correct", accuracy.alias("acc"), total.alias("num_samples"))
+    none = totals.where(F.col("num_samples") == 0).select(
+        F.lit(0).cast("bigint").alias("part"), F.array().cast(rows.schema["correct"].dataType).alias("correct"), "acc", "num_samples"
+    )
+    return rows.unionByName(none)

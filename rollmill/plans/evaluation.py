@@ -16,7 +16,7 @@ from rollmill.functions.text import (
     with_math_correct,
     word_count,
 )
-from rollmill.operators.evals import LEVELS, PREFIXES, outcome_summary
+from rollmill.operators.evals import LEVELS, PASS_KS, PREFIXES, outcome_summary, pass_probability
 from rollmill.operators.joins import attach_questions
 
 
@@ -58,6 +58,45 @@ def evaluate_numeric(answers: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
+def evaluate_samples(answers: DataFrame, questions: DataFrame, ks: Sequence[int] = PASS_KS) -> DataFrame:
+    """An evaluation with several answers to a question, in one row.
+
+    A question is right if any of its answers is, its format rates are the means over its answers, and lengths
+    are averaged over answers. pass@k is listed for each k below the largest number of answers; a question
+    with fewer than k answers adds nothing to it. Answers are counted by question before the shuffle.
+    """
+    graded = grade_numeric(answers, questions)
+    right, words = F.col("correct"), F.col("n_words")
+    per_question = graded.groupBy("q_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(right).alias("c"),
+        F.avg(F.col("format_ok").cast("int")).alias("_loose"),
+        F.avg(F.col("format_strict").cast("int")).alias("_strict"),
+        F.sum(words).alias("_words"),
+        F.sum(F.when(right, words)).alias("_right_words"),
+    )
+    n, c, k = F.col("n"), F.col("c"), F.count(F.lit(1))
+    passed = [
+        x for v in ks for x in (F.lit(v), F.avg(F.when(n >= v, pass_probability(n, c, F.lit(v))).otherwise(F.lit(0.0))))
+    ]
+    most, total, solved = F.max("n"), F.sum("n"), F.sum("c")
+
+    def mean(x: Column, of: Column) -> Column:
+        return F.coalesce(F.try_divide(x.cast("double"), of), F.lit(0.0))
+
+    return per_question.agg(
+        k.alias("samples"),
+        F.coalesce(total, F.lit(0)).alias("answers"),
+        mean(F.count_if(c > 0), k).alias("accuracy"),
+        mean(F.sum("_loose"), k).alias("format_rate"),
+        mean(F.sum("_strict"), k).alias("format_rate_strict"),
+        F.try_divide(F.sum("_words").cast("double"), total).alias("avg_words"),
+        F.try_divide(F.sum("_right_words").cast("double"), solved).alias("avg_corr_ans_words"),
+        F.try_divide((F.sum("_words") - F.coalesce(F.sum("_right_words"), F.lit(0))).cast("double"), total - solved).alias("avg_err_ans_words"),
+        F.create_map(*passed).alias("_passed"), most.alias("_most"),
+    ).select("*", F.map_filter("_passed", lambda v, _: v < F.col("_most")).alias("pass_at_k")).drop("_passed", "_most")
+
+
 def evaluate_math(answers: DataFrame, questions: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
     """Accuracy, format rate and per-level accuracy and counts in one row and one pass."""
     graded = grade_math(answers, questions)

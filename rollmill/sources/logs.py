@@ -4,44 +4,82 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollmill.functions.rewards import export_rewards
-from rollmill.operators.evals import running_eval
+from rollmill.operators.evals import PASS_KS, eval_detail, running_eval
+from rollmill.operators.scan import BUCKET_WIDTH
 from rollmill.schemas import GENERATION
+from rollmill.session import written
 from rollmill.sources.tables import read_or_empty
 
-RESULTS_PER_ROW = 4096
+LINE = " "  # between the pieces of a record, as the text sink needs a separator; JSON allows it between tokens
 
 
-def saved_rollouts(
-    df: DataFrame, k: int, q: str = "q_idx", order: str = "rollout_idx", ks: Sequence[int] = (),
-    per_row: int = RESULTS_PER_ROW,
+def rollout_lines(
+    df: DataFrame, k: int, q: str = "q_idx", order: str = "rollout_idx", ks: Sequence[int] | None = None
 ) -> DataFrame:
-    """The first `k` questions with their answers and rewards nested, `per_row` answers to a row.
+    """The first `k` questions with their answers and rewards, one piece of a JSON record per answer.
 
-    Ordinary questions give one row; one with more answers continues in further parts. `ks` adds
-    the pass@k so far, which depends on the questions up to the saved one only.
+    Written one after the other, the pieces of a question make one record on one line, whatever the number of
+    its answers: the first piece opens it with question, gold and pass@k, the last one closes it, and no
+    task holds more than a piece. `ks` names the pass@k so far, which depends on the questions up to the
+    saved one only; unless given, they are those of PASS_KS below the question's number of answers.
+    Rows without a question are not saved.
     """
-    first = df.select(q).distinct().orderBy(q).limit(k)
-    kept = df.join(F.broadcast(first), q, "left_semi") if k <= RESULTS_PER_ROW else df.join(first, q, "left_semi")
-    result = F.struct(
-        F.col(order), F.col("answer"), *export_rewards("correct", "format_ok", "format_strict")
+    last = df.select(q).where(F.col(q).isNotNull()).distinct().orderBy(q).limit(k).agg(F.max(q)).scalar()
+    kept = df.where(F.col(q) <= last)
+    names = PASS_KS if ks is None else tuple(ks)
+    whole = Window.partitionBy(q)
+    rows = kept.withColumns(
+        {"_place": F.row_number().over(whole.orderBy(order, "answer")), "_answers": F.count(F.lit(1)).over(whole)}
     )
-    part = F.floor(F.col(order) / per_row).alias("part")
-    nested = kept.groupBy(q, "question", "gold", part).agg(
-        F.array_sort(F.collect_list(result)).alias("results")
+    head = [q, "question", "gold"]
+    if names:
+        scores = F.create_map(*[c for n in names for c in (F.lit(n), F.col(f"pass_at_{n}"))])
+        so_far = running_eval(kept, names, (), q, order=order).select(q, scores.alias("_scores"))
+        rows = rows.join(so_far, q)
+        listed = F.map_filter("_scores", lambda n, _: n < F.col("_answers")) if ks is None else F.col("_scores")
+        head.append(listed.alias("pass_at_k"))
+    opening = F.to_json(F.struct(*head), {"ignoreNullFields": "false"})
+    result = F.to_json(F.struct(F.col(order), F.col("answer"), *export_rewards("correct", "format_ok", "format_strict")))
+    piece = F.concat(
+        F.when(F.col("_place") == 1, F.concat(F.substring(opening, F.lit(1), F.length(opening) - 1), F.lit(',"results":['))).otherwise(","),
+        result,
+        F.when(F.col("_place") == F.col("_answers"), "]}\n").otherwise(""),
     )
-    if not ks:
-        return nested
-    scores = F.create_map(*[c for n in ks for c in (F.lit(str(n)), F.col(f"pass_at_{n}"))])
-    so_far = running_eval(kept, ks, (), q, order=order).select(q, scores.alias("pass_at_k"))
-    return nested.join(so_far, q)
+    return rows.select(q, "_place", piece.alias("value"))
 
 
-def write_rollouts(df: DataFrame, path: str, k: int, **where) -> None:
-    saved_rollouts(df, k, **where).write.mode("overwrite").json(path)
+def write_rollouts(df: DataFrame, path: str, k: int, q: str = "q_idx", **where) -> None:
+    """One JSON record per question. The answers of a question are sorted on disk and streamed by one task."""
+    lines = rollout_lines(df, k, q, **where).repartition(F.col(q)).sortWithinPartitions(q, "_place")
+    lines.select("value").write.mode("overwrite").option("lineSep", LINE).text(path)
+
+
+def write_eval_detail(df: DataFrame, path: str, idx: str = "idx", correct: str = "correct", part_size: int = BUCKET_WIDTH) -> None:
+    """One JSON record: the indexes answered right in ascending order, the accuracy and the number of samples.
+
+    The indexes are listed by as many tasks as there are, `part_size` numbers to a list; one task then
+    writes the lists one after the other and holds one at a time. No answers give an empty list and zeros.
+    """
+    parts = written(eval_detail(df, idx, correct, part_size), "detail")
+    some = parts.where(F.size("correct") > 0)
+    first = some.agg(F.min("part")).scalar()
+    numbers = F.to_json("correct")
+    lists = some.select(
+        F.lit(1).alias("at"), "part",
+        F.concat(F.when(F.col("part") == first, "").otherwise(","), F.substring(numbers, F.lit(2), F.length(numbers) - 2)).alias("value"),
+    )
+    closing = F.to_json(F.struct("acc", "num_samples"))
+    closing = F.concat(F.lit("],"), F.substring(closing, F.lit(2), F.length(closing)), F.lit("\n"))
+    ends = F.array(
+        F.struct(F.lit(0).alias("at"), F.lit('{"correct":[').alias("value")), F.struct(F.lit(2).alias("at"), closing.alias("value"))
+    )
+    frame = parts.agg(F.max("acc").alias("acc"), F.max("num_samples").alias("num_samples")).select(F.inline(ends))
+    record = lists.unionByName(frame.withColumn("part", F.lit(0).cast("bigint")))
+    record.repartition(1).sortWithinPartitions("at", "part").select("value").write.mode("overwrite").option("lineSep", LINE).text(path)
 
 
 def append_eval_result(df: DataFrame, path: str, info: str | None = None, **tags: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,9 +22,12 @@ def running_training_stream(
 
 
 def write_metrics(metrics: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the latest metrics row below `path`."""
+    """Store the metrics row of each trigger in a folder of its own; `read_metrics` gives the newest.
+
+    A reader never meets a half-written row, and a repeated trigger writes the same folder again.
+    """
     def save(row: DataFrame, batch_id: int) -> None:
-        row.write.mode("overwrite").parquet(path)
+        row.write.mode("overwrite").parquet(f"{path}/trigger={batch_id}")
 
     return (
         metrics.writeStream.foreachBatch(save)
@@ -33,3 +36,8 @@ def write_metrics(metrics: DataFrame, path: str, checkpoint: str, trigger: dict
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The row of the newest trigger."""
+    return spark.read.parquet(path).orderBy(F.desc("trigger")).limit(1).drop("trigger")

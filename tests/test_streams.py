@@ -149,7 +149,8 @@ def test_metrics_add_up(spark):
         steps.where(F.col("step") % 2 == k).write.mode("append").parquet(f"{path}/in")
         stream = U.rollout_stream(spark, f"{path}/in", steps.schema)
         metrics.write_metrics(metrics.running_training_stream(stream), f"{path}/out", f"{path}/ckpt").awaitTermination()
-    row = spark.read.parquet(f"{path}/out").first()
+    assert spark.read.parquet(f"{path}/out").count() == 2
+    row = metrics.read_metrics(spark, f"{path}/out").first()
     assert row.steps == 20 and row.format_correct_ratio == 1.0
     assert row.avg_output_token_length == pytest.approx(sum(100 + s for s in range(20)) / 20)
 
