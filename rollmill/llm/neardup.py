@@ -270,9 +270,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     keys = docs.select("_uid", "doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), F.length(text).alias("h3"))
     same = ["h1", "h2", "h3"]
     firsts = written(group_value(keys, same, F.col("_uid"), _first=("min", F.col("_uid"))).select("_uid", "doc_id", "_first"), "equals")
-    sketched = written(sketches(docs.select("_uid", "text")), "sketches")
-    once = sketched.join(firsts.where("_uid = _first").select("_uid"), "_uid")
-    once = written(once, "once")
+    different = docs.select("_uid", "text").join(firsts.where("_uid = _first").select("_uid"), "_uid")
+    once = written(sketches(different), "sketches")
     _, labels = near_links(once, similarity)
     labelled = firsts.join(labels, F.col("_first") == F.col("id"), "left").select("_uid", "doc_id", F.coalesce("label", "_first").alias("label"))
     me = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_uid").alias("at"))
