@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollmill.llm.common import documents, group_value, numbered, shielded, written
+from rollmill.llm.common import documents, group_value, numbered, run_dir, shielded, written
 from rollmill.llm.substrings import MIX, ODD, WORD, Hasher, _mixed, sequence_hashes
 
 SHINGLE = 5  # words
@@ -110,6 +111,15 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sketch, "_uid long, keys array<long>, units array<int>")
 
 
+def _by_row(sketched: DataFrame, label: str) -> DataFrame:
+    """The same rows from a table in the shared folder, bucketed by `_uid`: joins on it move the other side only."""
+    spark, name = sketched.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sketched.repartition(parts, "_uid")
+    rows.write.bucketBy(parts, "_uid").option("path", run_dir(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def _pairs(stars: DataFrame, similarity: float) -> DataFrame:
     """Different pairs a < b of `_uid` and center `c` with their sizes; too different sizes are left out unseen."""
     me, other = F.struct("_uid", "n"), F.struct("c._uid", "c.n")
@@ -270,8 +280,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     keys = docs.select("_uid", "doc_id", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), F.length(text).alias("h3"))
     same = ["h1", "h2", "h3"]
     firsts = written(group_value(keys, same, F.col("_uid"), _first=("min", F.col("_uid"))).select("_uid", "doc_id", "_first"), "equals")
-    different = docs.select("_uid", "text").join(firsts.where("_uid = _first").select("_uid"), "_uid")
-    once = written(sketches(different), "sketches")
+    different = sketches(docs.select("_uid", "text")).join(firsts.where("_uid = _first").select("_uid"), "_uid")
+    once = _by_row(different, "sketches")
     _, labels = near_links(once, similarity)
     labelled = firsts.join(labels, F.col("_first") == F.col("id"), "left").select("_uid", "doc_id", F.coalesce("label", "_first").alias("label"))
     me = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_uid").alias("at"))
