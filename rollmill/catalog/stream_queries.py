@@ -17,8 +17,8 @@ from rollmill.streaming import uploads as U
 
 
 def _stream(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return U.rollout_stream(spark, sf, schema, max_files=1, files=f"{name}.parquet")
+    """All rows of a table in one trigger. The table is a file or a folder of files: a pattern names both."""
+    return U.rollout_stream(spark, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema)
 
 
 def _uploads(spark, sf):

@@ -162,3 +162,19 @@ def test_generation_log_tolerates_bad_lines(spark):
     assert logs.read_generation_log(spark, path).count() == 0
     spark.createDataFrame([("{broken",), (json.dumps({"answer": "a", "acc_score": 1.0}),)], "value string").write.text(path)
     assert [r.answer for r in logs.read_generation_log(spark, path).collect()] == ["a"]
+
+
+def test_a_table_in_several_files_is_one_trigger(spark, tmp_path):
+    from rollmill.catalog.stream_queries import _stream
+
+    rows = spark.range(30).repartition(3)
+    rows.write.parquet(f"{tmp_path}/folder.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/other")
+    next((tmp_path / "other").glob("*.parquet")).rename(tmp_path / "single.parquet")
+    for name in ("folder", "single"):
+        taken = []
+        (
+            _stream(spark, str(tmp_path), name).writeStream.foreachBatch(lambda new, k: taken.append(new.count()))
+            .option("checkpointLocation", f"{tmp_path}/checkpoint-{name}").trigger(availableNow=True).start().awaitTermination()
+        )
+        assert taken == [30]
