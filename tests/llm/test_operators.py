@@ -258,6 +258,16 @@ def test_leaks_in_many_rows_are_found(spark, tmp_path, copies, others):
     assert leak_pairs(docs, items) == {(i, 0): 1.0 for i in range(copies)}
 
 
+def test_all_passages_are_fitted(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{w}{i}" for w in invented(rng, 100)) for i in range(40)]
+    docs, items = leak_tables(spark, tmp_path, texts, [" ".join(invented(rng, 30))])
+    weight = decontamination.idf(*decontamination.document_frequencies(docs)[:2])
+    basis = decontamination.latent_space(docs, items, weight, 20_000_000)
+    held = np.concatenate([decontamination.words_at(decontamination.plain(t))[2] for t in texts])
+    assert (np.abs(basis[held]).sum(axis=1) > 0).all()
+
+
 def test_long_items_are_found(spark, tmp_path):
     rng = np.random.default_rng(8)
     items = [invented(rng, n) for n in (400, 130, 1000, 59)]
