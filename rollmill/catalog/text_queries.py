@@ -138,12 +138,18 @@ def normalize_latex(spark, sf):
     )
 
 
+def _spread(spark, sf):
+    """The keys of all order lines, dealt evenly: a file with few row groups would keep few cores busy."""
+    keys = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return keys.repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 @query("""SELECT l_orderkey AS q_id, l_linenumber AS line, l_partkey AS partkey, l_suppkey AS suppkey,
  (l_partkey % 12) * 2 = l_linenumber * (l_suppkey % 5 + 1) AS half_equal,
  l_partkey % 7 = l_suppkey % 7 AS sign_equal,
  l_partkey % 9 = l_linenumber AS thousand_equal, false AS word_equal FROM lineitem""")
 def math_equal(spark, sf):
-    li = table(spark, sf, "lineitem")
+    li = _spread(spark, sf)
     fraction = F.expr("concat(l_partkey % 12, '/', l_suppkey % 5 + 1)")
     decimal = F.expr("concat(l_linenumber div 2, CASE WHEN l_linenumber % 2 = 1 THEN '.50' ELSE '.0' END)")
     minus = F.expr("concat('-', l_partkey % 7 + 1)")
@@ -165,7 +171,7 @@ def math_equal(spark, sf):
  repeat(CAST(l_partkey % 9 + 1 AS VARCHAR), 80) = repeat(CAST(l_partkey % 9 + 1 AS VARCHAR), 79 + l_linenumber % 2) AS length_equal,
  l_partkey % 5 + 1 = l_suppkey % 5 + 1 AS fraction_equal FROM lineitem""")
 def math_equal_long(spark, sf):
-    li = table(spark, sf, "lineitem")
+    li = _spread(spark, sf)
     one, other = F.expr("repeat(l_partkey % 9 + 1, 41)"), F.expr("concat('00', repeat(l_suppkey % 9 + 1, 41), '.', repeat('0', l_linenumber))")
     eighty, near = F.expr("repeat(l_partkey % 9 + 1, 80)"), F.expr("concat(repeat(l_partkey % 9 + 1, 79 + l_linenumber % 2), '.0')")
     thirty, small = F.expr("concat(repeat(l_partkey % 5 + 1, 30), '/', repeat('7', 30))"), F.expr("concat(l_suppkey % 5 + 1, '/7')")

@@ -7,11 +7,14 @@ processed whole, however long they are.
 
 from __future__ import annotations
 
+import decimal
+import re
 from collections.abc import Callable
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 ColumnOrName = Column | str
 
@@ -163,14 +166,9 @@ def normalize_latex(c: ColumnOrName) -> Column:
     return _let(_unmarked(c), _plain_latex)
 
 
-_NUMBER = r"(\d+\.?\d*|\.\d+)"
-_RATIONAL = rf"^([+-]?)\(?([+-]?){_NUMBER}\)?(?:/\(?([+-]?){_NUMBER}\)?)?$"
-# at most nine digits on each side of a point, so that products of two parts are exact
-_SHORT_RATIONAL = r"^[+-]?\(?\d{1,9}(?:\.\d{1,9})?\)?(?:/\(?\d{1,9}(?:\.\d{1,9})?\)?)?$"
-_NUMERIC = rf"(?U)^{_WS}*[+(-]*[\d.,]+[)/(+-]*[\d.]*\)?{_WS}*$"  # anything that could be a number
-_THOUSANDS = r"^[+-]?\d{1,3}(?:,\d{3})++(?:\.\d+)?$"
-_LIMB = 3  # digits; sums of limb products stay within 53 bits at any length that a string can have
-_PART = DecimalType(18, 9)
+_NUMBER = r"([0-9]+\.?[0-9]*|\.[0-9]+)"
+_RATIONAL = rf"([+-]?)\(?([+-]?){_NUMBER}\)?(?:/\(?([+-]?){_NUMBER}\)?)?"
+_THOUSANDS = r"[+-]?[0-9]{1,3}(?:,[0-9]{3})++(?:\.[0-9]+)?"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -181,125 +179,58 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _rational(c: Column) -> Column:
-    """Sign, numerator and denominator as digits without leading zeros; NULL when not a number.
-
-    Zero is an empty string and never minus.
-    """
-    fields = F.split(F.regexp_replace(c, _RATIONAL, "$1$2$4 $3 $5"), " ", -1)
-
-    def scale(number: Column) -> Column:
-        at = F.instr(number, ".")
-        return F.when(at > 0, F.length(number) - at).otherwise(F.lit(0))
-
-    def trimmed(number: Column) -> Column:
-        return F.when(F.contains(number, F.lit(".")), F.rtrim(number, F.lit("0"))).otherwise(number)
-
-    def digits(number: Column, zeros: Column) -> Column:
-        return F.ltrim(F.concat(F.replace(number, F.lit("."), F.lit("")), F.repeat(F.lit("0"), zeros)), F.lit("0"))
-
-    def parts(f: Column) -> Column:
-        over, below = f["over"], f["below"]
-        top = digits(over, scale(below))
-        minus = F.length(F.replace(f["signs"], F.lit("+"), F.lit(""))) % 2 == 1
-        return F.struct((minus & (top != "")).alias("minus"), top.alias("top"), digits(below, scale(over)).alias("low"))
-
-    def named(f: Column) -> Column:
-        below = F.when(f[2] == "", F.lit("1")).otherwise(trimmed(f[2]))
-        return _let(F.struct(f[0].alias("signs"), trimmed(f[1]).alias("over"), below.alias("below")), parts)
-
-    return F.when(c.rlike(_RATIONAL), _let(fields, named))
-
-
-def _limbs(digits: Column) -> Column:
-    """Groups of _LIMB digits from the last to the first; none for an empty string."""
-    ends = F.filter(F.sequence(F.lit(0), F.length(digits), F.lit(_LIMB)), lambda i: i < F.length(digits))
-
-    def limb(i: Column) -> Column:
-        stop = F.length(digits) - i
-        start = F.greatest(stop - _LIMB, F.lit(0))
-        return F.substr(digits, start + 1, stop - start).cast("long")
-
-    return F.transform(ends, limb)
-
-
-def _same_product(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Whether a * b = c * d, for whole numbers as digits."""
-
-    def place(x: Column, y: Column, k: Column) -> Column:
-        first = F.greatest(k - F.size(y) + 1, F.lit(0))
-        last = F.least(k, F.size(x) - 1)
-        at = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(at, F.lit(0).cast("long"), lambda total, i: total + F.get(x, i) * F.get(y, k - i))
-
-    def cancels(n: Column) -> Column:
-        places = F.sequence(F.lit(0), F.greatest(F.size(n["a"]) + F.size(n["b"]), F.size(n["c"]) + F.size(n["d"])))
-
-        def carry(s: Column, k: Column) -> Column:
-            left = s["rest"] + place(n["a"], n["b"], k) - place(n["c"], n["d"], k)
-            return _let(left, lambda v: F.struct((s["zero"] & (v % 10**_LIMB == 0)).alias("zero"), ((v - F.pmod(v, F.lit(10**_LIMB).cast("long"))) / 10**_LIMB).cast("long").alias("rest")))
-
-        begin = F.struct(F.lit(True).alias("zero"), F.lit(0).cast("long").alias("rest"))
-        return F.aggregate(places, begin, carry, lambda s: s["zero"] & (s["rest"] == 0))
-
-    return _let(F.struct(*[_limbs(x).alias(n) for x, n in zip((a, b, c, d), "abcd", strict=True)]), cancels)
-
-
-def _short_parts(c: Column) -> tuple[Column, Column]:
-    bare = F.translate(c, "()", "")
-    below = F.when(F.contains(bare, F.lit("/")), F.split_part(bare, F.lit("/"), F.lit(2))).otherwise("1")
-    return F.split_part(bare, F.lit("/"), F.lit(1)).try_cast(_PART), below.try_cast(_PART)
-
-
-def _plain(c: Column) -> Column:
-    return F.when(c.rlike(_THOUSANDS), F.replace(c, F.lit(","), F.lit(""))).otherwise(c)
+@cache
+def _equal_values() -> Callable[[ColumnOrName, ColumnOrName], Column]:
+    """The comparison of `math_equal` on Arrow batches. All it needs goes with it by value."""
+    thousands, rational = re.compile(_THOUSANDS), re.compile(_RATIONAL)
+    exact = decimal.Context(prec=decimal.MAX_PREC, Emax=decimal.MAX_EMAX, Emin=decimal.MIN_EMIN, traps=[decimal.Inexact])
+    number, spaces = decimal.Decimal, PY_WHITESPACE
+
+    def fraction(text: str):
+        """Numerator with its sign, and denominator; None when the text is no number."""
+        found = rational.fullmatch(text)
+        if found is None:
+            return None
+        *signs, top, sign, low = found.group(1, 2, 3, 4, 5)
+        over = number(top)
+        return (over.copy_negate() if (*signs, sign).count("-") % 2 else over), number(low or 1)
+
+    def same(a: str | None, b: str | None) -> bool | None:
+        if a is None or b is None:
+            return None
+        a, b = (x.replace(",", "") if thousands.fullmatch(x) else x for x in (a.strip(spaces), b.strip(spaces)))
+        if a == b:
+            return True
+        x = fraction(a)
+        y = x and fraction(b)
+        if not y or not x[1] or not y[1]:
+            return False
+        return exact.multiply(x[0], y[1]) == exact.multiply(y[0], x[1])
+
+    @F.pandas_udf("boolean")
+    def equal(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([same(x, y) for x, y in zip(a, b, strict=True)], dtype="object")
+
+    return equal
 
 
 def math_equal(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """Equal as text or as exact rationals; NULL only if either side is NULL.
+    """Equal as text or as exact rationals of any number of digits; NULL only if either side is NULL.
 
-    Equal texts settle first, then short numbers, then texts that are no numbers. What is left is
-    compared digit by digit where the denominators are the same, else by the products across. A zero
-    denominator equals nothing but its own text.
+    Numbers are compared by the products across. A zero denominator equals nothing but its own text.
     """
-    def crossed(q: Column) -> Column:
-        x, y = q["a"], q["b"]
-        whole = (x["low"] != "") & (y["low"] != "") & (x["minus"] == y["minus"])
-        same = F.when(x["low"] == y["low"], x["top"] == y["top"]).otherwise(_same_product(x["top"], y["low"], y["top"], x["low"]))
-        return F.coalesce(F.when(whole, same), F.lit(False))
-
-    def by_digits(s: Column) -> Column:
-        rationals = F.struct(_rational(s["a"]).alias("a"), _rational(s["b"]).alias("b"))
-        return (s["a"] == s["b"]) | _let(rationals, crossed)
-
-    def by_value(s: Column) -> Column:
-        left, right = s["a"], s["b"]
-        (top_l, low_l), (top_r, low_r) = _short_parts(left), _short_parts(right)
-        short_equal = (low_l != 0) & (low_r != 0) & (top_l * low_r == top_r * low_l)
-        cleaned = F.struct(_plain(strip(left)).alias("a"), _plain(strip(right)).alias("b"))
-        return (
-            F.when(left.isNull() | right.isNull(), F.lit(None).cast("boolean"))
-            .when(left.rlike(_SHORT_RATIONAL) & right.rlike(_SHORT_RATIONAL), short_equal)
-            .when(~(left.rlike(_NUMERIC) & right.rlike(_NUMERIC)), strip(left) == strip(right))
-            .otherwise(_let(cleaned, by_digits))
-        )
-
-    # One lambda keeps the generated method small enough for the JIT, which skips huge ones.
-    sides = F.struct(_col(a).alias("a"), _col(b).alias("b"))
-    return F.when(_col(a) == _col(b), F.lit(True)).otherwise(_let(sides, by_value))
+    return _equal_values()(_col(a), _col(b))
 
 
 def numeric_correct(answer: ColumnOrName, gold: ColumnOrName) -> Column:
     """The last number of the answer equals the gold number; no number is wrong."""
-    return _let(last_number(answer), lambda n: F.coalesce(math_equal(n, gold), F.lit(False)))
+    return F.coalesce(math_equal(last_number(answer), gold), F.lit(False))
 
 
 def math_correct(answer: ColumnOrName, gold: ColumnOrName) -> Column:
     """Cascade extraction, normalisation of both sides, then rational or text equality."""
-    sides = F.struct(
-        normalize_latex(extract_math_answer(answer)).alias("a"), normalize_latex(gold).alias("b")
-    )
-    return _let(sides, lambda s: F.coalesce(math_equal(s["a"], s["b"]), F.lit(False)))
+    said, right = normalize_latex(extract_math_answer(answer)), normalize_latex(gold)
+    return F.coalesce(math_equal(said, right), F.lit(False))
 
 
 def with_math_correct(df: DataFrame, answer: str = "answer", gold: str = "gold", name: str = "correct") -> DataFrame:
@@ -320,16 +251,13 @@ def with_math_correct(df: DataFrame, answer: str = "answer", gold: str = "gold",
 
 def boxed_equal(answer: ColumnOrName, gold: ColumnOrName) -> Column:
     """Both sides need a box; equal to the whole gold text when rebuilt, or equal as math."""
+    same_math = math_equal(normalize_latex(boxed_nested(answer)), normalize_latex(boxed_nested(gold)))
     boxes = F.struct(boxed_nested(answer).alias("a"), boxed_nested(gold).alias("b"))
 
-    def equal(s: Column) -> Column:
-        rebuilt = F.concat(F.lit("\\boxed{"), s["a"], F.lit("}"))
-        normal = F.struct(normalize_latex(s["a"]).alias("a"), normalize_latex(s["b"]).alias("b"))
-        same_math = _let(normal, lambda n: math_equal(n["a"], n["b"]))
-        both = s["a"].isNotNull() & s["b"].isNotNull()
-        return F.coalesce(both & ((rebuilt == _col(gold)) | same_math), F.lit(False))
+    def rebuilt(s: Column) -> Column:
+        return s["b"].isNotNull() & (F.concat(F.lit("\\boxed{"), s["a"], F.lit("}")) == _col(gold))
 
-    return _let(boxes, equal)
+    return F.coalesce(_let(boxes, rebuilt), F.lit(False)) | F.coalesce(same_math, F.lit(False))
 
 
 def python_block(c: ColumnOrName) -> Column:

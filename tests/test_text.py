@@ -195,3 +195,14 @@ def test_boxes_with_noncharacters(spark):
     rows = [(f"\\boxed{{x{a}y}}", f"x{a}y"), (f"\\boxed{{{b}{{z{a}}}w{c}0}}", f"{b}{{z{a}}}w{c}0"), (f"{a}{b} \\boxed{{{c}1{c}{c}2}}", f"{c}1{c}{c}2"), (f"\\boxed{a}q{b}", None)]
     got = spark.createDataFrame(rows, "answer string, want string").select(T.boxed_nested("answer").alias("got"), "want").collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_math_equal_is_null_for_nulls_only(spark):
+    assert value(spark, T.math_equal, "5\u0085", "5") is True
+
+
+def test_lines_are_dealt_over_all_cores(spark, sf):
+    from rollmill.catalog.text_queries import _spread
+
+    counts = _spread(spark, sf).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(counts) >= spark.sparkContext.defaultParallelism
