@@ -36,6 +36,8 @@ ITEM_BLOCK = 2_000  # items searched for at once
 SEGMENT = 1 << 17  # bytes hashed at once
 RUN_BYTES = 1 << 20
 PROJECTION = 4096  # words projected at once
+FITTED = 1 << 18  # words fitted at once
+SELDOM = 16  # occurrences of a bucket from which on they are summed by bucket, not turn by turn
 STARTS = 256  # passages compared at once
 
 
@@ -158,27 +160,43 @@ def item_sections(run: Run) -> np.ndarray:
     return np.concatenate([np.empty(0, np.int64), *[low + sections(high - low)[:-1] for low, high in zip(run.first, run.first[1:], strict=False) if high > low]])
 
 
+def add_products(sums: np.ndarray, own: np.ndarray, bucket: np.ndarray, begin: np.ndarray, of: np.ndarray) -> None:
+    """Adds to the row of each word's bucket the sum of the rows of `own` over the words of its passage."""
+    seen = np.zeros((len(begin), RANK), np.float32)
+    size = np.diff(begin, append=len(bucket))
+    for i in range(int(size.max())):
+        some = np.flatnonzero(size > i)
+        seen[some] += own[bucket[begin[some] + i]]
+    order = np.argsort(bucket)
+    first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    count, of = np.diff(first, append=len(order)), of[order]
+    total = seen[of[first]]
+    for i in range(1, SELDOM):
+        some = np.flatnonzero((count > i) & (count <= SELDOM))
+        total[some] += seen[of[first[some] + i]]
+    often = np.flatnonzero(count > SELDOM)
+    for k in often.tolist():
+        total[k] = seen[of[first[k] : first[k] + count[k]]].sum(axis=0)
+    sums[bucket[order[first]]] += total
+
+
 def multiplied(texts: DataFrame, cut: Callable[[Run], np.ndarray], scale: float, shared, weight: np.ndarray, text: str) -> DataFrame:
     """(bucket, v0, v1, ...): the TF-IDF passages of all texts times the present basis, and back, summed by task."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value if shared else np.random.default_rng(5).standard_normal((BUCKETS, RANK), np.float32)
         own = own * weight[:, None]
-        sums = np.zeros((BUCKETS, RANK))
+        sums = np.zeros((BUCKETS, RANK), np.float32)
         for batch in batches:
             for run in runs(batch.column(text)):
                 begin, of = cut(run), np.zeros(len(run.bucket), np.int64)
                 of[begin[1:]] = 1
                 np.cumsum(of, out=of)
                 low = 0
-                while low < len(begin):  # whole passages, about PROJECTION words at once
-                    high = max(low + 1, int(np.searchsorted(begin, begin[low] + PROJECTION)))
+                while low < len(begin):  # whole passages, about FITTED words at once
+                    high = max(low + 1, int(np.searchsorted(begin, begin[low] + FITTED)))
                     some = slice(begin[low], begin[high] if high < len(begin) else None)
-                    bucket = run.bucket[some]
-                    seen = np.add.reduceat(own[bucket], begin[low:high] - begin[low], axis=0)
-                    order = np.argsort(bucket)
-                    first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                    sums[bucket[order[first]]] += np.add.reduceat(seen[of[some][order] - low], first, axis=0)
+                    add_products(sums, own, run.bucket[some], begin[low:high] - begin[low], of[some] - low)
                     low = high
         del own
         at = np.flatnonzero(sums.any(axis=1))
