@@ -98,8 +98,8 @@ def generation_record(df: DataFrame) -> DataFrame:
 
 
 def append_generation_log(df: DataFrame, path: str) -> None:
-    """Append scored answers; earlier records are not read back."""
-    generation_record(df).write.mode("append").json(path)
+    """Append scored answers in gzip files; earlier records are not read back."""
+    generation_record(df).write.mode("append").option("compression", "gzip").json(path)
 
 
 def read_generation_log(spark: SparkSession, path: str) -> DataFrame:

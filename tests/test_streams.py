@@ -178,3 +178,15 @@ def test_a_table_in_several_files_is_one_trigger(spark, tmp_path):
             .option("checkpointLocation", f"{tmp_path}/checkpoint-{name}").trigger(availableNow=True).start().awaitTermination()
         )
         assert taken == [30]
+
+
+def test_the_generation_log_is_compressed(spark, tmp_path):
+    from rollmill.sources import logs
+
+    rows = spark.range(2000).select(
+        F.lit("q").alias("question"), F.lit("g").alias("gold"), F.lit("word " * 50).alias("answer"), F.lit(1.0).alias("acc_score"), F.lit(1.0).alias("format_score")
+    )
+    for _ in range(2):
+        logs.append_generation_log(rows.coalesce(1), f"{tmp_path}/log")
+    assert logs.read_generation_log(spark, f"{tmp_path}/log").where(F.col("answer") == "word " * 50).count() == 4000
+    assert sum(f.stat().st_size for f in (tmp_path / "log").glob("part-*")) < 100_000
