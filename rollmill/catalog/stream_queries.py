@@ -67,10 +67,13 @@ def question_pool(spark, sf):
 
 
 def _in_files(spark, rows, label, file):
-    """A stream of the rows from three files, one to a trigger; `file` numbers them from 0."""
+    """A stream of the rows from three files, one to a trigger; `file` numbers them from 0.
+
+    Row groups are small, so that a trigger's tasks share a large file.
+    """
     path = run_dir(spark, label)
     for k in range(3):
-        rows.where(file == k).coalesce(1).write.mode("append").parquet(path)
+        rows.where(file == k).coalesce(1).write.mode("append").option("parquet.block.size", 8 << 20).parquet(path)
     return U.rollout_stream(spark, path, rows.schema, max_files=1)
 
 

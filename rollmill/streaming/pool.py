@@ -1,8 +1,9 @@
 """The question pool as keyed state, and groups drawn from it.
 
-State holds one list of answers per question and nothing else holds them: an upload is appended as one
-element, and a list is cut to its newest answers when it has doubled. What a pool was after a trigger is
-read from the state of that trigger, so there is no log of changes to keep or compact.
+State holds one list of answers per question and nothing else holds them: what a trigger brings of a
+question is appended as one element, and a list is cut to its newest answers, one element again, when it
+has doubled. What a pool was after a trigger is read from the state of that trigger, so there is no log
+of changes to keep or compact.
 """
 
 from __future__ import annotations
@@ -22,17 +23,13 @@ MIN_TOTAL = 60
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_ANSWER = T.StructType().add("answer", "string").add("reward", "double").add("arrival", "long")
-_COUNT = T.StructType().add("received", "long").add("held", "long")
-POOL = (
-    T.StructType()
-    .add("q", "string")
-    .add("answers", T.ArrayType(T.StringType()))
-    .add("rewards", T.ArrayType(T.DoubleType()))
-    .add("arrivals", T.ArrayType(T.LongType()))
-    .add("received", "long")
-    .add("fresh", "long")
-)
+_ANSWERS = [
+    T.StructField("answers", T.ArrayType(T.StringType())),
+    T.StructField("rewards", T.ArrayType(T.DoubleType())),
+    T.StructField("arrivals", T.ArrayType(T.LongType())),
+]
+_PART = T.StructType([*_ANSWERS, T.StructField("received", T.LongType())])  # `received` counts those cut as well
+POOL = T.StructType([T.StructField("q", T.StringType()), *_PART]).add("fresh", "long")
 
 
 def _newest_per_question(n: int):
@@ -54,11 +51,13 @@ def _newest_per_question(n: int):
 
 
 def _processor(n: int) -> StatefulProcessor:
-    """Appends a trigger's answers to the question's list and emits the pool.
+    """Appends a trigger's answers to the question's list, as one element, and emits the pool.
 
-    All it needs is defined here: Spark sends it by value, also to a process that cannot import this module.
+    Each call of the state is a message to another process and costs far more than the answers it moves,
+    so one list holds all: a question is read once and written once. All it needs is defined here: Spark
+    sends it by value, also to a process that cannot import this module.
     """
-    answer, numbers = _ANSWER, _COUNT
+    part = _PART
 
     def newest(answers: list[tuple]) -> list[tuple]:
         """Oldest first; equal arrivals by their text and reward."""
@@ -66,8 +65,7 @@ def _processor(n: int) -> StatefulProcessor:
 
     class Pool(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.answers = handle.getListState("answers", answer)
-            self.count = handle.getValueState("count", numbers)
+            self.answers = handle.getListState("answers", part)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
             new, fresh = [], 0
@@ -76,16 +74,18 @@ def _processor(n: int) -> StatefulProcessor:
                 new.append((r.answer, r.reward, r.arrival))
                 if len(new) > 2 * n:  # a hot question sends `n` rows for each batch of its uploads
                     new = newest(new)
-            received, held = self.count.get() if self.count.exists() else (0, 0)
-            self.answers.appendList(new)
-            held += len(new)
-            pool = newest([tuple(a) for a in self.answers.get()])
-            if held > 2 * n:
-                self.answers.put(pool)
-                held = len(pool)
-            self.count.update((received + fresh, held))
-            answers, rewards, arrivals = (list(c) for c in zip(*pool))
-            yield Row(q=key[0], answers=answers, rewards=rewards, arrivals=arrivals, received=received + fresh, fresh=fresh)
+            new, old, received = newest(new), [], fresh
+            for *several, came in self.answers.get():
+                old += zip(*several)
+                received += came
+            pool = newest(old + new)
+            columns = list(map(list, zip(*pool)))
+            if len(old) + len(new) > 2 * n:
+                self.answers.put([(*columns, received)])
+            else:
+                self.answers.appendValue((*map(list, zip(*new)), fresh))
+            answers, rewards, arrivals = columns
+            yield Row(q=key[0], answers=answers, rewards=rewards, arrivals=arrivals, received=received, fresh=fresh)
 
         def close(self) -> None:
             pass
@@ -136,12 +136,13 @@ def pooled_answers(spark: SparkSession, checkpoint: str, n: int = POOL_SIZE, tri
     Read from the state itself, each question where it lies; one row per answer.
     """
     rows = _state(spark, checkpoint, "answers", trigger)
-    return keep_last(rows.select("key.q", "list_element.*"), n)
+    return keep_last(pool_rows(rows.select("key.q", "list_element.*")), n)
 
 
 def received_answers(spark: SparkSession, checkpoint: str, trigger: int | None = None) -> DataFrame:
     """How many answers of each question came in up to a trigger, the last one by default."""
-    return _state(spark, checkpoint, "count", trigger).select("key.q", "value.received")
+    rows = _state(spark, checkpoint, "answers", trigger)
+    return rows.groupBy("key.q").agg(F.sum("list_element.received").alias("received"))
 
 
 def _started(stream: DataFrame, sink, checkpoint: str, trigger: dict | None) -> StreamingQuery:

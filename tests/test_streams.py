@@ -41,6 +41,32 @@ def test_pool_over_several_triggers(spark, folder):
     assert max(r["count"] for r in held) <= 20
 
 
+def test_a_trigger_adds_one_element_to_a_pool(spark, folder):
+    """Each element is a message to Python and back, so their number must not be that of the answers."""
+    pool.pool_stream(U.rollout_stream(spark, f"{folder}/in", max_files=1), f"{folder}/ckpt", 100).awaitTermination()
+    held = pool._state(spark, f"{folder}/ckpt", "answers", None).groupBy("key").count().collect()
+    assert {r["count"] for r in held} == {4}
+    assert sum(r.received for r in pool.received_answers(spark, f"{folder}/ckpt").collect()) == len(ROWS)
+    got = pool.pooled_answers(spark, f"{folder}/ckpt").select("q", "answer", "reward", "arrival")
+    assert sorted(map(tuple, got.collect())) == sorted(r[:4] for r in ROWS)
+
+
+def test_a_trigger_of_one_file_is_shared_by_tasks(spark):
+    from rollmill.catalog import stream_queries
+
+    rows = spark.range(3_000_000).select(F.xxhash64("id").cast("string").alias("q"), F.col("id").alias("arrival"))
+    stream = stream_queries._in_files(spark, rows, "row-groups", F.when(F.col("arrival") < 2_900_000, 0).otherwise(F.col("arrival") % 2 + 1))
+    path = f"{run_dir(spark, 'row-groups')}"
+    seen = {}
+
+    def sizes(part, batch):
+        seen[batch] = [r["count"] for r in part.groupBy(F.spark_partition_id()).count().collect()]
+
+    stream.writeStream.foreachBatch(sizes).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+    assert [sum(seen[k]) for k in range(3)] == [2_900_000, 50_000, 50_000]
+    assert len(seen[0]) > 1 and max(seen[0]) < 2_000_000
+
+
 def test_unchanged_pools_are_drawn_again(spark):
     path = run_dir(spark, "unchanged")
     drop(spark, path, [("still", f"s{i}", float(i), i, None) for i in range(9)])
