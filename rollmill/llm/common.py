@@ -26,7 +26,7 @@ from rollmill.session import run_dir, written
 
 __all__ = [
     "BLOCK_BYTES", "blocks", "counted_rows", "documents", "group_value", "held_out", "labelled_sample", "numbered",
-    "numbered_blocks", "run_dir", "shielded", "side_rows", "store_side", "table", "written",
+    "numbered_blocks", "run_dir", "shielded", "side_rows", "store_side", "stored", "table", "written",
 ]
 
 BLOCK_BYTES = 12 << 20
@@ -57,7 +57,8 @@ def shielded(docs: DataFrame, *reserved: str) -> tuple[DataFrame, dict[str, str]
     return docs.withColumnsRenamed({old: new for new, old in back.items()}), back
 
 
-def _copy(docs: DataFrame, label: str) -> DataFrame:
+def stored(docs: DataFrame, label: str) -> DataFrame:
+    """The same rows from a table in the shared folder, tightly compressed."""
     path = run_dir(docs.sparkSession, label)
     docs.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(docs.schema).parquet(path)
@@ -65,7 +66,7 @@ def _copy(docs: DataFrame, label: str) -> DataFrame:
 
 def numbered(docs: DataFrame, label: str, number: str = "_uid") -> DataFrame:
     """A stored copy of the rows, each with a number that no other has; a column of that name is replaced."""
-    return _copy(docs.withColumn(number, F.monotonically_increasing_id()), label)
+    return stored(docs.withColumn(number, F.monotonically_increasing_id()), label)
 
 
 def numbered_blocks(docs: DataFrame, text: str, label: str, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -84,7 +85,7 @@ def numbered_blocks(docs: DataFrame, text: str, label: str, limit: int = BLOCK_B
                     block, size = block + 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], [*batch.schema.names, "_block"])
 
-    return _copy(docs.mapInArrow(cut, schema), label)
+    return stored(docs.mapInArrow(cut, schema), label)
 
 
 def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -199,8 +200,8 @@ def counted_rows(rows: DataFrame, count: Callable[[str | None], tuple[np.ndarray
                     size = pa.array([p.shape[1] for p in parts], pa.int64())
                     yield pa.RecordBatch.from_arrays([*own, pa.array(pieces), size, pa.array([p.tobytes() for p in parts])], names)
 
-    stored = written(rows.mapInArrow(run, "_key long, _label int, piece int, size long, data binary"), label)
-    sizes = stored.groupBy("_key").agg(F.max("_label").alias("_label"), F.sum("size").alias("size"))
+    counted = written(rows.mapInArrow(run, "_key long, _label int, piece int, size long, data binary"), label)
+    sizes = counted.groupBy("_key").agg(F.max("_label").alias("_label"), F.sum("size").alias("size"))
     so_far = sizes.withColumn("_so_far", F.sum("size").over(Window.orderBy("_key")))  # three numbers a row of the sample
     slim = so_far.where(F.col("_so_far") <= most).orderBy("_key").toArrow()
     keys, labels, sizes = (slim.column(c).to_numpy() for c in ("_key", "_label", "size"))
@@ -211,7 +212,7 @@ def counted_rows(rows: DataFrame, count: Callable[[str | None], tuple[np.ndarray
     first = 0
     while first < len(keys):
         last = max(int(np.searchsorted(ends, starts[first] + FETCH, "right")), first + 1)
-        part = stored.where(F.col("_key").between(int(keys[first]), int(keys[last - 1]))).select("_key", "piece", "data").toArrow()
+        part = counted.where(F.col("_key").between(int(keys[first]), int(keys[last - 1]))).select("_key", "piece", "data").toArrow()
         for batch in part.to_batches():
             places = starts[np.searchsorted(keys, batch.column("_key").to_numpy())] + batch.column("piece").to_numpy().astype(np.int64) * PIECE
             for place, data in zip(places, batch.column("data"), strict=True):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.llm.common import documents, table, written
+from rollmill.llm.common import documents, stored, table, written
 
 WORD = re.compile(r"\w+")
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS  # hashed terms
 RANK = 48
-COLUMNS = [f"v{i}" for i in range(RANK)]
 CHUNK = 16  # words; passages start at chunks
 PASSAGES = (1, 2, 4)  # chunks in a passage
 GAP = PASSAGES[-1]  # empty chunks between texts: what the longest passage reaches beyond its start
@@ -37,6 +36,9 @@ SEGMENT = 1 << 17  # bytes hashed at once
 RUN_BYTES = 1 << 20
 PROJECTION = 4096  # words projected at once
 FITTED = 1 << 18  # words fitted at once
+KEPT = 1 << 10  # words of a stored row, or as many as its last passage ends with
+BEGINS = 1 << BUCKET_BITS  # marks the stored bucket of a word that begins a passage
+SUMMED = 1 << 9  # buckets whose products move together
 SELDOM = 16  # occurrences of a bucket from which on they are summed by bucket, not turn by turn
 STARTS = 256  # passages compared at once
 
@@ -122,26 +124,63 @@ def runs(column: pa.Array) -> Iterator[Run]:
             held, size = [], 0
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int, int]:
-    """In how many of all documents each bucket occurs, the number of documents and of passages of the fit."""
+def kept_words(run: Run, begin: np.ndarray) -> Iterator[bytes]:
+    """The buckets of a run's words, in rows of about KEPT words that end with a passage; `begin` has the first word of each."""
+    words = run.bucket.astype("<i4")
+    words[begin] |= BEGINS
+    low = 0
+    while low < len(begin):
+        high = max(low + 1, int(np.searchsorted(begin, begin[low] + KEPT)))
+        yield words[begin[low] : begin[high] if high < len(begin) else None].tobytes()
+        low = high
+
+
+def words_and_frequencies(docs: DataFrame, text: str = "text") -> tuple[DataFrame, np.ndarray, int, int]:
+    """`words`, what `kept_words` makes of all texts, read from a stored table; in how many of all documents
+    each bucket occurs, the number of documents and of passages of the fit.
+
+    Texts are cut into words once; the passes of the fit read the stored buckets.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, passages = np.zeros(BUCKETS, np.int64), 0, 0
+        held, n, total = np.zeros(BUCKETS, np.int64), 0, 0
         for batch in batches:
             for run in runs(batch.column(text)):
                 once = np.unique(run.text_of_words() * BUCKETS + run.bucket)
                 held += np.bincount(once % BUCKETS, minlength=BUCKETS)
-                passages += int((-(-np.diff(run.first) // FIT)).sum())
+                begin = passages(run)
+                total += len(begin)
+                if rows := list(kept_words(run, begin)):
+                    none = pa.nulls(len(rows), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(rows, pa.binary())], ["bucket", "n", "words"])
             n += batch.num_rows
         at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, at]), pa.array(np.r_[passages, n, held[at]])], ["bucket", "n"])
+        bucket, sums = pa.array(np.r_[-2, -1, at]), pa.array(np.r_[total, n, held[at]])
+        yield pa.RecordBatch.from_arrays([bucket, sums, pa.nulls(len(bucket), pa.binary())], ["bucket", "n", "words"])
 
+    both = stored(docs.select(text).mapInArrow(count, "bucket long, n long, words binary"), "words")
     # a row for each bucket at most
-    sums = docs.select(text).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = both.where("words is null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = sums.column("bucket").to_numpy(), sums.column("n").to_numpy()
     frequency = np.zeros(BUCKETS, np.int64)
     frequency[bucket[bucket >= 0]] = n[bucket >= 0]
-    return frequency, int(n[bucket == -1].sum()), int(n[bucket == -2].sum())
+    return both.where("words is not null").select("words"), frequency, int(n[bucket == -1].sum()), int(n[bucket == -2].sum())
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """`words` of the items' sections, as in `words_and_frequencies`."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in runs(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(list(kept_words(run, item_sections(run))), pa.binary())], ["words"])
+
+    return items.select("text").mapInArrow(cut, "words binary")
+
+
+def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int, int]:
+    """In how many of all documents each bucket occurs, the number of documents and of passages of the fit."""
+    return words_and_frequencies(docs, text)[1:]
 
 
 def idf(frequency: np.ndarray, total: int) -> np.ndarray:
@@ -180,55 +219,78 @@ def add_products(sums: np.ndarray, own: np.ndarray, bucket: np.ndarray, begin: n
     sums[bucket[order[first]]] += total
 
 
-def multiplied(texts: DataFrame, cut: Callable[[Run], np.ndarray], scale: float, shared, weight: np.ndarray, text: str) -> DataFrame:
-    """(bucket, v0, v1, ...): the TF-IDF passages of all texts times the present basis, and back, summed by task."""
+def multiplied(words: DataFrame, scale: float, shared, weight: np.ndarray) -> DataFrame:
+    """(part, at, sums): the TF-IDF passages of all rows of `kept_words` times the present basis, and back, summed by task.
+
+    A row has the buckets of its part that occur, 32 bits each, and their RANK sums, in single precision.
+    """
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value if shared else np.random.default_rng(5).standard_normal((BUCKETS, RANK), np.float32)
         own = own * weight[:, None]
         sums = np.zeros((BUCKETS, RANK), np.float32)
         for batch in batches:
-            for run in runs(batch.column(text)):
-                begin, of = cut(run), np.zeros(len(run.bucket), np.int64)
-                of[begin[1:]] = 1
-                np.cumsum(of, out=of)
-                low = 0
-                while low < len(begin):  # whole passages, about FITTED words at once
-                    high = max(low + 1, int(np.searchsorted(begin, begin[low] + FITTED)))
-                    some = slice(begin[low], begin[high] if high < len(begin) else None)
-                    add_products(sums, own, run.bucket[some], begin[low:high] - begin[low], of[some] - low)
-                    low = high
+            held, size = [], 0
+            for i, row in enumerate(batch.column("words"), 1):
+                held.append(np.frombuffer(row.as_buffer(), "<i4"))
+                size += len(held[-1])
+                if size >= FITTED or i == batch.num_rows:
+                    marked = np.concatenate(held)
+                    of = np.cumsum(marked >= BEGINS) - 1
+                    add_products(sums, own, marked & (BUCKETS - 1), np.flatnonzero(marked >= BEGINS), of)
+                    held, size = [], 0
         del own
-        at = np.flatnonzero(sums.any(axis=1))
-        for low in range(0, len(at), PROJECTION):
-            some = at[low : low + PROJECTION]
-            matrix = (sums[some] * weight[some, None] * scale).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(some), *map(pa.array, matrix.T.copy())], ["bucket", *COLUMNS])
+        some = sums.any(axis=1)
+        for low in range(0, BUCKETS, SUMMED):
+            at = low + np.flatnonzero(some[low : low + SUMMED])
+            if len(at):
+                matrix = (sums[at] * weight[at, None] * scale).astype("<f4")
+                row = [pa.array([low // SUMMED], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype("<i4"), matrix))]
+                yield pa.RecordBatch.from_arrays(row, ["part", "at", "sums"])
+
+    return words.mapInArrow(multiply, "part int, at binary, sums binary")
 
-    return texts.select(text).mapInArrow(multiply, "bucket long, " + ", ".join(f"{c} float" for c in COLUMNS))
 
+def products(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the rows of a part and the sums of their products."""
+    at = [np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("at")]
+    bucket, place = np.unique(np.concatenate(at), return_inverse=True)
+    total, low = np.zeros((len(bucket), RANK)), 0
+    for some, x in zip(at, rows.column("sums"), strict=True):
+        total[place[low : low + len(some)]] += np.frombuffer(x.as_buffer(), "<f4").reshape(-1, RANK)
+        low += len(some)
+    return bucket, total.astype("<f4")
 
-def latent_space(docs: DataFrame, items: DataFrame, weight: np.ndarray, n_passages: int, text: str = "text") -> np.ndarray:
+
+def latent_space(docs: DataFrame, items: DataFrame, weight: np.ndarray, n_passages: int, text: str = "text", words: DataFrame | None = None) -> np.ndarray:
     """Right singular vectors of the TF-IDF passages, by randomised subspace iteration; buckets x RANK.
 
     The passages are the items' sections and all passages of all texts, which together weigh as much as
     CORPUS passages at most. Each task multiplies its passages with the present basis and back; the
     products of a bucket are summed before and after the shuffle, and the driver orthogonalises a matrix
-    of BUCKETS x RANK numbers. A core has one task, so that the sums do not grow with the input.
+    of BUCKETS x RANK numbers. A core has one task, so that the sums do not grow with the input; they move
+    in rows of SUMMED buckets, four bytes a number, and a group holds one such row of each task. `words`
+    are those of the texts, if they are stored already.
     """
     spark = docs.sparkSession
-    docs = docs.coalesce(spark.sparkContext.defaultParallelism)
+    words = words_and_frequencies(docs, text)[0] if words is None else words
+    words = words.coalesce(spark.sparkContext.defaultParallelism)
+
+    def add(rows: pa.Table) -> pa.Table:
+        part, (bucket, total) = rows.column("part")[:1], products(rows)
+        return pa.table([part, *(pa.array([x.tobytes()], pa.binary()) for x in (bucket.astype("<i4"), total))], ["part", "at", "sums"])
+
     basis = None  # the first one is random; each task draws it from the seed
     for _ in range(2):
         shared = None if basis is None else spark.sparkContext.broadcast(basis)  # BUCKETS x RANK numbers
-        corpus = multiplied(docs, passages, min(1.0, CORPUS / max(n_passages, 1)), shared, weight, text)
-        asked = multiplied(items, item_sections, ITEM_WEIGHT**2, shared, weight, "text")
-        total = corpus.unionByName(asked).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in COLUMNS]).toArrow()
+        corpus = multiplied(words, min(1.0, CORPUS / max(n_passages, 1)), shared, weight)
+        asked = multiplied(item_words(items), ITEM_WEIGHT**2, shared, weight)
+        total = corpus.unionByName(asked).groupBy("part").applyInArrow(add, "part int, at binary, sums binary").toArrow()
         if shared:
             shared.destroy()
-        product, at = np.zeros((BUCKETS, RANK), np.float32), total.column("bucket").to_numpy()
-        for i, c in enumerate(COLUMNS):
-            product[at, i] = total.column(c).to_numpy()
+        product = np.zeros((BUCKETS, RANK), np.float32)
+        for at, sums in zip(total.column("at"), total.column("sums"), strict=True):
+            product[np.frombuffer(at.as_buffer(), "<i4")] = np.frombuffer(sums.as_buffer(), "<f4").reshape(-1, RANK)
         del total
         basis = orthogonal(product)
         pa.default_memory_pool().release_unused()
@@ -442,10 +504,10 @@ def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
     item with several passages the best counts. A column named leaks is replaced. No rows give no rows.
     """
     docs = docs.drop("leaks")
-    frequency, total, n_passages = document_frequencies(docs, text)
+    words, frequency, total, n_passages = words_and_frequencies(docs, text)
     weight = idf(frequency, total)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike(r"\w"))
-    basis = latent_space(docs, items, weight, n_passages, text)
+    basis = latent_space(docs, items, weight, n_passages, text, words)
     numbered = written(items.orderBy("item_id", "text").withColumn("_n", F.monotonically_increasing_id()), "items")
     listed = numbered.orderBy("_n").toArrow()
     schema = T.StructType([*docs.schema.fields, T.StructField("leaks", LEAKS)])

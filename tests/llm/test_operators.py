@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,3 +322,36 @@ def test_pipeline_runs(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "benchmark", "personal_data", "tokens"]
     done = corpus_pipeline.run(spark, sf).toPandas()
     assert 0 < len(done) < spark.read.parquet(f"{sf}/documents.parquet").count() and done.round_trip.all()
+
+
+def test_texts_are_cut_into_words_once_for_the_fit(spark, monkeypatch):
+    """The passes of the fit read stored buckets: passages, their words and frequencies are those of the texts."""
+    texts = [None, "", "one two " * 5_000, "Three, four! " * 20, "a", *[f"word{i} and word{i % 7}" for i in range(3_000)]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    words, frequency, total, n_passages = decontamination.words_and_frequencies(docs)
+    rows = [np.frombuffer(r.words, "<i4") for r in words.collect()]
+    own = [decontamination.words_at(decontamination.plain(t))[2] for t in texts]
+    assert total == len(texts) and n_passages == sum(-(-len(w) // decontamination.FIT) for w in own)
+    want = np.zeros(decontamination.BUCKETS, np.int64)
+    for w in own:
+        want[np.unique(w)] += 1
+    assert (frequency == want).all()
+    found = sorted(tuple(p) for r in rows for p in np.split(r & (decontamination.BUCKETS - 1), np.flatnonzero(r >= decontamination.BEGINS)[1:]))
+    assert found == sorted(tuple(w[i : i + decontamination.FIT]) for w in own for i in range(0, len(w), decontamination.FIT))
+    assert max(map(len, rows)) < decontamination.KEPT + decontamination.FIT
+    # the fit without tokenising: the texts are not read again
+    items = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    weight = decontamination.idf(frequency, total)
+    plain = decontamination.latent_space(docs, items, weight, n_passages)
+    unread = decontamination.latent_space(docs.where("raise_error('read') is null"), items, weight, n_passages, words=words)
+    assert np.allclose(np.abs(plain.T @ unread).sum(), np.abs(plain.T @ plain).sum(), atol=1e-3)
+
+
+def test_products_of_a_part_are_summed_by_bucket():
+    rng = np.random.default_rng(1)
+    at = [np.array(x, "<i4") for x in ([3, 5, 9], [5], [0, 9])]
+    sums = [rng.random((len(x), decontamination.RANK)).astype("<f4") for x in at]
+    rows = pa.table({"part": [0] * 3, "at": [x.tobytes() for x in at], "sums": [x.tobytes() for x in sums]})
+    bucket, total = decontamination.products(rows)
+    assert bucket.tolist() == [0, 3, 5, 9]
+    assert np.allclose(total, [sums[2][0], sums[0][0], sums[0][1] + sums[1][0], sums[0][2] + sums[2][1]])
