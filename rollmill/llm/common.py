@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from rollmill.session import run_dir, written
 
 __all__ = [
-    "BLOCK_BYTES", "blocks", "counted_rows", "documents", "group_value", "held_out", "labelled_sample", "numbered",
+    "BLOCK_BYTES", "block_folders", "blocks", "counted_rows", "documents", "group_value", "held_out", "labelled_sample", "numbered",
     "numbered_blocks", "run_dir", "shielded", "side_rows", "store_side", "stored", "table", "written",
 ]
 
@@ -69,8 +69,8 @@ def numbered(docs: DataFrame, label: str, number: str = "_uid") -> DataFrame:
     return stored(docs.withColumn(number, F.monotonically_increasing_id()), label)
 
 
-def numbered_blocks(docs: DataFrame, text: str, label: str, limit: int = BLOCK_BYTES) -> DataFrame:
-    """A stored copy of the rows with `_block`; a block ends with the row whose text passes `limit` bytes."""
+def _with_blocks(docs: DataFrame, text: str, limit: int) -> DataFrame:
+    """The rows with `_block`; a block ends with the row whose text passes `limit` bytes."""
     schema = T.StructType([*docs.schema.fields, T.StructField("_block", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +85,20 @@ def numbered_blocks(docs: DataFrame, text: str, label: str, limit: int = BLOCK_B
                     block, size = block + 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], [*batch.schema.names, "_block"])
 
-    return stored(docs.mapInArrow(cut, schema), label)
+    return docs.mapInArrow(cut, schema)
+
+
+def numbered_blocks(docs: DataFrame, text: str, label: str, limit: int = BLOCK_BYTES) -> DataFrame:
+    """A stored copy of the rows with `_block`; a block ends with the row whose text passes `limit` bytes."""
+    return stored(_with_blocks(docs, text, limit), label)
+
+
+def block_folders(docs: DataFrame, text: str, label: str, limit: int) -> tuple[DataFrame, str]:
+    """The same with a folder per block, and the path: whoever needs a block whole reads its folder."""
+    numbered = _with_blocks(docs, text, limit)
+    path = run_dir(docs.sparkSession, label)
+    numbered.write.option("compression", "zstd").partitionBy("_block").parquet(path)
+    return docs.sparkSession.read.schema(numbered.schema).parquet(path), path
 
 
 def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -116,16 +129,16 @@ def store_side(side: DataFrame, label: str) -> str:
     return path
 
 
-def side_rows(path: str, block: int) -> pa.Table | None:
-    """What `store_side` holds for a block; None where it holds nothing."""
+def side_rows(path: str, block: int, number: str = "block", columns: list[str] | None = None) -> pa.Table | None:
+    """What `store_side` holds for a block, or with `_block` `block_folders`; None where it holds nothing."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(path)
-    folder = f"{root}/block={block}"
+    folder = f"{root}/{number}={block}"
     if store.get_file_info(folder).type == fs.FileType.NotFound:
         return None
-    return pq.ParquetDataset(folder, filesystem=store, partitioning=None).read()
+    return pq.ParquetDataset(folder, filesystem=store, partitioning=None).read(columns)
 
 
 def group_value(rows: DataFrame, by: list[str], spread: Column, **values: tuple[str, Column]) -> DataFrame:

@@ -1,30 +1,32 @@
-"""SentencePiece encoding and decoding: a relational lattice over the distinct words.
+"""SentencePiece encoding and decoding: a lattice over the distinct words of the corpus.
 
 A word is a run of blanks and what follows it up to the next blank; no piece goes beyond that, so words
-are encoded on their own. Each block of texts names its distinct words once. The distinct words of the
-corpus are cut into substrings of bounded length, these meet the piece table in an equi-join, the edges
-that match are grouped by word, and Viterbi's recursion runs as a fold over the positions. The ids come
-back to the blocks that have the word, and a second scan replaces words by ids; texts never move.
+are encoded on their own. Each block of texts names its distinct words once, and equal words of all blocks
+meet in one task. There the distinct ones are cut into substrings of bounded length, these meet the piece
+table in an equi-join, and Viterbi's recursion runs as a fold over the places of all words together. What
+comes back to the blocks that have the word is a bit for each place where a piece of its path ends; a second
+scan takes the same words from the texts again and replaces them by ids. Texts never move, and words move once.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import batched
+from itertools import batched, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.llm.common import BLOCKS_PER_PARTITION, blocks, documents, numbered_blocks, shielded, side_rows, store_side
+from rollmill.llm.common import BLOCKS_PER_PARTITION, block_folders, blocks, documents, shielded, side_rows, store_side
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -34,8 +36,10 @@ STRETCH = 1 << 16  # code points split at once
 LONGEST = 64  # code points of a word in the table; longer ones are folded where they stand
 BLOCK = 6 << 20  # bytes of text whose words and paths a task holds together
 END = "\0"  # between the words of a lane
-LANES = 1 << 12  # that the words of a block are dealt into
+LANES = 1 << 10  # that the words of a block are dealt into
 TOGETHER = 1 << 10  # input partitions whose words meet
+MEET = 1 << 20  # bytes of words, compressed and in whole lanes, that a task compares at once
+CHARACTERS = 1 << 18  # code points of the words whose substrings a task holds together
 UNKNOWN = 0
 PENALTY = 10.0  # what an unknown character costs beyond the worst piece
 
@@ -79,6 +83,11 @@ class Vocabulary:
             done[i] = bytes([b])
         return done
 
+    @cached_property
+    def packed(self) -> dict[str, bytes]:
+        """The bytes of each piece's id."""
+        return {p: i.to_bytes(4, "little") for p, (i, _) in self.known.items()}
+
     def lattice_text(self, word: str) -> str:
         """The word as pieces spell it; a literal blank mark becomes a character that no piece has."""
         return word.replace(BLANK, "￿").replace(" ", BLANK)
@@ -90,6 +99,17 @@ class Vocabulary:
             ids += [i] if i != UNKNOWN else [self.byte_ids[b] for b in word[start].encode("utf-8", "surrogatepass")]
         return ids
 
+    def joined(self, word: str, ends: int) -> bytes:
+        """The bytes of the ids of a word whose pieces end at the bits of `ends` and at its end."""
+        text, packed, start, ids = self.lattice_text(word), self.packed, 0, b""
+        while start < len(text):
+            low = ends & -ends
+            end = low.bit_length() - 1 if low else len(text)
+            own = packed.get(text[start:end])
+            ids += b"".join(self.byte_ids[b].to_bytes(4, "little") for b in word[start].encode("utf-8", "surrogatepass")) if own is None else own
+            ends, start = ends ^ low, end
+        return ids
+
     def best_path(self, word: str) -> list[tuple[int, int]]:
         """(start, id) of the best path through one word; of equal ones that with the longest last piece."""
         text, known, reach = self.lattice_text(word), self.known, self.longest
@@ -161,67 +181,54 @@ def dealt(texts: pa.ChunkedArray) -> dict[int, list[str]]:
     return lanes
 
 
-def viterbi(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """`lane`, `word`, `at` and `path` of each row of `lane`, `word` and `at`; words of bounded length.
+def viterbi(words: pa.Array, vocabulary: Vocabulary) -> np.ndarray:
+    """For each word of at most 64 code points the bits of the places, from 1, where a piece of its best path ends.
 
-    A path is an array of ids; an unknown character at place i, from 0, stands as -1 - i. Rows dealt by
-    lane are not shuffled again. `at` may be any list: it goes with one row of the word, not with each
-    substring.
+    The end of the word is left out. Words of like length are taken together.
     """
-    spark = words.sparkSession
-    table = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in vocabulary.known.items()], "piece string, id int, score double")
-    spelled = F.translate(F.translate("word", BLANK, "￿"), " ", BLANK)
-    # words get numbers, so that their edges, which come in a row, are grouped by a short key; end 0 is the row that carries `word` and `at`
-    spelt = words.select(F.monotonically_increasing_id().alias("no"), "lane", "word", "at", spelled.alias("_text"))
-    ends = spelt.select("*", F.explode(F.sequence(F.lit(0), F.length("_text"))).alias("end"))
-    ends = ends.withColumns({c: F.when(F.col("end") == 0, F.col(c)) for c in ("word", "at")})
-    least = F.when(F.col("end") == 0, -1).otherwise(F.greatest(F.lit(0), F.col("end") - vocabulary.longest))
-    starts = ends.select("*", F.explode(F.sequence(least, F.col("end") - 1)).alias("start"))
-    cut = starts.withColumn("piece", F.when(F.col("end") > 0, F.expr("substring(_text, start + 1, end - start)"))).drop("_text")
-    # the vocabulary file bounds the piece table
-    edges = cut.join(F.broadcast(table), "piece", "left").where("id is not null or end - start = 1")
-    edge = F.struct("end", "start", F.coalesce("id", F.lit(UNKNOWN)).alias("id"), F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"))
-    lattice = edges.groupBy("no", "lane").agg(
-        F.sort_array(F.collect_list(F.when(F.col("end") > 0, edge))).alias("edges"),
-        F.first("word", ignorenulls=True).alias("word"),
-        F.first("at", ignorenulls=True).alias("at"),
-    )
-    node = "struct<score:double,start:int,id:int>"
-
-    def follow(s: Column, e: Column) -> Column:
-        """`done` has the best node of each place before `end`, `top` the best one at `end` so far."""
-        opens = e["end"] > s["end"]
-        before = F.when(e["start"] == s["end"], s["top"]["score"]).otherwise(F.get(s["done"], e["start"])["score"])
-        score = before + e["score"]
+    texts = pc.replace_substring(pc.replace_substring(words, BLANK, "￿"), " ", BLANK)
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    part = np.cumsum(sizes[order]) // CHARACTERS
+    done = np.zeros(len(words), np.uint64)
+    for few in np.split(order, np.flatnonzero(part[1:] != part[:-1]) + 1):
+        if len(few):
+            done[few] = follow(texts.take(pa.array(few)), sizes[few], vocabulary)
+    return done
+
+
+def follow(texts: pa.Array, sizes: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """The bits that `viterbi` gives, for words as pieces spell them, the longest first."""
+    most, n = int(sizes[0]), len(texts)
+    live = np.searchsorted(-sizes, -np.arange(most + 1), "right").tolist()  # words that reach a place
+    spans = [(start, end) for end in range(1, most + 1) for start in range(max(0, end - vocabulary.longest), end)]
+    cut = pa.chunked_array([pc.utf8_slice_codeunits(texts.slice(0, live[end]), start, end) for start, end in spans])
+    # the equi-join of substrings and pieces; what no piece equals is no edge, unless it is one character
+    table = pa.array(list(vocabulary.known))
+    scores = np.array([s for _, s in vocabulary.known.values()] + [-np.inf])
+    edges = pc.fill_null(pc.index_in(cut, table), len(table)).to_numpy()
+    best, came = np.zeros((most + 1, n)), np.zeros((most + 1, n), np.int64)
+    first = 0
+    for start, end in spans:
+        score = scores[edges[first : first + live[end]]]
+        first += live[end]
+        if end - start == 1:
+            score[np.isinf(score)] = vocabulary.unknown_score
+        score += best[start, : live[end]]
+        top, origin = best[end, : live[end]], came[end, : live[end]]
         # edges come by start: a later, shorter piece must be better, not as good
-        taken = F.struct(score.alias("score"), e["start"].alias("start"), e["id"].alias("id"))
-        return F.struct(
-            F.when(opens, F.concat(s["done"], F.array(s["top"]))).otherwise(s["done"]).alias("done"),
-            e["end"].alias("end"),
-            F.when(opens | (score > s["top"]["score"]), taken).otherwise(s["top"]).alias("top"),
-        )
-
-    nothing = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("id"))
-    begin = F.struct(F.array().cast(f"array<{node}>").alias("done"), F.lit(0).alias("end"), nothing.alias("top"))
-    begin = begin.cast(f"struct<done:array<{node}>,end:int,top:{node}>")
-    best = F.aggregate("edges", begin, follow, lambda s: F.concat(s["done"], F.array(s["top"])))
-    found = lattice.select("lane", "word", "at", best.alias("best"))
-    path = F.aggregate(
-        F.sequence(F.lit(1), F.size("best") - 1),
-        F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("path")),
-        lambda a, _: F.when(
-            a["at"] > 0,
-            F.struct(
-                F.get("best", a["at"])["start"].alias("at"),
-                F.concat(
-                    F.array(F.when(F.get("best", a["at"])["id"] == UNKNOWN, -1 - F.get("best", a["at"])["start"]).otherwise(F.get("best", a["at"])["id"])),
-                    a["path"],
-                ).alias("path"),
-            ),
-        ).otherwise(a),
-        lambda a: a["path"],
-    )
-    return found.select("lane", "word", "at", path.alias("path"))
+        taken = score > top if start > max(0, end - vocabulary.longest) else np.ones(live[end], bool)
+        np.copyto(top, score, where=taken)
+        origin[taken] = start
+    ends, at, every = np.zeros(n, np.uint64), sizes, np.arange(n)
+    while (at := came[at, every]).any():
+        ends |= np.where(at > 0, np.uint64(1) << at.astype(np.uint64), np.uint64(0))
+    return ends
+
+
+def narrow(bits: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as the largest needs."""
+    return bits.astype(next(f"<u{n}" for n in (2, 4, 8) if int(bits.max()) < 1 << 8 * n))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", decoded: str | None = None) -> DataFrame:
@@ -234,58 +241,71 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", decoded:
     they are, so decoding returns the text. A null or empty text has no ids. Repeated rows are encoded
     alike, a word that many texts share once per 1,024 input partitions. A word of more than 64 code
     points or with a null character is folded where it stands, in a time that grows with its length. A
-    column named ids is replaced. No rows give no rows. Blocks are numbered once, in a stored copy that
-    is read twice; the words of a block are stored with the number of the part of it that had them.
+    column named ids is replaced. No rows give no rows. Blocks are numbered once, in a stored copy with a
+    folder per block: a scan may see a block in parts, but its words are those of the whole folder, in the
+    same order each time.
     """
     spark = docs.sparkSession
     docs, own_names = shielded(docs.drop("ids", *filter(None, [decoded])), "_block")
     fields = docs.schema.fields
-    docs = numbered_blocks(docs, text, "numbered", BLOCK)
+    docs, folders = block_folders(docs, text, "numbered", BLOCK)
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def words_by_lane(block: int) -> dict[int, list[str]]:
+        return dealt(side_rows(folders, block, "_block", [text]).column(text))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in blocks(batches):
-            lanes = dealt(rows.column(text))
-            first = block // (BLOCKS_PER_PARTITION * TOGETHER) * LANES
-            part = uuid.uuid4().int >> 65  # of a block that another task may see the rest of
-            for few in batched(lanes.items(), 1_000):
-                numbers = pa.array([first + lane for lane, _ in few], pa.int64())
-                joined = pa.array([END.join(words) for _, words in few], pa.string())
-                same = [pa.array([x] * len(few), pa.int64()) for x in (block, part)]
-                yield pa.RecordBatch.from_arrays([numbers, *same, joined], ["lane", "block", "part", "words"])
+        for batch in batches:
+            for block in batch.column("_block").to_pylist():
+                first = block // (BLOCKS_PER_PARTITION * TOGETHER) * LANES
+                for few in batched(words_by_lane(block).items(), 1_000):
+                    numbers = pa.array([first + lane for lane, _ in few], pa.int64())
+                    joined = pa.array([zlib.compress(END.join(words).encode(), 1) for _, words in few], pa.binary())
+                    yield pa.RecordBatch.from_arrays([numbers, pa.array([block] * len(few), pa.int64()), joined], ["lane", "block", "words"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with the bits of their words in place of the words; equal words of the batches held are folded once."""
+        own = shared.value
+
+        def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            lists = pc.split_pattern(pa.array([zlib.decompress(w.as_buffer()) for w in rows.column("words")], pa.binary()).cast(pa.string()), END)
+            every = pc.binary_join_element_wise("", lists.flatten(), " ").dictionary_encode()
+            bits = viterbi(every.dictionary, own)[every.indices.to_numpy()]
+            packed = pa.array([narrow(bits[a:b]).tobytes() for a, b in pairwise(lists.offsets.to_pylist())], pa.binary())
+            for few in rows.drop_columns("words").append_column("ends", packed).to_batches(max_chunksize=1_000):
+                yield few
+
+        held, size, last = [], 0, None
+        for batch in batches:
+            lanes = batch.column("lane").to_numpy()
+            edges = np.flatnonzero(np.r_[True, lanes[1:] != lanes[:-1], True]) if len(lanes) else []
+            for a, b in pairwise(edges):
+                if size > MEET and lanes[a] != last:
+                    yield from found(held)
+                    held, size = [], 0
+                held.append(batch.slice(a, b - a))
+                size, last = size + int(pc.sum(pc.binary_length(held[-1].column("words"))).as_py()), lanes[a]
+        if held:
+            yield from found(held)
 
     # a fixed count: what a lane holds is far less than the substrings that come from it
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = store_side(docs.select(text, "_block").mapInArrow(deal, "lane long, block long, part long, words string"), "words")
-    lanes = spark.read.schema("lane long, part long, words string, block long").parquet(named).repartition(parts, "lane")
-    listed = lanes.select("lane", "block", "part", F.posexplode(F.split("words", END)).alias("place", "_word"))
-    listed = listed.select("lane", "block", "part", "place", F.concat(F.lit(" "), "_word").alias("word"))
-    # a list is as long as 1,024 input partitions have blocks, at most
-    paths = viterbi(listed.groupBy("word", "lane").agg(F.collect_list(F.struct("block", "part", "place")).alias("at")), vocabulary)
-    back = paths.select("lane", "path", F.inline("at"))
-    packed = back.groupBy("lane", "block", "part").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("paths"))
-    side = store_side(
-        packed.select("lane", "block", "part", F.flatten("paths.path").alias("ids"), F.transform("paths", lambda p: F.size(p["path"]).cast("tinyint")).alias("sizes")),
-        "pieces",
-    )
-    shared = spark.sparkContext.broadcast(vocabulary)
+    named = docs.select("_block").distinct().repartition(parts).mapInArrow(deal, "lane long, block long, words binary")
+    lanes = named.repartition(parts, "lane").sortWithinPartitions("lane")
+    side = store_side(lanes.mapInArrow(meet, "lane long, block long, ends binary"), "pieces")
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for block, rows in blocks(batches):
-            table, words = Paths(own), side_rows(named, block)
-            have = {} if words is None else dict(zip(zip(*(words.column(c).to_pylist() for c in ("lane", "part"))), words.column("words"), strict=True))
-            found = side_rows(side, block)
+            table, found = Paths(own), side_rows(side, block)
+            words = words_by_lane(block) if found is not None else {}
             for batch in found.to_batches(max_chunksize=500) if found is not None else ():
-                ids, sizes = batch.column("ids"), batch.column("sizes")
-                for r, lane in enumerate(zip(batch.column("lane").to_pylist(), batch.column("part").to_pylist(), strict=True)):
-                    every = ids[r].values.to_numpy()
-                    ends = np.cumsum(sizes[r].values.to_numpy(), dtype=np.int64)
-                    for w, a, b in zip(have.pop(lane).as_py().split(END), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
-                        mine = every[a:b]
-                        if (mine < 0).any():
-                            mine = np.array(own.spelled(" " + w, [(-1 - i, UNKNOWN) if i < 0 else (0, i) for i in mine.tolist()]), np.int32)
-                        table[w] = mine.astype("<i4").tobytes()
-            del found, words, have
+                for lane, ends in zip(batch.column("lane").to_pylist(), batch.column("ends").to_pylist(), strict=True):
+                    few = words.pop(lane % LANES)
+                    for w, e in zip(few, np.frombuffer(ends, f"<u{len(ends) // len(few)}").tolist(), strict=True):
+                        table[w] = own.joined(" " + w, e)
+            del found, words
             for few in rows.to_batches(max_chunksize=500):
                 parts, sizes = [], [0]
                 for t in few.column(text):
