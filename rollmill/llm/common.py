@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollmill.session import run_dir, written
+from rollmill.session import removed, run_dir, written
 
 __all__ = [
     "BLOCK_BYTES", "block_folders", "blocks", "counted_rows", "documents", "group_value", "held_out", "labelled_sample", "numbered",
-    "numbered_blocks", "run_dir", "shielded", "side_rows", "store_side", "stored", "table", "written",
+    "numbered_blocks", "removed", "run_dir", "shielded", "side_rows", "store_side", "stored", "table", "written",
 ]
 
 BLOCK_BYTES = 12 << 20

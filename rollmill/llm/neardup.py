@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollmill.llm.common import documents, group_value, numbered, run_dir, shielded, written
+from rollmill.llm.common import documents, group_value, numbered, removed, run_dir, shielded, written
 from rollmill.llm.substrings import MIX, ODD, WORD, Hasher, _mixed, sequence_hashes
 
 SHINGLE = 5  # words
@@ -111,12 +111,12 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sketch, "_uid long, keys array<long>, units array<int>")
 
 
-def _by_row(sketched: DataFrame, label: str) -> DataFrame:
-    """The same rows from a table in the shared folder, bucketed by `_uid`: joins on it move the other side only."""
-    spark, name = sketched.sparkSession, f"{label}_{uuid.uuid4().hex}"
+def _by_row(sketched: DataFrame, path: str, name: str) -> DataFrame:
+    """The same rows from a table of that name and folder, bucketed by `_uid`: joins on it move the other side only."""
+    spark = sketched.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = sketched.repartition(parts, "_uid")
-    rows.write.bucketBy(parts, "_uid").option("path", run_dir(spark, label)).saveAsTable(name)
+    rows.write.bucketBy(parts, "_uid").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
@@ -281,8 +281,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     same = ["h1", "h2", "h3"]
     firsts = written(group_value(keys, same, F.col("_uid"), _first=("min", F.col("_uid"))).select("_uid", "doc_id", "_first"), "equals")
     different = sketches(docs.select("_uid", "text")).join(firsts.where("_uid = _first").select("_uid"), "_uid")
-    once = _by_row(different, "sketches")
-    _, labels = near_links(once, similarity)
+    path, name = run_dir(docs.sparkSession, "sketches"), f"sketches_{uuid.uuid4().hex}"
+    _, labels = near_links(_by_row(different, path, name), similarity)
+    # the labels are stored, so nothing reads the sketches again
+    docs.sparkSession.sql(f"DROP TABLE {name}")
+    removed(path)
     labelled = firsts.join(labels, F.col("_first") == F.col("id"), "left").select("_uid", "doc_id", F.coalesce("label", "_first").alias("label"))
     me = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_uid").alias("at"))
     least = group_value(labelled.withColumn("me", me), ["label"], F.col("_uid"), first=("min", F.col("me")))

@@ -48,6 +48,14 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def removed(path: str) -> None:
+    """Delete a folder of `run_dir` that no plan reads any more."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path)
+    store.delete_dir(root)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The same rows from a table in the shared folder.
 

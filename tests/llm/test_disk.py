@@ -1,4 +1,4 @@
-"""What the encoding stores and moves, and its paths in whole arrays against the plain recursion."""
+"""What operators store and move; the paths of the encoding in whole arrays against the plain recursion."""
 
 import random
 from itertools import count
@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rollmill.llm import common, pieces
+from rollmill import session
+from rollmill.llm import common, neardup, pieces
 
 
 def words(seed, n):
@@ -39,3 +40,15 @@ def test_paths_of_many_words_equal_the_plain_recursion(monkeypatch):
         ends = pieces.viterbi(pa.array(every), own)
         assert [np.frombuffer(own.joined(w, e), "<i4").tolist() for w, e in zip(every, ends.tolist(), strict=True)] == want
     assert len(pieces.viterbi(pa.array([], pa.string()), own)) == 0
+
+
+def test_sketches_are_given_back(spark, odd, tmp_path, monkeypatch):
+    """Classes are read from what is stored of them; the table of sketches is gone before the rows are asked for."""
+    number = count()
+    for module in (common, neardup, session):
+        monkeypatch.setattr(module, "run_dir", lambda _, label: f"file://{tmp_path}/{label}-{next(number)}")
+    tables = {t.name for t in spark.catalog.listTables()}
+    done = neardup.near_duplicates(odd)
+    assert not list(tmp_path.glob("sketches-*")) and {t.name for t in spark.catalog.listTables()} == tables
+    assert done.count() == odd.count()
+    assert done.where("class_id is not null").groupBy("class_id").agg(F.sum(F.col("is_first").cast("int")).alias("n")).where("n <> 1").count() == 0
