@@ -156,21 +156,23 @@ def components(links: DataFrame) -> DataFrame:
     """(id, label): the least id that links reach, for each id in a link (a, b).
 
     Labels go along links and then to the label's own label, until none changes; each round is stored,
-    so the plan stays short and a lost executor costs one round.
+    so the plan stays short and a lost executor costs one round. Only labels that the round before
+    changed go along links, as the others have been offered already.
     """
     ways = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = written(ways.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    jumped = labels.withColumn("_old", F.col("id"))
     while True:
-        offers = ways.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("to")).agg(F.min("label").alias("offer"))
-        nearer = labels.join(offers, F.col("id") == F.col("to")).select("id", F.least("label", "offer").alias("label"), F.col("label").alias("_old"))
+        labels = jumped.select("id", "label")
+        offers = ways.join(jumped.where("label <> _old"), F.col("b") == F.col("id")).groupBy(F.col("a").alias("to")).agg(F.min("label").alias("offer"))
+        nearer = labels.join(offers, F.col("id") == F.col("to"), "left").select("id", F.least("label", "offer").alias("label"), F.col("label").alias("_old"))
         own = nearer.select(F.col("id").alias("_at"), F.col("label").alias("_next"))
         jumped = written(
             nearer.join(own, F.col("label") == F.col("_at"), "left").select("id", F.least("label", F.coalesce("_next", "label")).alias("label"), "_old"),
             "labels",
         )
-        labels = jumped.select("id", "label")
         if not jumped.where("label <> _old").head(1):
-            return labels
+            return jumped.select("id", "label")
 
 
 def _open(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

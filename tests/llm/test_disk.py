@@ -52,3 +52,16 @@ def test_sketches_are_given_back(spark, odd, tmp_path, monkeypatch):
     assert not list(tmp_path.glob("sketches-*")) and {t.name for t in spark.catalog.listTables()} == tables
     assert done.count() == odd.count()
     assert done.where("class_id is not null").groupBy("class_id").agg(F.sum(F.col("is_first").cast("int")).alias("n")).where("n <> 1").count() == 0
+
+
+def test_labels_reach_the_ends_of_chains_and_stars(spark):
+    """Each component gets its least id, though only labels that changed are handed on."""
+    rng = random.Random(2)
+    links = [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001 + i) for i in range(50)] + [(3050 - i, 3049 - i) for i in range(30)]
+    links += [(a, b) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(200)) if a != b]
+    least = {x: x for link in links for x in link}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    found = neardup.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.id: r.label for r in found} == least and len(found) == len(least)
