@@ -41,8 +41,11 @@ BEGINS = 1 << BUCKET_BITS  # marks the stored bucket of a word that begins a pas
 SUMMED = 1 << 9  # buckets whose products move together
 SELDOM = 16  # occurrences of a bucket from which on they are summed by bucket, not turn by turn
 STARTS = 256  # passages compared at once
+ODD_CHARACTERS = 16  # of a text that are replaced one by one
 
 
+_ASCII = bytes(range(128))
+_ODD = re.compile(r"[^\w\x00-\x7f]+")  # what is not ASCII and in no word
 _BASE = 0x9E3779B97F4A7C15
 _WORDY = np.zeros(256, bool)
 _WORDY[[ord(c) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"]] = True
@@ -65,7 +68,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def plain(text: str | None) -> bytes:
     """The text in bytes whose runs of word bytes are its words, in either case."""
     text = text or ""
-    return text.encode() if text.isascii() else " ".join(WORD.findall(text.lower())).encode()
+    if text.isascii():
+        return text.encode()
+    text = text.lower()
+    odd = [c for c in set(text.encode().translate(None, _ASCII).decode()) if not WORD.match(c)]
+    if len(odd) > ODD_CHARACTERS:
+        return _ODD.sub(" ", text).encode()
+    for c in odd:
+        text = text.replace(c, " ")
+    return text.encode()
 
 
 def words_at(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,6 +116,13 @@ class Run:
     def text_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def texts_with_bucket(self) -> np.ndarray:
+        """In how many of the texts each bucket occurs."""
+        kind = np.int32 if len(self.first) <= (1 << 31) // BUCKETS else np.int64
+        both = self.text_of_words().astype(kind) * kind(BUCKETS) + self.bucket.astype(kind)
+        both.sort()
+        return np.bincount(both[np.diff(both, prepend=kind(-1)) != 0] & kind(BUCKETS - 1), minlength=BUCKETS)
+
     def words(self, low: int, high: int) -> list[str]:
         return WORD.findall(self.data[self.start[low] : self.stop[high - 1]].decode().lower()) if low < high else []
 
@@ -146,8 +164,7 @@ def words_and_frequencies(docs: DataFrame, text: str = "text") -> tuple[DataFram
         held, n, total = np.zeros(BUCKETS, np.int64), 0, 0
         for batch in batches:
             for run in runs(batch.column(text)):
-                once = np.unique(run.text_of_words() * BUCKETS + run.bucket)
-                held += np.bincount(once % BUCKETS, minlength=BUCKETS)
+                held += run.texts_with_bucket()
                 begin = passages(run)
                 total += len(begin)
                 if rows := list(kept_words(run, begin)):
@@ -203,20 +220,30 @@ def add_products(sums: np.ndarray, own: np.ndarray, bucket: np.ndarray, begin: n
     """Adds to the row of each word's bucket the sum of the rows of `own` over the words of its passage."""
     seen = np.zeros((len(begin), RANK), np.float32)
     size = np.diff(begin, append=len(bucket))
-    for i in range(int(size.max())):
-        some = np.flatnonzero(size > i)
-        seen[some] += own[bucket[begin[some] + i]]
+    # by falling length, so that each turn adds to the first rows in place
+    order = np.argsort(-size, kind="stable")
+    at, size = begin[order], size[order]
+    turn = np.empty_like(seen)
+    for i in range(int(size[0])):
+        n = int(np.searchsorted(-size, -i))
+        seen[:n] += np.take(own, bucket[at[:n] + i], axis=0, out=turn[:n], mode="clip")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     order = np.argsort(bucket)
-    first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    count, of = np.diff(first, append=len(order)), of[order]
-    total = seen[of[first]]
-    for i in range(1, SELDOM):
-        some = np.flatnonzero((count > i) & (count <= SELDOM))
-        total[some] += seen[of[first[some] + i]]
-    often = np.flatnonzero(count > SELDOM)
-    for k in often.tolist():
+    bucket, of = bucket[order], place[of[order]]
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    count = np.diff(first, append=len(bucket))
+    order = np.argsort(-count, kind="stable")
+    first, count = first[order], count[order]
+    often = int(np.searchsorted(-count, -SELDOM))
+    total = np.take(seen, of[first], axis=0)
+    for k in range(often):
         total[k] = seen[of[first[k] : first[k] + count[k]]].sum(axis=0)
-    sums[bucket[order[first]]] += total
+    seldom, turn = total[often:], np.empty_like(total[often:])
+    for i in range(1, int(count[often]) if often < len(count) else 0):
+        n = int(np.searchsorted(-count[often:], -i))
+        seldom[:n] += np.take(seen, of[first[often : often + n] + i], axis=0, out=turn[:n], mode="clip")
+    sums[bucket[first]] += total
 
 
 def multiplied(words: DataFrame, scale: float, shared, weight: np.ndarray) -> DataFrame:
@@ -389,10 +416,10 @@ class Items:
     def answered(self, run: Run, chunk: np.ndarray, n: int) -> np.ndarray:
         """n x items: the answer words, as bits, that each chunk may hold by their buckets."""
         bits = np.zeros((n, len(self.ids)), np.uint8)
-        low, high = (np.searchsorted(self.telling, run.bucket, side) for side in ("left", "right"))
-        at = np.flatnonzero(high > low)
-        count = (high - low)[at]
-        entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[at], count)
+        told = np.bincount(self.telling, minlength=BUCKETS)
+        at = np.flatnonzero((told > 0)[run.bucket])
+        count, low = told[run.bucket[at]], (np.cumsum(told) - told)[run.bucket[at]]
+        entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
         np.bitwise_or.at(bits, (np.repeat(chunk[at], count), self.owner[entry]), self.bit[entry])
         return bits
 
