@@ -69,8 +69,8 @@ def numbered(docs: DataFrame, label: str, number: str = "_uid") -> DataFrame:
     return stored(docs.withColumn(number, F.monotonically_increasing_id()), label)
 
 
-def _with_blocks(docs: DataFrame, text: str, limit: int) -> DataFrame:
-    """The rows with `_block`; a block ends with the row whose text passes `limit` bytes."""
+def _with_blocks(docs: DataFrame, text: str, limit: int, each: int = 0) -> DataFrame:
+    """The rows with `_block`; a block ends with the row whose text passes `limit` bytes, `each` more counted for every row."""
     schema = T.StructType([*docs.schema.fields, T.StructField("_block", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,7 @@ def _with_blocks(docs: DataFrame, text: str, limit: int) -> DataFrame:
         for batch in batches:
             numbers = np.empty(len(batch), np.int64)
             for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
-                numbers[i], size = block, size + n
+                numbers[i], size = block, size + n + each
                 if size > limit:
                     block, size = block + 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers)], [*batch.schema.names, "_block"])
@@ -88,9 +88,9 @@ def _with_blocks(docs: DataFrame, text: str, limit: int) -> DataFrame:
     return docs.mapInArrow(cut, schema)
 
 
-def numbered_blocks(docs: DataFrame, text: str, label: str, limit: int = BLOCK_BYTES) -> DataFrame:
-    """A stored copy of the rows with `_block`; a block ends with the row whose text passes `limit` bytes."""
-    return stored(_with_blocks(docs, text, limit), label)
+def numbered_blocks(docs: DataFrame, text: str, label: str, limit: int = BLOCK_BYTES, *, each: int = 0) -> DataFrame:
+    """A stored copy of the rows with `_block`; a block ends with the row whose text passes `limit` bytes, `each` more counted for every row."""
+    return stored(_with_blocks(docs, text, limit, each), label)
 
 
 def block_folders(docs: DataFrame, text: str, label: str, limit: int) -> tuple[DataFrame, str]:

@@ -10,14 +10,16 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollmill.llm.common import group_value, numbered, run_dir, table, written
+from rollmill.llm.common import blocks, group_value, numbered_blocks, run_dir, side_rows, store_side, table, written
 
 ARCHIVE_BYTES = 256 << 20  # uncompressed; an archive ends with the record that passes it
 CHUNK = 1 << 20
+ROW_BYTES = 256  # that a page counts in a block beside its html, so that a block of empty pages is bounded too
 LEVEL = 4
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 INDEX = "archive string, offset bigint, length bigint, record_id string, record_type string"
@@ -74,21 +76,33 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     Of rows with equal payloads of `least` bytes or more the one with the smallest page_id is the
     response (rows without an id come last, equal ids by the order of the table), the others revisit
     it. Payloads meet by two hashes and their length, in lanes, so that a payload which a third of
-    all rows share is spread. Rows are numbered once, in a stored copy.
+    all rows share is spread. Rows are numbered once, in a stored copy; what a page revisits is stored by
+    block, so that the scan which writes the pages picks it up and no payload moves.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = numbered(pages.select("page_id", "url", "html"), "numbered", "uid")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("uid", F.monotonically_increasing_id())
+    rows = numbered_blocks(rows, "html", "numbered", each=ROW_BYTES)
     first = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("uid"))
-    keys = rows.select("uid", F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("size"), first.alias("me"))
+    keys = rows.select("uid", F.col("_block").alias("block"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("size"), first.alias("me"))
     roles = group_value(keys, ["sha", "size"], F.col("uid"), first=("min", F.col("me")))
-    same = (F.col("size") >= least) & (F.col("first") != F.col("me"))
-    roles = roles.select(
-        "uid",
-        F.when(same, "revisit").otherwise("response").alias("record_type"),
-        F.when(same, F.col("first.page_id")).alias("refers_to"),
-        F.when(same, F.col("first.uid")).alias("refers_uid"),
-    )
-    return rows.join(roles, "uid")
+    revisits = roles.where((F.col("size") >= least) & (F.col("first") != F.col("me")))
+    path = store_side(revisits.select("block", "uid", F.col("first.page_id").alias("refers_to"), F.col("first.uid").alias("refers_uid")), "revisits")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part in blocks(batches):
+            kind, refers = pa.array(["response", "revisit"]), [pa.nulls(len(part), pa.int64())] * 2
+            again = np.zeros(len(part), bool)
+            if (side := side_rows(path, block)) is not None:
+                side = side.sort_by("uid")
+                uid, known = part.column("uid").to_numpy(), side.column("uid").to_numpy()
+                at = np.minimum(np.searchsorted(known, uid), len(known) - 1)
+                again = known[at] == uid
+                at = pa.array(at, mask=~again)
+                refers = [side.column(c).combine_chunks().take(at) for c in ("refers_to", "refers_uid")]
+            told = pa.table([*part.columns, kind.take(pa.array(again.astype(np.int64))), *refers], [*part.column_names, "record_type", "refers_to", "refers_uid"])
+            yield from told.to_batches()
+
+    return rows.mapInArrow(add, "page_id bigint, url string, html string, uid bigint, record_type string, refers_to bigint, refers_uid bigint")
 
 
 def write_monolithic(records: DataFrame, path: str, limit: int = ARCHIVE_BYTES) -> DataFrame:
