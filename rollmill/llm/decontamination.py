@@ -216,6 +216,11 @@ def item_sections(run: Run) -> np.ndarray:
     return np.concatenate([np.empty(0, np.int64), *[low + sections(high - low)[:-1] for low, high in zip(run.first, run.first[1:], strict=False) if high > low]])
 
 
+def matrix() -> np.ndarray:
+    """BUCKETS x RANK numbers, not set, in Arrow's memory: the driver gives that back, where freed arrays of this size stay its own."""
+    return np.frombuffer(pa.allocate_buffer(BUCKETS * RANK * 4), np.float32).reshape(BUCKETS, RANK)
+
+
 def add_products(sums: np.ndarray, own: np.ndarray, bucket: np.ndarray, begin: np.ndarray, of: np.ndarray) -> None:
     """Adds to the row of each word's bucket the sum of the rows of `own` over the words of its passage."""
     seen = np.zeros((len(begin), RANK), np.float32)
@@ -315,17 +320,19 @@ def latent_space(docs: DataFrame, items: DataFrame, weight: np.ndarray, n_passag
         total = corpus.unionByName(asked).groupBy("part").applyInArrow(add, "part int, at binary, sums binary").toArrow()
         if shared:
             shared.destroy()
-        product = np.zeros((BUCKETS, RANK), np.float32)
+        product = matrix()
+        product[:] = 0
         for at, sums in zip(total.column("at"), total.column("sums"), strict=True):
             product[np.frombuffer(at.as_buffer(), "<i4")] = np.frombuffer(sums.as_buffer(), "<f4").reshape(-1, RANK)
         del total
-        basis = orthogonal(product)
+        basis = orthogonal(product, matrix())
+        del product
         pa.default_memory_pool().release_unused()
     return basis
 
 
-def orthogonal(product: np.ndarray) -> np.ndarray:
-    """An orthonormal basis of the columns' span, from their RANK x RANK inner products; null columns where it has fewer."""
+def orthogonal(product: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """In `out`, an orthonormal basis of the columns' span, from their RANK x RANK inner products; null columns where it has fewer."""
     gram = np.zeros((product.shape[1],) * 2)
     for low in range(0, len(product), 4096):  # a block of rows at a time in double precision
         block = product[low : low + 4096].astype(np.float64)
@@ -333,7 +340,7 @@ def orthogonal(product: np.ndarray) -> np.ndarray:
     value, vector = np.linalg.eigh(gram)
     some = value > value[-1] * 1e-10
     scale = np.where(some, 1 / np.sqrt(np.where(some, value, 1)), 0)
-    return product @ (vector * scale).astype(np.float32)
+    return np.matmul(product, (vector * scale).astype(np.float32), out=out)
 
 
 def sections(n: int) -> np.ndarray:
@@ -363,7 +370,7 @@ class Space:
 
     @staticmethod
     def of(basis: np.ndarray, weight: np.ndarray) -> Space:
-        return Space(basis * weight[:, None])
+        return Space(np.multiply(basis, weight[:, None], out=matrix()))
 
     def chunks(self, run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(vector of each chunk, its text, its place there, chunk of each word); GAP empty ones after each text."""
@@ -540,6 +547,8 @@ def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
     schema = T.StructType([*docs.schema.fields, T.StructField("leaks", LEAKS)])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("overlap", pa.float64()), ("cosine", pa.float64())]))
     space, parts = Space.of(basis, weight), []
+    del basis
+    pa.default_memory_pool().release_unused()
     for start in range(0, listed.num_rows, ITEM_BLOCK):
         few = listed.slice(start, ITEM_BLOCK)
         parts.append(Items.of(space, weight, few.column("item_id").to_pylist(), few.column("text").to_pylist()))

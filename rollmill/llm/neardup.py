@@ -243,10 +243,11 @@ def near_links(sketched: DataFrame, similarity: float = SIMILARITY) -> tuple[Dat
     known = some.withColumns({"a": F.least("_uid", "c0"), "b": F.greatest("_uid", "c0")}).join(to_center, ["a", "b"], "left")
     known = known.select(*bucket, "_uid", "n", "s", "label", near.alias("near"), F.col("j").isNull().alias("unseen"))
     told = _with_parity(sketched.join(some.select("_uid").distinct(), "_uid"))
-    known = written(known.join(told, "_uid"), "open")
+    # of the keys a row takes those of earlier bands only: where a bucket is large, its rows are read again and again
+    known = written(known.join(told, "_uid").withColumn("keys", F.slice("keys", F.lit(1), F.col("band"))), "open")
     left = known.alias("l")
     right = known.alias("r")
-    earlier = F.zip_with(F.slice("l.keys", F.lit(1), F.col("l.band")), F.slice("r.keys", F.lit(1), F.col("r.band")), lambda x, y: x == y)
+    earlier = F.zip_with("l.keys", "r.keys", lambda x, y: x == y)
     differ = F.zip_with("l.bits", "r.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     reach = (
         (F.col("l.band") == F.col("r.band"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rollmill.llm import decontamination, warc
+from rollmill.llm import decontamination, neardup, warc
 
 LETTERS = "abcdé ÄΣİ1_ß—“”日本、。🙂\x00\x80�\U0001d4b3"
 
@@ -80,3 +80,32 @@ def test_pages_get_their_roles_where_they_lie(spark, monkeypatch):
             key = lambda r: tuple((x is None, 0 if x is None else x) for x in r)
             assert sorted([(r.page_id, r.url, r.html) for r in found], key=key) == sorted(rows, key=key)
     assert warc.with_revisits(pages.where(F.lit(False))).count() == 0
+
+
+def test_large_matrices_are_given_back():
+    """The latent space lies in Arrow's memory, which holds nothing of it once it is done with."""
+    before = pa.total_allocated_bytes()
+    space = decontamination.Space.of(np.ones((decontamination.BUCKETS, decontamination.RANK), np.float32), np.full(decontamination.BUCKETS, 2, np.float32))
+    assert (space.basis == 2).all() and pa.total_allocated_bytes() - before >= space.basis.nbytes
+    del space
+    assert pa.total_allocated_bytes() == before
+
+
+def test_rows_of_open_buckets_hold_the_keys_of_earlier_bands(spark, monkeypatch):
+    """What the last comparison within large buckets reads again and again is no longer than it needs."""
+    seen = {}
+
+    def kept(df, label):
+        if "keys" in df.columns:
+            seen[label] = df.select("band", F.size("keys").alias("n")).collect()
+        return written(df, label)
+
+    written = neardup.written
+    monkeypatch.setattr(neardup, "written", kept)
+    rng = random.Random(1)
+    common = [f"w{i}" for i in range(60)]
+    # halves in common: buckets are shared, classes are not
+    texts = [" ".join(common + [f"x{rng.randrange(10**6)}" for _ in range(12 + k % 9)]) for k in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = neardup.near_duplicates(docs, 0.7).collect()
+    assert len(found) == 120 and seen["open"] and all(r.n == r.band for r in seen["open"])
