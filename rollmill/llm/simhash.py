@@ -15,7 +15,7 @@ from rollmill.llm.common import documents, numbered, written
 BITS = 64
 LANES = 16  # sums; each holds the votes for four bits, 16 binary digits apart
 EACH_16TH = 0x0001000100010001
-CHUNK = 16_384  # terms whose votes are packed: their weights must stay below 65,536
+CHUNK = 8_192  # terms whose votes are packed: their weights must stay below 32,768, or the sum of the topmost digits overflows a long
 MAX_WEIGHT = 3
 RADIUS = 3
 SPACE = r"[\x20\x09-\x0D]+"
@@ -42,8 +42,8 @@ def simhash(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     The terms of a text are its pairs of neighbouring words. A term's hash votes for a bit where it has
     it and against it where not, with the term's weight every time it occurs; long words say more than
     short ones. A bit is set when the votes for it are the majority. Votes for four
-    bits share one sum, 16 digits each; sums are taken over at most 16,384 terms, which also spreads a
-    very long text, and then unpacked. A text without words has fingerprint 0.
+    bits share one sum, 16 digits each; sums are taken over at most 8,192 terms, which also spreads a
+    very long text, and then unpacked: even where all of them vote for the topmost bit, no sum overflows. A text without words has fingerprint 0.
     """
     terms = rows.select(*key, F.posexplode(term_hashes(text)).alias("_at", "_hash"))
     weight, hashed = F.col("_hash").bitwiseAND(F.lit(3)), F.xxhash64("_hash")

@@ -181,6 +181,27 @@ def test_simhash_and_edited_texts(odd, none):
     assert simhash.fingerprint_documents(none).count() == 0
 
 
+def plain_simhash(spark, text):
+    terms = spark.createDataFrame([(text,)], "text string").select(F.explode(simhash.term_hashes("text")).alias("t"))
+    votes = [0] * 64
+    for t, h in terms.select("t", F.xxhash64("t")).toPandas().itertuples(index=False):
+        for b in range(64):
+            votes[b] += (t & 3) if h >> b & 1 else -(t & 3)
+    found = sum(1 << b for b in range(64) if votes[b] > 0)
+    return found - (1 << 64) if found >> 63 else found
+
+
+def test_votes_of_long_texts_of_few_words(spark):
+    """All terms of a long text may vote for the topmost bits: their sum must not overflow."""
+    lines = [f"considerable{k} " for k in range(4)] + ["recognised internationally ", "abcdefgh ", "a line of considerable words\n"]
+    rows = [(i, n, line * n) for i, line in enumerate(lines) for n in (50, 20_000)]
+    prints = simhash.simhash(spark.createDataFrame(rows, "id long, n long, text string"), ["id", "n"], "text").toPandas()
+    found = {(r["id"], r["n"]): r["fingerprint"] for r in prints.to_dict("records")}
+    assert len(prints) == len(found) == len(rows)
+    assert all(found[i, 50] == found[i, 20_000] for i in range(len(lines)))
+    assert all(found[i, n] == plain_simhash(spark, text) for i, n, text in rows if n == 50)
+
+
 def test_hamming_search_is_exact(spark):
     rng = np.random.default_rng(8)
     base = rng.integers(-(2**63), 2**63 - 1, 40)
