@@ -15,20 +15,34 @@ from rollmill.llm.common import documents, numbered, written
 BITS = 64
 LANES = 16  # sums; each holds the votes for four bits, 16 binary digits apart
 EACH_16TH = 0x0001000100010001
-CHUNK = 8_192  # terms whose votes are packed: their weights must stay below 32,768, or the sum of the topmost digits overflows a long
+PIECE = 16_384  # code points a text is cut at: the weights of 8,193 words must stay below 32,768, or the topmost digits overflow a long
 MAX_WEIGHT = 3
 RADIUS = 3
 SPACE = r"[\x20\x09-\x0D]+"
+PIECES = r"(?s)(.{1,%d}+[^\x20\x09-\x0D]*+[\x20\x09-\x0D]*+)(?=([^\x20\x09-\x0D]*+))" % PIECE
 
 
-def term_hashes(text: str) -> Column:
-    """A long for each word with the word after it, the last word alone; no words, no terms.
+def pieces(text: str) -> Column:
+    """An array of structs: a piece of the text, and in `after` the word that follows it, null at the end.
+
+    After 16,384 code points a piece takes the rest of the word there or the next word, and the spaces behind it.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    piece, after = (F.regexp_extract_all(whole, F.lit(PIECES), F.lit(i)) for i in (1, 2))
+    cut = F.zip_with(piece, after, lambda p, a: F.struct(p.alias("piece"), F.nullif(a, F.lit("")).alias("after")))
+    uncut = F.array(F.struct(whole.alias("piece"), F.lit(None).cast("string").alias("after")))
+    return F.when(F.length(whole) > PIECE, cut).otherwise(uncut)
+
+
+def term_hashes(text: str, after: Column | None = None) -> Column:
+    """A long for each word with the word after it, the last word with `after` or alone; no words, no terms.
 
     Its low two bits are the term's weight: 3 where its words have 16 bytes or more, 2 from 8, else 1.
     """
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda w: w != "")
 
     def term(a: Column, b: Column) -> Column:
+        b = b if after is None else F.coalesce(b, after)
         size = F.octet_length(a) + F.coalesce(F.octet_length(b), F.lit(0))
         weight = F.least(F.lit(MAX_WEIGHT), 1 + F.shiftright(size, 3)).cast("long")
         return F.xxhash64(a, b).bitwiseAND(F.lit(~3)).bitwiseOR(weight)
@@ -42,25 +56,26 @@ def simhash(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     The terms of a text are its pairs of neighbouring words. A term's hash votes for a bit where it has
     it and against it where not, with the term's weight every time it occurs; long words say more than
     short ones. A bit is set when the votes for it are the majority. Votes for four
-    bits share one sum, 16 digits each; sums are taken over at most 8,192 terms, which also spreads a
-    very long text, and then unpacked: even where all of them vote for the topmost bit, no sum overflows. A text without words has fingerprint 0.
+    bits share one sum, 16 digits each; sums are taken over pieces of a text, at most 8,193 terms each,
+    and then unpacked: even where all terms vote for the topmost bit, no sum overflows. A very long text
+    is split into words piece by piece. A text without words has fingerprint 0.
     """
-    terms = rows.select(*key, F.posexplode(term_hashes(text)).alias("_at", "_hash"))
+    cut = rows.select(*key, F.posexplode(pieces(text)).alias("_chunk", "_p")).select(*key, "_chunk", F.col("_p.piece").alias("_piece"), F.col("_p.after").alias("_after"))
+    terms = cut.select(*key, "_chunk", F.explode_outer(term_hashes("_piece", F.col("_after"))).alias("_hash"))
     weight, hashed = F.col("_hash").bitwiseAND(F.lit(3)), F.xxhash64("_hash")
     votes = [
         F.sum(F.shiftrightunsigned(hashed, i).bitwiseAND(F.lit(EACH_16TH)) * weight).alias(f"_s{i}") for i in range(LANES)
     ]
-    parts = terms.groupBy(*key, F.floor(F.col("_at") / CHUNK).alias("_chunk")).agg(F.sum(weight).alias("_all"), *votes)
+    parts = terms.groupBy(*key, "_chunk").agg(F.sum(weight).alias("_all"), *votes)
     counts = parts.groupBy(*key).agg(
         F.sum("_all").alias("_all"),
         *[F.sum(F.shiftrightunsigned(f"_s{b % LANES}", 16 * (b // LANES)).bitwiseAND(F.lit(0xFFFF))).alias(f"_c{b}") for b in range(BITS)],
     )
+    # without words the sums are null and no bit is set
     bit = [F.when(2 * F.col(f"_c{b}") > F.col("_all"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(BITS)]
     quarters = [sum(bit[i + 1 : i + 16], bit[i]) for i in range(0, BITS, 16)]  # distinct bits add up
     counts = counts.select(*key, *[q.alias(f"_q{i}") for i, q in enumerate(quarters)])
-    found = counts.select(*key, (F.col("_q0") + F.col("_q1") + F.col("_q2") + F.col("_q3")).alias("fingerprint"))
-    missing = rows.select(*key, F.size(term_hashes(text)).alias("_n")).where("_n = 0")
-    return found.unionByName(missing.select(*key, F.lit(0).cast("long").alias("fingerprint")))
+    return counts.select(*key, (F.col("_q0") + F.col("_q1") + F.col("_q2") + F.col("_q3")).alias("fingerprint"))
 
 
 def likeness(a: str | Column, b: str | Column) -> Column:

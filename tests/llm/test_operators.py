@@ -202,6 +202,22 @@ def test_votes_of_long_texts_of_few_words(spark):
     assert all(found[i, n] == plain_simhash(spark, text) for i, n, text in rows if n == 50)
 
 
+def test_pieces_of_long_texts_lose_no_term(spark):
+    most = simhash.PIECE
+    texts = [None, "", "a b", " " * most, " " * most + "b", " " * (most - 1) + "b c", "y" * (3 * most) + " z", "z " * (2 * most), " z" * (2 * most)]
+    texts += ["w" * (most + k) + " v u" for k in (-2, -1, 0, 1)] + ["a b " + "\n" * (2 * most) + "c d" + " " * (2 * most), "\U0001d4b3 é\xa0 " * most]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    cut = {r["id"]: [(p["piece"], p["after"]) for p in r["p"]] for r in rows.select("id", simhash.pieces("text").alias("p")).collect()}
+    prints = {r["id"]: r["fingerprint"] for r in simhash.simhash(rows, ["id"], "text").collect()}
+    space = re.compile(r"[\x20\x09-\x0D]+")
+    for i, text in enumerate(texts):
+        assert "".join(p for p, _ in cut[i]) == (text or "")
+        words = [[w for w in space.split(p) if w] for p, _ in cut[i]]
+        assert all(len(w) <= most // 2 + 1 for w in words)
+        assert [a for _, a in cut[i]] == [next((w for later in words[n + 1 :] for w in later), None) for n in range(len(words))]
+        assert prints[i] == plain_simhash(spark, text)
+
+
 def test_hamming_search_is_exact(spark):
     rng = np.random.default_rng(8)
     base = rng.integers(-(2**63), 2**63 - 1, 40)
